@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.bpe import op9
+from marlstone.llm.html_text import op10
 from marlstone.llm.packing import op4
 from marlstone.llm.quality_rules import op3
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_first_cleaning": op3,
     "op4_exact_complement_packing": op4,
+    "op9_duckdb_bpe": op9,
+    "op10_tag_path_ratios": op10,
 }
 ORACLES: dict[str, str] = {}
