@@ -10,12 +10,14 @@ from marlstone.llm.bpe import op9
 from marlstone.llm.html_text import op10
 from marlstone.llm.language_crf import op1
 from marlstone.llm.packing import op4
+from marlstone.llm.quality_fm import op8
 from marlstone.llm.quality_rules import op3
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language": op1,
     "op3_line_first_cleaning": op3,
     "op4_exact_complement_packing": op4,
+    "op8_factorisation_machine": op8,
     "op9_duckdb_bpe": op9,
     "op10_tag_path_ratios": op10,
 }
