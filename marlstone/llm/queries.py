@@ -12,10 +12,12 @@ from marlstone.llm.language_crf import op1
 from marlstone.llm.packing import op4
 from marlstone.llm.quality_fm import op8
 from marlstone.llm.quality_rules import op3
+from marlstone.llm.secrets import op2
 from marlstone.llm.toxicity import op5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language": op1,
+    "op2_credential_linking": op2,
     "op3_line_first_cleaning": op3,
     "op4_exact_complement_packing": op4,
     "op5_noisy_channel_toxicity": op5,
