@@ -6,9 +6,10 @@ tokens that many documents hold last, by counts over the whole corpus in a sketc
 one hash an order, so a rare token that meets a common one in one order is early in another).
 
 1. One pass counts tokens and gives every document the key of its set.
-2. Prefix tokens under the first order are dealt by token, once a task and set. Sets that share one, whose sizes and parity
-   sketches (the number of differing bits bounds the symmetric difference from below) allow a link, are candidates; what
-   leaves a task are stars over them, so a group of near copies costs rows in its size, not in its pairs.
+2. Prefix tokens under the first order are dealt by token, once a task and set, with a sketch of the whole set: the least
+   tokens of BINS random parts of all tokens, two bits of each. Sets that share a token are candidates if their sizes allow a
+   link and as many parts agree as all but a share of MISS of pairs at the threshold have. What leaves a task are stars over
+   the candidates, so a group of near copies costs rows in its size, not in its pairs.
 3. Within the candidates' components, in blocks of bounded size, pairs must share prefix tokens under all orders; what the
    filters leave in common is verified by exact intersection of the whole sets.
 4. The links' components give each document the smallest id it reaches; the links themselves are counted.
@@ -20,6 +21,8 @@ table gives no rows; other columns are never read.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +35,7 @@ from marlstone.llm.words import mix, windows, words_of
 
 SHINGLE, PERCENT = 3, 90
 ORDERS, SLOTS = 3, 1 << 16
-PARITY = 128
+BINS, MISS = 64, 1e-9
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -117,11 +120,38 @@ def keyed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-POSTINGS = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "key", "n", "parity0", "parity1")])
+def sketches(owner: np.ndarray, token: np.ndarray, rows: int) -> list[np.ndarray]:
+    """For each set, 64 bits that say which bins hold a token, and the two lowest bits of the hash of each bin's least token."""
+    value = mix(token + np.uint64(23))
+    cell = owner * BINS + (value >> np.uint64(58)).astype(np.int64)
+    order = np.lexsort((value, cell))
+    first = order[np.append(True, cell[order][1:] != cell[order][:-1])] if len(order) else order
+    out = []
+    for bits in (np.ones(len(first), np.uint8), (value[first] & np.uint64(1)).astype(np.uint8), (value[first] >> np.uint64(1) & np.uint64(1)).astype(np.uint8)):
+        held = np.zeros(rows * BINS, np.uint8)
+        held[cell[first]] = bits
+        out.append(np.packbits(held.reshape(rows, BINS), axis=1).view("<i8").reshape(rows))
+    return out
+
+
+def least_agreeing(percent: int) -> np.ndarray:
+    """For each number of bins that either set fills, the bins that agree in all but MISS of pairs at the threshold: the
+    lower tail of a binomial law, where a bin agrees if the least tokens are equal, or by chance in both bits."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    out = np.zeros(BINS + 1, np.int64)
+    for n in range(1, BINS + 1):
+        tail, k = 0.0, 0
+        while (tail := tail + comb(n, k) * p**k * (1 - p) ** (n - k)) <= MISS:
+            k += 1
+        out[n] = k
+    return out
+
+
+POSTINGS = T.StructType([T.StructField(c, T.LongType()) for c in ("token", "key", "n", "filled", "low", "high")])
 
 
 def postings(docs: DataFrame, orders: Orders, size: int, percent: int) -> DataFrame:
-    """The prefix tokens of sets under the first order, with the set's key, size and parity sketch, once a task."""
+    """The prefix tokens of sets under the first order, with the set's key, size and sketch, once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)  # ORDERS * SLOTS counters
     target = _arrow(POSTINGS)
 
@@ -139,12 +169,10 @@ def postings(docs: DataFrame, orders: Orders, size: int, percent: int) -> DataFr
                         new[d] = True
                 held = new[owner]
                 owner, token, n = owner[held], token[held], np.where(new, n, 0)
-                bit = (mix(token + np.uint64(11)) & np.uint64(PARITY - 1)).astype(np.int64)
-                odd = (np.bincount(owner * PARITY + bit, minlength=len(texts) * PARITY) & 1).astype(np.uint8).reshape(len(texts), PARITY)
-                sketch = np.packbits(odd, axis=1).view("<i8").reshape(len(texts), PARITY // 64)
+                sketch = sketches(owner, token, len(texts))
                 at = shared.value.prefix(owner, token, n, 0, percent)
                 own = owner[at]
-                yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(key[own]), pa.array(n[own]), pa.array(sketch[own, 0]), pa.array(sketch[own, 1])], schema=target)
+                yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(key[own]), pa.array(n[own]), *(pa.array(x[own]) for x in sketch)], schema=target)
 
     return docs.select("text").mapInArrow(run, POSTINGS)
 
@@ -153,12 +181,11 @@ LINKS = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
 
 
 def candidates(found: DataFrame, percent: int) -> DataFrame:
-    """Stars over the sets that share a prefix token and that sizes and sketches let link."""
-    target = _arrow(LINKS)
+    """Stars over the sets that share a prefix token and that sizes and sketches allow to link."""
+    target, least = _arrow(LINKS), least_agreeing(percent)
 
     def step(run: pa.Table) -> pa.RecordBatch | None:
-        token, key, n, p0, p1 = (run.column(c).to_numpy() for c in POSTINGS.names)
-        p0, p1 = p0.view(np.uint64), p1.view(np.uint64)
+        token, key, n, filled, low_bit, high_bit = (run.column(c).to_numpy() for c in POSTINGS.names)
         a, b = [], []
         here = np.arange(len(token))
         for off in range(1, len(token)):
@@ -168,8 +195,9 @@ def candidates(found: DataFrame, percent: int) -> DataFrame:
             if not len(here):
                 break
             far = here + off
-            differ = np.bitwise_count(p0[here] ^ p0[far]).astype(np.int64) + np.bitwise_count(p1[here] ^ p1[far])
-            ok = ((100 + percent) * differ <= (100 - percent) * (n[here] + n[far])) & (key[here] != key[far])
+            agree = filled[here] & filled[far] & ~(low_bit[here] ^ low_bit[far]) & ~(high_bit[here] ^ high_bit[far])
+            needed = least[np.bitwise_count((filled[here] | filled[far]).view(np.uint64))]
+            ok = (np.bitwise_count(agree.view(np.uint64)) >= needed) & (key[here] != key[far])
             a.append(key[here[ok]]), b.append(key[far[ok]])
             if len(a) > 256:
                 a, b = ([x] for x in star(np.concatenate(a), np.concatenate(b)))
