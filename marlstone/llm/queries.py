@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.bpe import op9
+from marlstone.llm.embedding_links import op7
 from marlstone.llm.html_text import op10
 from marlstone.llm.jaccard_join import op6
 from marlstone.llm.language_crf import op1
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_complement_packing": op4,
     "op5_noisy_channel_toxicity": op5,
     "op6_multi_order_jaccard": op6,
+    "op7_rotated_codes": op7,
     "op8_factorisation_machine": op8,
     "op9_duckdb_bpe": op9,
     "op10_tag_path_ratios": op10,
