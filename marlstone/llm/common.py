@@ -81,7 +81,7 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
     `make` runs once a task and returns a step from a list of UTF-8 texts to columns of equal length; `schema` names the
     step's columns. Other columns of `df` are never read.
     """
-    source = df.select(*keep, F.col(column))
+    source = df.select(*keep, *[F.col(column)] * (column not in keep))
     fields = [source.schema[c] for c in keep] + list(schema)
     full = T.StructType(fields)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -101,6 +101,13 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
     return source.mapInArrow(run, full)
 
 
+def sampled(df: DataFrame, rows: int, column: str = "doc_id") -> DataFrame:
+    """The `rows` rows whose ids come first by a hash; only a few times as many leave the tasks, however many `df` has."""
+    value = F.pmod(F.xxhash64(column), F.lit(1 << 31))
+    most = int((1 << 31) * min(1.0, (3 * rows + 1000) / max(1, df.count())))
+    return df.where(value < most).orderBy(value, *df.columns).limit(rows)
+
+
 def held_out(column: str = "doc_id"):
     """The fold that nothing may learn from: crc32 of the id as text, mod 5, is 0."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0

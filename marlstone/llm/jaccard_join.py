@@ -287,9 +287,8 @@ def _common(x: np.ndarray, y: np.ndarray, owner: np.ndarray, token: np.ndarray,
     return out
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included) and n_links (the other
-    documents linked directly) of every document; links join sets whose Jaccard similarity is at least `percent` %."""
+def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """What join() returns, with the key of each document's set and the root of its component."""
     first = written(keyed(docs, size), "sets")
     own = first.where("slot IS NULL").select("doc_id", "key", "key2", "n_shingles")
     # at most ORDERS * SLOTS rows
@@ -312,12 +311,30 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     root = F.coalesce("root", "node")
     nodes = nodes.select("node", "least", root.alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     best = nodes.groupBy("root").agg(F.min("least").alias("best"))
-    nodes = nodes.join(best, "root").select(F.col("node").alias("key"), "best", "n_links")
-    empty = own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    full = own.where("n_shingles > 0").join(nodes, "key").select("doc_id", "n_shingles", F.col("best").alias("component_id"), "n_links")
+    nodes = nodes.join(best, "root").select(F.col("node").alias("key"), "root", "best", "n_links")
+    empty = own.where("n_shingles = 0").select("key", F.col("key").alias("root"), "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    full = own.where("n_shingles > 0").join(nodes, "key").select("key", "root", "doc_id", "n_shingles", F.col("best").alias("component_id"), "n_links")
     return full.union(empty)
 
 
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included) and n_links (the other
+    documents linked directly) of every document; links join sets whose Jaccard similarity is at least `percent` %."""
+    return _joined(docs, size, percent).drop("key", "root")
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows and columns of `docs` with the smallest id of their component, one a component; rows without words stay."""
+    found = _joined(docs, size, percent).where("n_shingles > 0")
+    ident = F.coalesce("doc_id", F.lit(-(2**63)))  # a null id is an id of its own
+    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("key", ident.alias("_id"))).alias("_best"))
+    rows = _with_key(docs.select(F.struct("*").alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), size)
+    rows = rows.select("_row", "key", ident.alias("_id"))
+    # copies of one text have ids of their own, so neither the join nor the choice among equal rows gathers them
+    first = rows.where("key <> 0").join(best.select("_best.*"), ["_id", "key"]).groupBy("_id", "key").agg(F.first("_row").alias("_row"))
+    return first.select("_row.*").unionByName(rows.where("key = 0").select("_row.*"))
+
+
 def _with_key(docs: DataFrame, size: int) -> DataFrame:
     """The rows with the key of their text's set."""
     schema = T.StructType([*docs.schema, T.StructField("key", T.LongType())])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import bound_batches, held_out, map_texts, table
+from marlstone.llm.common import bound_batches, held_out, map_texts, sampled, table
 from marlstone.llm.words import mix, words_of
 
 TRAIN_ROWS, TRAIN_CHARS = 1200, 20_000
@@ -244,15 +244,12 @@ SCHEMA = T.StructType(
 )
 
 
-def sample(labelled: DataFrame, columns: list[str], rows: int, chars: int = TRAIN_CHARS) -> DataFrame:
-    """A bounded sample to fit on: rows outside the held-out fold whose text is at most `chars` long, in order of a hash."""
-    ok = ~held_out() & F.col("text").isNotNull() & (F.length("text") <= chars)
-    return labelled.where(ok).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(*columns)
-
-
 def fit(docs: DataFrame) -> Model | None:
-    rows = sample(docs.select("doc_id", "text", "lang").where("lang IS NOT NULL"), ["text", "lang"], TRAIN_ROWS).collect()
-    return train([(r.text, r.lang) for r in rows])
+    """A model of a bounded sample: ids are drawn first, and only they meet the texts."""
+    labelled = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    ids = sampled(labelled.select("doc_id"), TRAIN_ROWS).distinct()
+    rows = labelled.join(F.broadcast(ids), "doc_id").select("text", "lang").limit(2 * TRAIN_ROWS).collect()
+    return train(sorted((r.text, r.lang) for r in rows))
 
 
 def identify(docs: DataFrame, keep: list[str], model: Model | None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import bound_batches, held_out, map_texts, table
+from marlstone.llm.common import bound_batches, held_out, map_texts, sampled, table
 from marlstone.llm.words import windows, words_of
 
 TRAIN_ROWS, TRAIN_CHARS = 4000, 40_000
@@ -170,7 +170,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
     broadcast side is bounded by that number. A row labelled twice counts twice.
     """
     ids = labels.where(~held_out() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows)
+    ids = sampled(ids, rows)
     found = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
     own = found.select("text", "_label").orderBy(F.xxhash64("text"), "text", "_label").limit(rows).collect()
     return [r.text.encode() for r in own], [int(r._label) for r in own]
