@@ -133,7 +133,11 @@ def listed(spans: Column) -> Column:
 def digest(scanned: DataFrame) -> DataFrame:
     """The counts of the base kinds, a hash of the base spans, and all spans, beside the kept columns."""
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(len(BASE))]
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long").alias(f"n_{KINDS[number]}")
+
+    counts = list(map(count, range(len(BASE))))
     return scanned.select("row.*", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
