@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm import oracles
 from marlstone.llm.bpe import op9
 from marlstone.llm.embedding_links import op7
 from marlstone.llm.html_text import op10
@@ -29,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_duckdb_bpe": op9,
     "op10_tag_path_ratios": op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.sql()
