@@ -111,7 +111,8 @@ def hurst(bars: DataFrame, n: int = 180) -> DataFrame:
 
 
 def _suprema(bars: DataFrame, names: list[str], kernel, block: int = 64) -> DataFrame:
-    """Expanding suprema: tasks are ranges of end points of a symbol, each with the series up to its end."""
+    """Expanding suprema: tasks are ranges of end points of a symbol, each with the series up to its end; the kernel gives the
+    values of all end points of a task."""
     series = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("s"))
     blocks = F.sequence(F.lit(0), (F.floor((F.size("s") - 1) / block)).cast("int"))
     tasks = series.select("symbol", F.explode(blocks).alias("_b"), "s").select("symbol", "_b", F.slice("s", F.lit(1), (F.col("_b") + 1) * block).alias("s"))
@@ -123,8 +124,8 @@ def _suprema(bars: DataFrame, names: list[str], kernel, block: int = 64) -> Data
             for symbol, b, s in zip(f["symbol"], f["_b"], f["s"]):
                 y = np.log(np.array([r["close"] for r in s], float))
                 days = [r["ts"] for r in s]
-                rows = [(symbol, days[t], *kernel(y, t)) for t in range(b * block, len(y))]
-                yield pd.DataFrame(rows, columns=["symbol", "ts", *names])
+                found = kernel(y, np.arange(b * block, len(y)))
+                yield pd.DataFrame({"symbol": symbol, "ts": days[b * block :]} | dict(zip(names, found)))
 
     return tasks.repartition("symbol", "_b").mapInPandas(run, kind)
 
@@ -132,9 +133,9 @@ def _suprema(bars: DataFrame, names: list[str], kernel, block: int = 64) -> Data
 def sadf(bars: DataFrame, least: int = 90) -> DataFrame:
     """Supremum over start points of the unit-root statistic with one lag, for every end point."""
 
-    def kernel(y: np.ndarray, t: int) -> tuple[float | None]:
+    def supremum(y: np.ndarray, t: int) -> float:
         if t < least:
-            return (None,)
+            return np.nan
         # all regressions end at t: normal equations of suffixes, centred, as running sums from the end
         d = np.diff(y[: t + 1])
         z = np.column_stack([y[1:t] - y[t], d[:-1], np.ones(t - 1)])
@@ -149,7 +150,10 @@ def sadf(bars: DataFrame, least: int = 90) -> DataFrame:
         n = (t - 1) - starts
         rss = np.maximum(s - (b * m).sum(1), 0)
         se = np.sqrt(np.maximum(rss / (n - 3) * inverse[:, 0, 0], 1e-300))
-        return (float(np.nanmax(b[:, 0] / se)),)
+        return float(np.nanmax(b[:, 0] / se))
+
+    def kernel(y: np.ndarray, ends: np.ndarray) -> list[list[float]]:
+        return [[supremum(y, int(t)) for t in ends]]
 
     return _suprema(bars, ["sadf"], kernel)
 
@@ -157,28 +161,31 @@ def sadf(bars: DataFrame, least: int = 90) -> DataFrame:
 def smt(bars: DataFrame, least: int = 90) -> DataFrame:
     """Suprema over start points of |t| of a linear and an exponential trend, damped by the root of the length."""
 
-    def kernel(y: np.ndarray, t: int) -> tuple[float | None, float | None]:
-        if t < least:
-            return None, None
-        best = [0.0, 0.0]
-        for start in range(0, t - least + 1, 1):
-            part = y[start : t + 1]
-            n = len(part)
-            for i, trend in enumerate((_LINE[:n], np.exp(_LINE[:n] / n))):
-                x = trend - trend.mean()
-                sxx = float(x @ x)
-                b = float(x @ part) / sxx
-                rss = float(((part - part.mean()) ** 2).sum()) - b * b * sxx
-                if rss > 0:
-                    best[i] = max(best[i], abs(b) / sqrt(rss / (n - 2) / sxx) / sqrt(n))
-        return best[0], best[1]
+    def kernel(y: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        last = int(ends[-1])
+        back = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(last), y - y.mean()]), last + 1)[ends, ::-1]
+        n = np.arange(1, last + 2)
+        # for every end and length: sums of the part, and its products with each trend, counted back from the end
+        total, square = np.cumsum(back, 1), np.cumsum(back**2, 1)
+        out = [np.zeros(len(ends)), np.zeros(len(ends))]
+        for low in range(least, last + 1, 256):
+            own = n[low : low + 256]
+            place = own[:, None] - 1 - np.arange(own[-1])[None, :]
+            held = place >= 0
+            for i, trend in enumerate((place, np.exp(place / own[:, None]))):
+                x = np.where(held, trend, 0.0)
+                sx, sxx = x.sum(1), (x**2).sum(1) - x.sum(1) ** 2 / own
+                sy, syy = total[:, own - 1], square[:, own - 1] - total[:, own - 1] ** 2 / own
+                sxy = back[:, : own[-1]] @ x.T - sx * sy / own
+                rss = np.maximum(syy - sxy**2 / sxx, 1e-300)
+                value = np.abs(sxy / sxx) / np.sqrt(rss / (own - 2) / sxx) / np.sqrt(own)
+                value[own[None, :] > ends[:, None] + 1] = 0
+                out[i] = np.maximum(out[i], value.max(1))
+        return [np.where(ends >= least, x, np.nan) for x in out]
 
     return _suprema(bars, ["smt_poly1", "smt_exp"], kernel)
 
 
-_LINE = np.arange(100_000, dtype=float)
-
-
 def stationarity(features: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
     """(symbol, feature, n, statistic, p_value, stationary) of each feature's series."""
     entries = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))

@@ -28,7 +28,7 @@ def dataset(daily: DataFrame, p: Labels = Labels()) -> DataFrame:
     """Bars to an aligned set (symbol, ts, event_pos, t1, bin, ret, w, features), as one lazy plan."""
     vol = labeling.daily_volatility(daily)
     bins = labeling.triple_barrier(vol, labeling.cusum_events(vol, p.multiplier), p.pt, p.sl, p.num_days, p.min_return)
-    bins = labeling.drop_rare(bins, drop_zero=p.drop_zero)
+    bins = labeling.drop_rare(bins, drop_zero=p.drop_zero).cache()  # one row an event
     weights = labeling.sample_weights(daily, bins, p.oldest).select("symbol", F.col("t0").alias("ts"), "w")
     matrix = features.technical(daily).join(features.statistical(daily), ["symbol", "ts"]).join(features.lags(daily), ["symbol", "ts"])
     return features.align(matrix, bins.withColumnRenamed("t0", "ts"), weights)
@@ -48,7 +48,7 @@ def run_split(aligned: DataFrame, found: DataFrame, split: int, columns: list[st
     """Test predictions of one split by a model of its train events, scaled on them; y is 1 for an upward label."""
     own = found.where(F.col("split_id") == split).select("event_pos", "role", "group_id")
     df = aligned.join(own, "event_pos").withColumn("y", (F.col("bin") > 0).cast("int")).dropna(subset=columns)
-    df = models.robust_scale(df, columns, F.col("role") == "train")
+    df = models.robust_scale(df, columns, F.col("role") == "train").cache()
     out = models.fit_predict(df.where("role = 'train'"), df.where("role = 'test'"), columns, name, **params)
     return out.select(F.lit(name).alias("model"), F.lit(split).alias("split_id"), F.lit(0).alias("seed"), "group_id", "ts", F.col("y").alias("y_true"), "p_up", "ret")
 

@@ -84,7 +84,7 @@ def gap_runs(spark, d):
     + ", coalesce(volume, 0.0) AS volume FROM j"
 )
 def gap_fill(spark, d):
-    return source.fill_gaps(source.bars_daily(spark, d))
+    return source.fill_gaps(source.bars_daily(spark, d), check=False)  # prices of longer gaps stay null
 
 
 @query(
@@ -297,7 +297,7 @@ def _vols(spark, d):
 
 def _bins(spark, d):
     vol = _vols(spark, d)
-    return labeling.triple_barrier(vol, labeling.cusum_events(vol))
+    return labeling.triple_barrier(vol, labeling.cusum_events(vol)).cache()  # events are few, and many queries start there
 
 
 @query(f"{EVENTS} SELECT symbol, ts, side FROM e")
@@ -358,7 +358,7 @@ ROLES = """gs AS (SELECT group_id, min(t0) AS g0, max(t1) AS g1, max(event_pos)
 
 def _daily_bins(spark, d):
     vol = labeling.daily_volatility(source.bars_daily(spark, d))
-    return labeling.triple_barrier(vol, labeling.cusum_events(vol))
+    return labeling.triple_barrier(vol, labeling.cusum_events(vol)).cache()
 
 
 @query(f"{DAILY_LABELS} SELECT event_pos, t0, group_id FROM ge")
@@ -680,13 +680,17 @@ def alignment_checks(spark, d):
     return features.alignment_faults(_aligned(spark, d))
 
 
-MODEL_COLUMNS = ["rsi", "macd_hist", "bb_width", "realized_vol", "log_returns_lag1", "log_returns_lag2"]
+MODEL_COLUMNS = ["roc_14", *(f"log_returns_lag{k}" for k in (1, 2, 3, 5, 7))]
 
 
 def _split(spark, d, name, **params):
-    df = _aligned(spark, d).cache()
-    found = cv.roles(cv.events(df.select("symbol", F.col("ts").alias("t0"), "t1")))
-    return flows.run_split(df.drop("event_pos").join(cv.events(df.select("symbol", F.col("ts").alias("t0"), "t1")).select("event_pos", "symbol", F.col("t0").alias("ts")), ["symbol", "ts"]), found, 0, MODEL_COLUMNS, name, **params)
+    bars, bins = source.bars_daily(spark, d), _daily_bins(spark, d)
+    matrix = features.returns(bars).select("symbol", "ts", "roc_14").join(features.lags(bars), ["symbol", "ts"])
+    weights = labeling.sample_weights(bars, bins).select("symbol", F.col("t0").alias("ts"), "w")
+    df = features.align(matrix, bins.withColumnRenamed("t0", "ts"), weights).cache()
+    ev = cv.events(df.select("symbol", F.col("ts").alias("t0"), "t1"))
+    numbered = df.drop("event_pos").join(ev.select("event_pos", "symbol", F.col("t0").alias("ts")), ["symbol", "ts"])
+    return flows.run_split(numbered, cv.roles(ev), 0, MODEL_COLUMNS, name, **params)
 
 
 @query()
