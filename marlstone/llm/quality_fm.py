@@ -26,7 +26,8 @@ from marlstone.llm.words import windows, words_of
 
 TRAIN_ROWS, TRAIN_CHARS = 4000, 40_000
 BITS, FACTORS, BINS = 14, 8, 10
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.05, 1e-5
+#: At least EPOCHS passes, and as many as make STEPS rows seen; rows a step; rate; weight decay.
+EPOCHS, STEPS, BATCH, RATE, DECAY = 12, 36_000, 32, 0.05, 1e-5
 
 #: Classes of bytes whose shares are statistics.
 CLASSES = {
@@ -126,7 +127,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 3) -> Machine | Non
     rows, cols, values = map(np.concatenate, (rows, cols, values))
     bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
     squares = [np.full(N_FEATURES, 1e-3), np.full((N_FEATURES, FACTORS), 1e-3)]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS // len(texts))):
         order = random.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
