@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.store import stored
 from marlstone.operators import cv, evaluate, features, labeling, models
 from marlstone.sources import bars as source
 
@@ -48,7 +49,7 @@ def run_split(aligned: DataFrame, found: DataFrame, split: int, columns: list[st
     """Test predictions of one split by a model of its train events, scaled on them; y is 1 for an upward label."""
     own = found.where(F.col("split_id") == split).select("event_pos", "role", "group_id")
     df = aligned.join(own, "event_pos").withColumn("y", (F.col("bin") > 0).cast("int")).dropna(subset=columns)
-    df = models.robust_scale(df, columns, F.col("role") == "train").cache()
+    df = stored(models.robust_scale(df, columns, F.col("role") == "train"))
     out = models.fit_predict(df.where("role = 'train'"), df.where("role = 'test'"), columns, name, **params)
     return out.select(F.lit(name).alias("model"), F.lit(split).alias("split_id"), F.lit(0).alias("seed"), "group_id", "ts", F.col("y").alias("y_true"), "p_up", "ret")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import ts
+from marlstone.functions.store import stored
 from marlstone.operators import cv, diagnose, evaluate, features, kernels, labeling, models
 from marlstone.plans import flows
 from marlstone.sources import bars as source
@@ -687,10 +688,10 @@ def _split(spark, d, name, **params):
     bars, bins = source.bars_daily(spark, d), _daily_bins(spark, d)
     matrix = features.returns(bars).select("symbol", "ts", "roc_14").join(features.lags(bars), ["symbol", "ts"])
     weights = labeling.sample_weights(bars, bins).select("symbol", F.col("t0").alias("ts"), "w")
-    df = features.align(matrix, bins.withColumnRenamed("t0", "ts"), weights).cache()
+    df = stored(features.align(matrix, bins.withColumnRenamed("t0", "ts"), weights))
     ev = cv.events(df.select("symbol", F.col("ts").alias("t0"), "t1"))
     numbered = df.drop("event_pos").join(ev.select("event_pos", "symbol", F.col("t0").alias("ts")), ["symbol", "ts"])
-    return flows.run_split(numbered, cv.roles(ev), 0, MODEL_COLUMNS, name, **params)
+    return flows.run_split(numbered, stored(cv.roles(ev)), 0, MODEL_COLUMNS, name, **params)
 
 
 @query()
@@ -720,12 +721,12 @@ def model_spline(spark, d):
 
 @query()
 def platt_calibration(spark, d):
-    df = _preds(spark, d).where("model = 'm0' AND split_id = 0").withColumn("raw", F.log(F.col("p_up") / (1 - F.col("p_up")))).withColumnRenamed("y_true", "y")
+    df = stored(_preds(spark, d).where("model = 'm0' AND split_id = 0")).withColumn("raw", F.log(F.col("p_up") / (1 - F.col("p_up")))).withColumnRenamed("y_true", "y")
     return models.apply_platt(df, *models.platt(df)).select("ts", "seed", "p_up", "p_cal")
 
 
 @query()
 def symbolic_edges(spark, d):
     df = _feats(spark, d).dropna()
-    df = models.robust_scale(df, FEATS)
-    return models.symbolic_edges(df.withColumn("y", F.col("realized_vol")), ["bb_width", "gk_vol"], "y")
+    df = stored(models.robust_scale(df, FEATS))
+    return models.symbolic_edges(df.withColumn("y", F.col("realized_vol")), ["bb_width", "gk_vol"], "y", scales=(1.0,), shifts=(0.0,))
