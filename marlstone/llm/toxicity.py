@@ -2,12 +2,13 @@
 
 Disguised words (digits or signs among letters, letters drawn out, letters set apart) become lattices of characters: a sign
 may stand for the letters it resembles, a separator or a drawn-out letter may be dropped. Viterbi decoding under a trigram
-model of characters, learned from the words of the training sample, picks the restored word. Restored texts are scored by a
+model of characters, counted over the words of all texts outside the held-out fold, picks the restored word. Restored texts are scored by a
 logistic regression on counts of word beginnings, of three letters up to the whole word, that the training sample shows to
 go with the label, and on the number of words: with counts that follow a Poisson law that is the likelihood ratio.
 
-The model learns from a bounded sample: TRAIN_ROWS labelled rows outside the held-out fold in order of a hash of the id, of
-texts up to TRAIN_CHARS characters, each read whole.
+Only the regression learns from a bounded sample: TRAIN_ROWS labelled rows outside the held-out fold in order of a hash of the
+id, of texts up to TRAIN_CHARS characters, each read whole. Words and trigrams are counted by Spark, so that they grow with
+the corpus; the driver gets the trigrams and eight bytes for each known word.
 
 Defined results: null and empty texts get the score of a text without words; with no row, or no row of a class, to learn
 from, all scores are the share of the label (0 without rows); equal texts get equal scores; columns other than the id, the
@@ -17,14 +18,17 @@ text and, for training, the label are never read.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
 from math import log
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import CACHE_WORDS, bound_batches, held_out, map_texts, table
+from marlstone.llm.common import CACHE_WORDS, bound_batches, chunks, held_out, map_texts, table, written
 from marlstone.llm.quality_fm import labelled_sample, sigmoid
 from marlstone.llm.words import mix, words_of
 
@@ -41,6 +45,8 @@ KEEP, SUBSTITUTE, DROP, REPEAT = 0.0, -1.0, -0.7, -0.9
 #: Words longer than this are no disguised words; runs of this many lone letters are read as one word.
 LONGEST, LONE = 40, 4
 LENGTHS = (3, 4, 5, 6, 7)
+#: Units in which the weights of trigrams are summed; different words that a task counts before it passes them on.
+UNIT, HELD_WORDS = 1 << 20, 200_000
 MAX_FEATURES, MIN_EVIDENCE, MIN_RATIO = 600, 14.0, 2.0
 
 _trim = re.compile(r"^[^\w@$|(!+*#]+|[^\w@$|]+$")
@@ -56,28 +62,62 @@ def disguised(word: str) -> bool:
     return own >= 2 and (own < n and 3 * own >= n or bool(_drawn_out.search(word)))
 
 
-class Channel:
-    """Character trigrams with interpolated lower orders, and the decoder over them."""
+def word_key(word: str) -> int:
+    """A 64-bit hash of a word, the same in all processes."""
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
 
-    def __init__(self, words: dict[str, int]) -> None:
-        grams: tuple[dict[str, float], ...] = ({}, {}, {})
-        for word, n in words.items():
-            padded = f"\x02\x02{word}\x03"
-            weight = log(1 + n)
-            for i in range(2, len(padded)):
-                for k in (1, 2, 3):
-                    g = padded[i - k + 1 : i + 1]
-                    grams[k - 1][g] = grams[k - 1].get(g, 0.0) + weight
-        self.grams = grams
-        self.total = sum(grams[0].values()) or 1.0
+
+def add_words(texts: list[bytes | None], counts: dict[str, int]) -> None:
+    """Add the plain words of texts, in lower case and without edge signs, to their counts."""
+    data, starts, ends, _, ids = words_of(texts)
+    _, first, n = np.unique(ids, return_index=True, return_counts=True)
+    raw = data.tobytes()
+    for s, e, times in zip(starts[first].tolist(), ends[first].tolist(), n.tolist()):
+        core = _trim.sub("", raw[s:e].decode().lower())
+        if core.isalpha() and len(core) <= LONGEST and not _drawn_out.search(core):
+            counts[core] = counts.get(core, 0) + times
+
+
+def add_grams(word: str, n: int, grams: dict[str, int]) -> None:
+    """Add the weight of a word met n times to its characters, pairs and trigrams, in whole units, so that order is no matter."""
+    padded = f"\x02\x02{word}\x03"
+    weight = round(log(1 + n) * UNIT)
+    for i in range(2, len(padded)):
+        for k in (1, 2, 3):
+            g = padded[i - k + 1 : i + 1]
+            grams[g] = grams.get(g, 0) + weight
+
+
+class Channel:
+    """Character trigrams with interpolated lower orders, the known words, and the decoder over them."""
+
+    def __init__(self, grams: dict[str, int], known: Iterable[int]) -> None:
+        """grams: weights in units of 1 / UNIT; known: the hashes of words met twice or more."""
+        self.grams: tuple[dict[str, float], ...] = ({}, {}, {})
+        for g in sorted(grams):
+            self.grams[len(g) - 1][g] = grams[g] / UNIT
+        self.total = sum(self.grams[0].values()) or 1.0
         self.sums: tuple[dict[str, float], ...] = ({}, {})
         for k in (1, 2):
-            for g, n in grams[k].items():
+            for g, n in self.grams[k].items():
                 self.sums[k - 1][g[:-1]] = self.sums[k - 1].get(g[:-1], 0.0) + n
-        self.known = frozenset(w for w, n in words.items() if n > 1)
+        self.known = np.unique(np.asarray(known, np.int64))
         self.cost: dict[str, float] = {}
         self.memory: dict[str, str] = {}
 
+    @classmethod
+    def of(cls, words: dict[str, int]) -> Channel:
+        """A channel from the counts of words."""
+        grams: dict[str, int] = {}
+        for word, n in words.items():
+            add_grams(word, n, grams)
+        return cls(grams, [word_key(w) for w, n in words.items() if n > 1])
+
+    def knows(self, word: str) -> bool:
+        key = word_key(word)
+        at = int(self.known.searchsorted(key))
+        return at < len(self.known) and int(self.known[at]) == key
+
     def score(self, before: str, char: str) -> float:
         """Log probability of a character after two others."""
         g = before + char
@@ -107,7 +147,7 @@ class Channel:
         while i < len(run):
             for j in range(min(len(run), i + LONGEST), i + LONE - 1, -1):
                 word = self.decode(run[i:j])
-                if len(word) >= LONE and word in self.known:
+                if len(word) >= LONE and self.knows(word):
                     out.append(word)
                     i = j
                     break
@@ -133,8 +173,8 @@ class Channel:
                 if drop is not None and (state not in step or cost + drop > step[state][0]):
                     step[state] = cost + drop, out
             states, last = step, char
-        # a word that training has seen comes before one that is only made of likely letters
-        return max(((cost + self.score(s, "\x03") + 6.0 * (out in self.known), out) for s, (cost, out) in states.items()), default=(0, word))[1]
+        # a known word comes before one that is only made of likely letters
+        return max(((cost + self.score(s, "\x03") + 6.0 * self.knows(out), out) for s, (cost, out) in states.items()), default=(0, word))[1]
 
 
 def restore(word: str, channel: Channel) -> str:
@@ -212,16 +252,14 @@ class Scorer:
         return sigmoid(self.counts(texts) @ self.weights + self.bias)
 
 
-def train(texts: list[bytes], labels: list[int]) -> Scorer:
-    """Channel, beginnings and weights from labelled texts."""
+def train(texts: list[bytes], labels: list[int], channel: Channel | None = None) -> Scorer:
+    """Beginnings and weights from labelled texts, and a channel from their words unless one is given."""
     y = np.array(labels, float)
-    vocabulary: dict[str, int] = {}
-    for text in texts:
-        for word in text.decode().lower().split():
-            core = _trim.sub("", word)
-            if core.isalpha() and len(core) <= LONGEST and not _drawn_out.search(core):
-                vocabulary[core] = vocabulary.get(core, 0) + 1
-    channel = Channel(vocabulary)
+    if channel is None:
+        vocabulary: dict[str, int] = {}
+        for i in range(0, len(texts), 512):
+            add_words(texts[i : i + 512], vocabulary)
+        channel = Channel.of(vocabulary)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         bias = 30.0 * (2 * share - 1) if len(y) else -30.0
@@ -290,12 +328,54 @@ def rater(scorer: Scorer, threshold: float = 0.5) -> Callable[[list[bytes | None
 
 def rate(docs: DataFrame, keep: list[str], scorer: Scorer, threshold: float = 0.5) -> DataFrame:
     """`keep`, the toxicity of each text and whether it reaches the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # trigrams, and eight bytes for each known word
     return map_texts(docs, keep, lambda: rater(shared.value, threshold), SCHEMA)
 
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """The plain words of all texts outside the held-out fold, and how often each is met."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        for batch in batches:
+            for _, texts in chunks(batch):
+                add_words(texts, counts)
+                if len(counts) > HELD_WORDS:
+                    yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+                    counts.clear()
+        if counts:
+            yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+
+    own = docs.where(~F.coalesce(held_out(), F.lit(False))).select("text")
+    return own.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def channel_of(docs: DataFrame) -> Channel:
+    """The channel of all texts outside the held-out fold; the driver gets trigrams and the hashes of known words."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, int] = {}
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                add_grams(word, n, own)
+            if len(own) > HELD_WORDS:
+                yield pa.RecordBatch.from_pydict({"gram": list(own), "weight": list(own.values())})
+                own.clear()
+        if own:
+            yield pa.RecordBatch.from_pydict({"gram": list(own), "weight": list(own.values())})
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"key": pa.array(map(word_key, batch.column("word").to_pylist()), pa.int64())})
+
+    words = written(vocabulary(docs), "vocabulary")
+    summed = words.mapInArrow(grams, "gram string, weight long").groupBy("gram").agg(F.sum("weight").alias("weight")).toArrow()
+    known = words.where("n > 1").mapInArrow(keys, "key long").toArrow()
+    return Channel(dict(zip(summed["gram"].to_pylist(), summed["weight"].to_pylist())), known["key"].to_numpy())
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
-    return train(*labelled_sample(docs, labels, "toxic", TRAIN_ROWS, TRAIN_CHARS))
+    return train(*labelled_sample(docs, labels, "toxic", TRAIN_ROWS, TRAIN_CHARS), channel_of(docs))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,6 +229,25 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
     assert full[0] == pytest.approx(machine.bias + 0.5 * machine.linear[1] + 2 * machine.linear[2] + 0.5 * 2 * (v[1] @ v[2]))
 
 
+def test_channel_counts_words_of_all_texts(spark):
+    from marlstone.llm import toxicity
+
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 0)
+    free = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5][:4]
+    texts = [(free[0], "a plain text of words"), (free[1], "an idiot, an idiot"), (free[2], "Zygomorph, the zygomorph!"), (free[3], None), (held, "quixotry quixotry"), (None, "marmot marmot")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(free[0], 0), (free[1], 1)], "doc_id long, toxic int")
+    channel = toxicity.fit(docs, labels).channel  # no label has the third text
+    assert channel.knows("zygomorph") and toxicity.restore("zyg0m0rph", channel) == "zygomorph"
+    assert channel.knows("marmot") and not channel.knows("quixotry") and not channel.knows("plain")
+    assert channel.segment("zygomorph") == ["zygomorph"]
+    counts = {}
+    toxicity.add_words([t.encode() for i, t in texts if t and i != held], counts)
+    other = toxicity.Channel.of(counts)
+    assert other.grams == channel.grams and (other.known == channel.known).all()
+    assert toxicity.fit(docs.limit(0), labels.limit(0)).channel.decode("x1") is not None
+
+
 def test_main_text(spark, empty):
     from marlstone.llm.html_text import extract, main_text
 
