@@ -1,7 +1,8 @@
 """Toxicity behind disguises: a noisy channel restores words, then the restored text is scored.
 
-Disguised words (digits or signs among letters, letters drawn out, letters set apart) become lattices of characters: a sign
-may stand for the letters it resembles, a separator or a drawn-out letter may be dropped. Viterbi decoding under a trigram
+Disguised words (digits or signs among letters or in their place, letters repeated, letters set apart) of any length become
+lattices of characters: a sign may stand for the letters it resembles, a separator or a repeated letter may be dropped. Known
+words stand for themselves, and so do numbers and words of mostly signs behind which there is no known word. Viterbi decoding under a trigram
 model of characters, counted over the words of all texts outside the held-out fold, picks the restored word. Restored texts are scored by a
 logistic regression on counts of word beginnings, of three letters up to the whole word, that the training sample shows to
 go with the label, and on the number of words: with counts that follow a Poisson law that is the likelihood ratio.
@@ -21,6 +22,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 from math import log
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -42,24 +44,44 @@ RESEMBLES = {
 SEPARATORS = "._-~*'`^,:;/\\+=|"
 #: Costs, as log probabilities, of a letter standing for itself, of a sign for a letter, of dropping a separator or a repeat.
 KEEP, SUBSTITUTE, DROP, REPEAT = 0.0, -1.0, -0.7, -0.9
-#: Words longer than this are no disguised words; runs of this many lone letters are read as one word.
+#: Words of the language have at most so many letters, disguises any number; runs of this many lone letters are read as one word.
 LONGEST, LONE = 40, 4
 LENGTHS = (3, 4, 5, 6, 7)
 #: Units in which the weights of trigrams are summed; different words that a task counts before it passes them on.
 UNIT, HELD_WORDS = 1 << 20, 200_000
 MAX_FEATURES, MIN_EVIDENCE, MIN_RATIO = 600, 14.0, 2.0
 
+#: Characters that the decoder reads at a time, after which it keeps what all paths share.
+STRIDE = 256
+
 _trim = re.compile(r"^[^\w@$|(!+*#]+|[^\w@$|]+$")
+#: The same, with all signs that resemble letters left at the end.
+_trim_wide = re.compile(r"^[^\w@$|(!+*#]+|[^\w@$|(<€£!+*#]+$")
 _drawn_out = re.compile(r"(.)\1\1")
+_doubled = re.compile(r"(?:(.)\1+)+")
+_repeat = re.compile(r"(.)\1")
+_long_run = re.compile(r"(.)\1{2,}", re.S)
+_inner_sign = re.compile(rf"(?!\A)[{re.escape(''.join(c for c in RESEMBLES if not c.isalnum() and c not in SEPARATORS))}](?!\Z)")
 
 
 def disguised(word: str) -> bool:
-    """Whether a lower-case word has signs among its letters or letters drawn out."""
-    n = len(word)
-    if not 3 <= n <= LONGEST:
-        return False
+    """Whether a lower-case word has signs among its letters or in their place, or a letter twice in a row.
+
+    Numbers, with a currency's sign at an edge or separators between, are none.
+    """
     own = sum(map(str.isalpha, word))
-    return own >= 2 and (own < n and 3 * own >= n or bool(_drawn_out.search(word)))
+    return len(word) >= 3 and (own < len(word) and (own > 0 or bool(_inner_sign.search(word))) or bool(own and _repeat.search(word)))
+
+
+def mostly_signs(word: str) -> bool:
+    """Whether letters are too few to make a word likely that is not known."""
+    own = sum(map(str.isalpha, word))
+    return own < 2 or 3 * own < len(word)
+
+
+def collapsed(word: str) -> str:
+    """A word with runs of a separator as one of it, and other runs as two of a kind."""
+    return _long_run.sub(lambda m: m[1] if m[1] in SEPARATORS else 2 * m[1], word)
 
 
 def word_key(word: str) -> int:
@@ -74,7 +96,7 @@ def add_words(texts: list[bytes | None], counts: dict[str, int]) -> None:
     raw = data.tobytes()
     for s, e, times in zip(starts[first].tolist(), ends[first].tolist(), n.tolist()):
         core = _trim.sub("", raw[s:e].decode().lower())
-        if core.isalpha() and len(core) <= LONGEST and not _drawn_out.search(core):
+        if core.isalpha() and len(core) <= LONGEST and not _drawn_out.search(core) and not _doubled.fullmatch(core):
             counts[core] = counts.get(core, 0) + times
 
 
@@ -134,15 +156,19 @@ class Channel:
 
     def decode(self, word: str) -> str:
         """The likeliest word behind a disguised one."""
+        word = collapsed(word)
         found = self.memory.get(word)
         if found is None:
-            if len(self.memory) > CACHE_WORDS // 4:
-                self.memory.clear()
-            self.memory[word] = found = self._viterbi(word)
+            found = self._viterbi(word)
+            if len(word) <= STRIDE:
+                if len(self.memory) > CACHE_WORDS // 4:
+                    self.memory.clear()
+                self.memory[word] = found
         return found
 
     def segment(self, run: str) -> list[str]:
         """The known words of at least LONE letters in a run of lone ones, longest first from the left; else the run decoded."""
+        run = collapsed(run)
         out, i = [], 0
         while i < len(run):
             for j in range(min(len(run), i + LONGEST), i + LONE - 1, -1):
@@ -153,12 +179,16 @@ class Channel:
                     break
             else:
                 i += 1
-        return out or [self.decode(run[i : i + LONGEST]) for i in range(0, len(run), LONGEST)]
+        return out or [self.decode(run)]
 
     def _viterbi(self, word: str) -> str:
         states: dict[str, tuple[float, str]] = {"\x02\x02": (0.0, "")}
-        last = ""
-        for char in word:
+        last, shared = "", []
+        for i, char in enumerate(word):
+            if i and i % STRIDE == 0:  # what all paths begin with is settled, so that long words take time in proportion
+                own = commonprefix([out for _, out in states.values()])
+                shared.append(own)
+                states = {s: (cost, out[len(own) :]) for s, (cost, out) in states.items()}
             options = [(char, KEEP)] if char.isalpha() else []
             options += [(c, SUBSTITUTE) for c in RESEMBLES.get(char, "")]
             drop = DROP if char in SEPARATORS else REPEAT if char == last else None
@@ -172,15 +202,27 @@ class Channel:
                         step[to] = value, out + c
                 if drop is not None and (state not in step or cost + drop > step[state][0]):
                     step[state] = cost + drop, out
-            states, last = step, char
+            states, last = step, last if char in SEPARATORS else char
         # a known word comes before one that is only made of likely letters
-        return max(((cost + self.score(s, "\x03") + 6.0 * self.knows(out), out) for s, (cost, out) in states.items()), default=(0, word))[1]
+        head = "".join(shared)
+        ends = ((cost + self.score(s, "\x03") + 6.0 * self.knows(head + out), head + out) for s, (cost, out) in states.items())
+        return max(ends, default=(0, word))[1]
 
 
 def restore(word: str, channel: Channel) -> str:
-    """A word in lower case without edge signs, decoded if it is disguised."""
+    """A word in lower case without edge signs, decoded if it is disguised; a sign at its end may be its last letter."""
     core = _trim.sub("", word)
-    return channel.decode(core) if disguised(core) else core
+    if core.isalpha() and (not _repeat.search(core) or channel.knows(core)):
+        return core
+    likeliest = channel.decode(core) if disguised(core) else core
+    if channel.knows(likeliest):
+        return likeliest
+    wide = _trim_wide.sub("", word)
+    if wide != core and disguised(wide):
+        found = channel.decode(wide)
+        if channel.knows(found):
+            return found
+    return core if mostly_signs(core) else likeliest
 
 
 def restored_words(texts: list[bytes | None], channel: Channel) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -248,6 +248,33 @@ def test_channel_counts_words_of_all_texts(spark):
     assert toxicity.fit(docs.limit(0), labels.limit(0)).channel.decode("x1") is not None
 
 
+def test_disguises_of_any_length_and_share_of_letters():
+    from marlstone.llm import toxicity
+
+    plain = "idiot asshole letter good god too to stupid moron cool soon is are people worthless pathetic nice walks away".split()
+    channel = toxicity.Channel.of({w: 50 for w in plain})
+    for word, meant in {
+        "i" * 60 + "diot": "idiot",
+        ".".join("i" * 30 + "diot"): "idiot",
+        "i" + "-" * 100 + "diot": "idiot",
+        "4$$h0l3": "asshole",
+        "1d!0+": "idiot",
+        "iiddiioott": "idiot",
+        "idi0t!": "idiot",
+        "idioot": "idiot",
+        "1d10t": "idiot",
+    }.items():
+        assert toxicity.restore(word, channel) == meant, word
+    for word in (*plain, "2024", "$455", "1,455", "12+3", "x1", "idiot"):
+        assert toxicity.restore(word, channel) == word.lstrip(",")
+    assert channel.segment("i" * 60 + "diot") == ["idiot"] and channel.segment("iiddiioott") == ["idiot"]
+    long = "1d10t" * 2000
+    assert len(toxicity.restore(long, channel)) == 10_000 and toxicity.restore(long, channel).startswith("idiot")
+    counts = {}
+    toxicity.add_words([b"iiddiioott iiddiioott good good"], counts)
+    assert counts == {"good": 2}
+
+
 def test_main_text(spark, empty):
     from marlstone.llm.html_text import extract, main_text
 
