@@ -2,8 +2,8 @@
 
 Text is gathered into blocks, each with the tag path from the root to where it stands. Per path, the page's text length
 and punctuation are summed and set against the number of blocks; the two ratios are smoothed along the page, fused and
-held against a threshold. The blocks on the paths that pass are the content nodes; the smallest element that holds nearly
-all of them, the article, gives the text. Parts that are no prose by their element or naming (navigation, page headers and
+held against a threshold. The blocks on the paths that pass, and the headings right before them, are the content nodes; where
+most of their text is in elements marked as the article, those outside are left out. Parts that are no prose by their element or naming (navigation, page headers and
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) never take part.
 
 Defined results: null, empty and text-free pages give an empty text of 0 characters; each row stands on its own, so
@@ -51,6 +51,8 @@ NAMED = re.compile(
 )
 #: Elements that can be the article; those marked as such come before a container without a name (fixed values).
 CONTAINERS, MARKED = frozenset("html body main article section div center table tbody tr td".split()), frozenset(("article", "main"))
+#: Short by nature, so they stand with what they head.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 caption dt".split())
 KEPT_ROOTS = frozenset(("html", "body", "article", "main"))
 #: Share of the best fused ratio that a path needs, and of the chosen text that the article must hold.
 THRESHOLD, HELD = 0.12, 0.85
@@ -169,14 +171,16 @@ def main_text(html: str) -> str:
         own[1] += sum(map(body.count, PUNCTUATION))
         own[2] += 1
         own[3] += min(block.linked, len(body))
-    # the ratios of each block's path, smoothed over its neighbours, so that a short heading stands with its paragraphs
+    # the ratios of each block's path, smoothed over its neighbours, so that a short part stands with its paragraphs; a path has the mean of its blocks
     length = _smooth([sums[b.path][0] / sums[b.path][2] * (1 - sums[b.path][3] / max(1, sums[b.path][0])) for b, _ in found])
     points = _smooth([(sums[b.path][1] + 1) / (sums[b.path][2] + 1) for b, _ in found])
     fused: dict[str, float] = {}
     for (block, _), x, y in zip(found, length, points, strict=True):
-        fused[block.path] = max(fused.get(block.path, 0.0), sqrt(x * y))
+        size, _, n, linked = sums[block.path]  # neighbours lend links nothing
+        fused[block.path] = fused.get(block.path, 0.0) + (1 - linked / max(1, size)) * sqrt(x * y) / n
     best = max(fused.values())
-    chosen = [(b, body) for b, body in found if fused[b.path] >= THRESHOLD * best]
+    passed = {path for path, ratio in fused.items() if ratio >= THRESHOLD * best}
+    chosen = [(b, body) for b, body in found if b.path in passed]
     held: dict[int, int] = {}
     total = marked = 0
     for block, body in chosen:
@@ -185,13 +189,22 @@ def main_text(html: str) -> str:
         for node in block.nodes:
             held[node] = held.get(node, 0) + len(body)
     if marked > total / 2:
-        return "\n".join(body for block, body in found if block.marked)
+        return "\n".join(body for (block, body), ok in zip(found, _content(found, passed), strict=True) if ok and block.marked)
     article = max((n for n, size in held.items() if size >= HELD * total), default=0)
     if not article:
         return "\n".join(body for _, body in found)
     return "\n".join(body for block, body in found if article in block.nodes)
 
 
+def _content(found: list[tuple[Block, str]], passed: set[str]) -> list[bool]:
+    """Which blocks are content: those on the paths that passed, and the headings right before them."""
+    out, follows = [], False
+    for block, _ in reversed(found):
+        follows = block.path in passed or follows and block.path.rpartition("/")[2] in HEADINGS
+        out.append(follows)
+    return out[::-1]
+
+
 def _smooth(values: list[float]) -> list[float]:
     """Means of each value and its neighbours, weighted 1, 2, 1."""
     padded = [values[0], *values, values[-1]]

@@ -286,6 +286,18 @@ def test_main_text(spark, empty):
     assert [(r.page_id, r.text, r.n_chars) for r in extract(pages, ["page_id", "url"]).orderBy("page_id").collect()] == [(1, "", 0), (2, "a", 1)]
 
 
+SENTENCES = "A sentence of the article, with some words; and more of them. " * 8
+
+
+def test_paths_decide_within_a_marked_article():
+    from marlstone.llm.html_text import main_text
+
+    body = SENTENCES.strip()
+    links = "".join(f"<li><a href=x{i}>Link {i}</a></li>" for i in range(12))
+    page = f"<body><main><h1>Title</h1><p>{body}</p><p>Short.</p><h2>Part</h2><p>{body}</p><ul>{links}</ul></main></body>"
+    assert main_text(page) == f"Title\n{body}\nShort.\nPart\n{body}"
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
