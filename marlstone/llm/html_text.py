@@ -49,13 +49,13 @@ NAMED = re.compile(
     r"login|signup|search|form|dialog|hidden)(?:$|[\s_-])",
     re.I,
 )
-#: Elements that can be the article; those marked as such come before a container without a name (fixed values).
-CONTAINERS, MARKED = frozenset("html body main article section div center table tbody tr td".split()), frozenset(("article", "main"))
+#: Elements marked as the article (fixed values).
+MARKED = frozenset(("article", "main"))
 #: Short by nature, so they stand with what they head.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 caption dt".split())
 KEPT_ROOTS = frozenset(("html", "body", "article", "main"))
-#: Share of the best fused ratio that a path needs, and of the chosen text that the article must hold.
-THRESHOLD, HELD = 0.12, 0.85
+#: Share of the best fused ratio that a path needs.
+THRESHOLD = 0.12
 PUNCTUATION = ".,;:!?…。，、！？"
 
 _token = re.compile(
@@ -69,20 +69,19 @@ _hidden = re.compile(r"\s(?:hidden(?=[\s=/>])|aria-hidden\s*=\s*[\"']?true|style
 class Block:
     """A run of text without a block boundary: where it stands and how much of it is linked."""
 
-    __slots__ = ("path", "nodes", "parts", "linked", "marked")
+    __slots__ = ("path", "parts", "linked", "marked")
 
-    def __init__(self, path: str, nodes: tuple[int, ...], marked: int) -> None:
-        """nodes: the numbers of the containers around it, outermost first; marked: the outermost that is marked as the article."""
-        self.path, self.nodes, self.marked, self.parts, self.linked = path, nodes, marked, [], 0
+    def __init__(self, path: str, marked: bool) -> None:
+        """marked: whether it is in an element that is marked as the article."""
+        self.path, self.marked, self.parts, self.linked = path, marked, [], 0
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks of visible text outside skipped parts, in page order."""
     out: list[Block] = []
     names: list[str] = []
-    numbers: list[int] = []
     skipping: list[bool] = []
-    count, at, links = 0, 0, 0
+    at, links = 0, 0
     current: Block | None = None
     raw_end: re.Pattern | None = None
 
@@ -90,7 +89,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal links
         for name in names[to:]:
             links -= name == "a"
-        del names[to:], numbers[to:], skipping[to:]
+        del names[to:], skipping[to:]
 
     def close(names_: tuple[str, ...] | str, barriers: tuple[str, ...] = ()) -> None:
         for i in range(len(names) - 1, -1, -1):
@@ -108,8 +107,7 @@ def blocks(html: str) -> list[Block]:
             if not piece.strip():
                 return
             path = "/".join(n for n in names if n in BLOCK)
-            marked = next((k for n, k in zip(names, numbers) if n in MARKED), 0)
-            current = Block(path, tuple(k for n, k in zip(names, numbers) if n in CONTAINERS), marked)
+            current = Block(path, not MARKED.isdisjoint(names))
             out.append(current)
         current.parts.append(piece)
         if links:
@@ -148,8 +146,7 @@ def blocks(html: str) -> list[Block]:
         skip = bool(skipping and skipping[-1]) or tag in SKIPPED
         if not skip and len(rest) > 2 and tag not in KEPT_ROOTS:
             skip = bool(_hidden.search(" " + rest)) or any(NAMED.search(" ".join(m).strip()) for m in _named_by.findall(" " + rest))
-        count += 1
-        names.append(tag), numbers.append(count), skipping.append(skip)
+        names.append(tag), skipping.append(skip)
         links += tag == "a"
     return out
 
@@ -181,19 +178,10 @@ def main_text(html: str) -> str:
     best = max(fused.values())
     passed = {path for path, ratio in fused.items() if ratio >= THRESHOLD * best}
     chosen = [(b, body) for b, body in found if b.path in passed]
-    held: dict[int, int] = {}
-    total = marked = 0
-    for block, body in chosen:
-        total += len(body)
-        marked += len(body) * bool(block.marked)
-        for node in block.nodes:
-            held[node] = held.get(node, 0) + len(body)
-    if marked > total / 2:
-        return "\n".join(body for (block, body), ok in zip(found, _content(found, passed), strict=True) if ok and block.marked)
-    article = max((n for n, size in held.items() if size >= HELD * total), default=0)
-    if not article:
-        return "\n".join(body for _, body in found)
-    return "\n".join(body for block, body in found if article in block.nodes)
+    total = sum(len(body) for _, body in chosen)
+    marked = sum(len(body) for block, body in chosen if block.marked)
+    inside = marked > total / 2
+    return "\n".join(body for (block, body), ok in zip(found, _content(found, passed), strict=True) if ok and (block.marked or not inside))
 
 
 def _content(found: list[tuple[Block, str]], passed: set[str]) -> list[bool]:

@@ -298,6 +298,16 @@ def test_paths_decide_within_a_marked_article():
     assert main_text(page) == f"Title\n{body}\nShort.\nPart\n{body}"
 
 
+def test_unmarked_pages_keep_all_content():
+    from marlstone.llm.html_text import main_text
+
+    body, long = SENTENCES.strip(), (5 * SENTENCES).strip()
+    nested = f"<body><div class=post><h1>Title</h1><p>The lead.</p><div class=body>{long}</div></div></body>"
+    assert main_text(nested) == f"Title\nThe lead.\n{long}"
+    siblings = f"<body><div><h1>Title</h1><div><p>{long}</p></div><div><p>{body}</p><p>Last.</p></div></div><ul><li><a href=x>More</a></li></ul></body>"
+    assert main_text(siblings) == f"Title\n{long}\n{body}\nLast."
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
