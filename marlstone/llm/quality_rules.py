@@ -50,6 +50,21 @@ SCHEMA = T.StructType(
 )
 
 WHITE = b" \t\n\r\x0b\x0c"
+#: All bytes but the capitals of ASCII, and all but its small letters.
+NO_CAPITAL = bytes(i for i in range(256) if not 65 <= i <= 90)
+NO_SMALL = bytes(i for i in range(256) if not 97 <= i <= 122)
+
+
+def shouts(line: str) -> bool:
+    """Whether capitals are more than MAX_UPPER_SHARE of at least MIN_SHOUT letters."""
+    raw = line.encode()
+    small = len(raw.translate(None, NO_SMALL))
+    most = len(raw.translate(None, NO_CAPITAL)) + (0 if len(raw) == len(line) else sum(map("\x7f".__lt__, line)))
+    if most <= MAX_UPPER_SHARE * max(MIN_SHOUT, most + small):  # even if all that is not ASCII were capitals
+        return False
+    letters = sum(map(str.isalpha, line))
+    return letters >= MIN_SHOUT and sum(map(str.isupper, line)) > MAX_UPPER_SHARE * letters
+
 
 def line_fails(line: str, symbols: bool = True, phrases: bool = True) -> str | None:
     """The rule that a line with a word breaks, or None; the flags say what its text may hold at all."""
@@ -61,13 +76,8 @@ def line_fails(line: str, symbols: bool = True, phrases: bool = True) -> str | N
             return "navigation"
         if n_symbols > MAX_SYMBOL_SHARE * n:
             return "symbols"
-    if line.isupper():
-        if sum(map(str.isalpha, line)) >= MIN_SHOUT:
-            return "shouting"
-    elif line.count("!!") > 2:
-        letters = [c for c in line if c.isalpha()]
-        if len(letters) >= MIN_SHOUT and sum(map(str.isupper, letters)) > MAX_UPPER_SHARE * len(letters):
-            return "shouting"
+    if shouts(line):
+        return "shouting"
     if phrases:
         low = line.lower()
         if any(p in low for p in BOILERPLATE):

@@ -61,6 +61,22 @@ def test_line_rules():
     assert line_fails("A plain sentence, as people write them.") is None
 
 
+def test_capitals_are_measured_in_every_line():
+    from marlstone.llm.quality_rules import line_fails, rules, shouts
+
+    for line in ("BUY THIS NOW, IT IS SO CHEAP, i SAY.", "КУПИ ЭТО СЕЙЧАС, ОЧЕНЬ ДёШЕВО.", "ÄÖÜ IST GROß GESCHRIEBEN."):
+        assert line_fails(line) == "shouting"
+    for line in ("The NATO and the UN met, as people know.", "SHORT Yes, it is.", "купи это сейчас, очень дёшево.", "A 漢字漢字漢字漢字漢字漢字漢字.", "NO, NO NO!!"):
+        assert line_fails(line) is None
+    rng = np.random.default_rng(3)
+    for _ in range(2000):
+        line = "".join(rng.choice(list("ABCDEFGHabÄäЖж漢1 !"), int(rng.integers(1, 40))))
+        letters = [c for c in line if c.isalpha()]
+        assert shouts(line) == (len(letters) >= 12 and sum(map(str.isupper, letters)) > 0.7 * len(letters)), line
+    text = "A plain sentence, as people write them, of many words.\nTHIS LINE SHOUTS AT YOU ALL THE TIME, IT DOES, I TELL YOU, yes, SO IT DOES."
+    assert rules()([text.encode()])["kept"] == [False]
+
+
 def test_packing_is_gapless_whole_and_tight(spark, docs, empty):
     import public_tokenizers as P
     from tokenizers import Tokenizer
