@@ -25,10 +25,19 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("_row"), F.col("text"))
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars, if there is one, as the length of the text, where there is a text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = dict(docs.dtypes)["n_chars"]
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules keep."""
+    """Documents that the line rules keep, without their failing and repeated lines; n_chars follows the text."""
     bound_batches(spark)
-    return judge(_whole(docs), ["_row"]).where("kept").select("_row.*")
+    kept = judge(_whole(docs), ["_row"], clean=True).where("kept")
+    return _counted(kept.select(F.col("_row").withField("text", F.col("cleaned")).alias("_row")).select("_row.*"))
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +55,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets and linked parts of credentials replaced; n_chars follows the text."""
-    out = redact(docs)
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out
+    return _counted(redact(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

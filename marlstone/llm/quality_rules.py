@@ -106,8 +106,8 @@ def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc[covered], minlength=n_docs)
 
 
-def rules() -> Callable[[list[bytes | None]], dict]:
-    """A step that measures and judges texts."""
+def rules(clean: bool = False) -> Callable[[list[bytes | None]], dict]:
+    """A step that measures and judges texts, and cleans those that it keeps."""
 
     def step(texts: list[bytes | None]) -> dict:
         n_docs = len(texts)
@@ -143,14 +143,20 @@ def rules() -> Callable[[list[bytes | None]], dict]:
         failed = (counts < 10) | (100 * repeats > 20 * counts)
         share = np.array(out["lost_share"], float)
         out |= {"n_words": counts, "n_repeat_words": repeats, "lost_share": share}
-        return out | {"base_failed": failed, "kept": ~failed & (share <= MAX_LOST_SHARE)}
+        out |= {"base_failed": failed, "kept": ~failed & (share <= MAX_LOST_SHARE)}
+        if clean:
+            # without a lost character no line fails or repeats
+            out["cleaned"] = [(cleaned(raw.decode()) if lost else raw.decode()) if kept else None for raw, kept, lost in zip(texts, out["kept"], share)]
+        return out
 
     return step
 
 
-def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep`, the measures of each text, base_failed, kept and the share of text that failing lines hold."""
-    return map_texts(docs, keep, rules, SCHEMA)
+def judge(docs: DataFrame, keep: list[str], clean: bool = False) -> DataFrame:
+    """`keep`, the measures of each text, base_failed, kept and the share of text that failing lines hold; on demand also cleaned,
+    the text of those kept without its failing and repeated lines."""
+    schema = T.StructType([*SCHEMA, T.StructField("cleaned", T.StringType())]) if clean else SCHEMA
+    return map_texts(docs, keep, lambda: rules(clean), schema)
 
 
 def cleaned(text: str) -> str:

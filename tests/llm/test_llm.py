@@ -337,6 +337,21 @@ def test_pipeline_stages(spark):
     assert ids and ids <= {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_removes_lines(spark):
+    import corpus_pipeline
+
+    plain = [" ".join(f"{c}{i}" for i in range(12)) + "." for c in "abcdefgh"]
+    lines = [plain[0], "Home | About | Contact | Help", "", *plain[1:], "All rights reserved by all of the authors."]
+    good = "\n".join(plain)
+    text = "\n".join([*lines, "menu", "menu", "Last line.", "Last line."])
+    docs = spark.createDataFrame([(1, text, len(text), "a"), (2, good, len(good), "b"), (3, None, 7, "c"), (4, lines[1], 29, "d")], "doc_id long, text string, n_chars long, cleaned string")
+    got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.clean(spark, docs, FIXTURE).collect()}
+    assert got[2] == (good, len(good), "b") and not {3, 4} & set(got)
+    short = "\n".join([plain[0], "", *plain[1:], "Last line."])
+    assert got[1] == (short, len(short), "a")
+    assert corpus_pipeline.clean(spark, docs.drop("n_chars"), FIXTURE).columns == ["doc_id", "text", "cleaned"]
+
+
 def spark_lit(x):
     from pyspark.sql import functions as F
 
