@@ -5,6 +5,14 @@ to an in-memory DuckDB, where a recursive query holds the token sequence of each
 rows, joins neighbouring ids with the merge table, and contracts the leftmost pair of the lowest rank of every piece, until
 no pair of a piece has a rank. A second query decodes: token-position rows joined with the vocabulary, aggregated in order.
 
+A step of that query costs time in the length of a piece, so pieces of more than LONG_BYTES (a run of letters without a break)
+are cut into blocks, which the query encodes together, and the seams are mended. Token sequences joined are the encoding of the
+joined bytes exactly if at every seam the two tokens there, encoded together, stay those two: no merge ever crosses a seam
+where none of the two tokens' own merges does. Where they don't stay, some tokens on either side are encoded anew, more of
+them each time. Time thus grows in proportion to the length unless merges depend on each other over long distances, as in
+periodic texts; then the mended parts are long, and a step contracts all pairs of the lowest rank up to the first that
+gives rise to a pair of a lower one.
+
 Defined results: null and empty texts have no tokens (the hashes are those of nothing); rows stand each on its own; other
 columns are never read; texts of any length are encoded whole.
 """
@@ -13,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,6 +34,10 @@ from marlstone.llm.words import _WHITE, hashes
 
 #: Pieces that one query gets at most, by number and bytes, and that a worker remembers.
 QUERY_PIECES, QUERY_BYTES, REMEMBERED = 60_000, 2 << 20, 700_000
+#: Bytes of units that a worker remembers.
+REMEMBERED_BYTES = 64 << 20
+#: Pieces of more bytes are encoded in blocks of BLOCK_BYTES; tokens on either side of a seam that are encoded anew at first.
+LONG_BYTES, BLOCK_BYTES, SEAM = 512, 128, 4
 
 #: One row a piece and step; a piece without a pair of a rank drops out, so its last row is its result.
 ENCODE = """
@@ -42,6 +54,38 @@ WITH RECURSIVE state(piece, ids, step) AS (
 )
 SELECT piece, arg_max(ids, step) AS ids FROM state GROUP BY piece
 """
+#: The same with all pairs of the lowest rank contracted in a step, from the left, up to the first that makes a pair of a lower
+#: rank with a neighbour; of a run of equal ids every other pair. Only the last sequence of a piece is held.
+ENCODE_LONG = """
+WITH RECURSIVE state(piece, ids) USING KEY (piece) AS (
+    SELECT piece, ids FROM seeds
+    UNION
+    SELECT piece, list(CASE WHEN keep THEN best ELSE id END ORDER BY place) FILTER (NOT covered) AS ids
+    FROM (
+        SELECT *, coalesce(lag(keep) OVER (PARTITION BY piece ORDER BY place), false) AS covered
+        FROM (
+            SELECT place.*, take AND place <= coalesce(min(CASE WHEN take AND (l.rank < best OR r.rank < best) THEN place END) OVER (PARTITION BY piece), place) AS keep
+            FROM (
+                SELECT *, CASE WHEN lag(take, 2) OVER w THEN best ELSE lag(id) OVER w END AS before
+                FROM (
+                    SELECT *, coalesce(rank = best, false) AND row_number() OVER (PARTITION BY piece, run, rank = best ORDER BY place) % 2 = 1 AS take
+                    FROM (
+                        SELECT *, sum(CASE WHEN rank = best THEN 0 ELSE 1 END) OVER (PARTITION BY piece ORDER BY place) AS run
+                        FROM (
+                            SELECT tokens.*, rank, (min(rank) OVER (PARTITION BY piece))::INTEGER AS best
+                            FROM (SELECT piece, unnest(range(1, len(ids) + 1)) AS place, unnest(ids) AS id, unnest(list_append(ids[2:], NULL::INTEGER)) AS next_id, unnest(list_concat(ids[3:], [NULL::INTEGER, NULL::INTEGER])) AS third FROM state WHERE len(ids) > 1) AS tokens
+                            LEFT JOIN merges ON pair = id::BIGINT * 4294967296 + next_id
+                        ) WHERE best IS NOT NULL
+                    )
+                ) WINDOW w AS (PARTITION BY piece ORDER BY place)
+            ) AS place
+            LEFT JOIN merges AS l ON take AND l.pair = before::BIGINT * 4294967296 + best
+            LEFT JOIN merges AS r ON take AND r.pair = best::BIGINT * 4294967296 + third
+        )
+    ) GROUP BY piece
+)
+SELECT piece, ids FROM state
+"""
 DECODE = """
 SELECT piece, string_agg(hex, '' ORDER BY place) AS hex
 FROM (SELECT piece, unnest(range(1, len(ids) + 1)) AS place, unnest(ids) AS id FROM encoded) AS tokens JOIN vocabulary USING (id)
@@ -70,8 +114,10 @@ class Codec:
         self._load("merges", pa.table({"pair": pa.array([r[0] for r in rules], pa.int64()), "rank": pa.array([r[1] for r in rules], pa.int64())}))
         self._load("vocabulary", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.tokens = {i: token for token, i in ranks.items()}
         self.pieces: dict[bytes, tuple[list[int], bytes]] = {}
         self.index: dict[bytes, int] = {}
+        self.held = 0
         self.sizes: list[int] = []
         self.listed: list[bytes] = []
         self.decoded: list[bytes] = []
@@ -81,39 +127,99 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM loaded")
         self.db.unregister("loaded")
 
-    def _query(self, batch: list[bytes]) -> None:
-        # a piece that is itself a token needs no merges; the others start from their bytes
-        ids = [[self.ranks[p]] if p in self.ranks else self.of_byte[np.frombuffer(p, np.uint8)] for p in batch]
+    def _merged(self, batch: list[bytes], whole: bool = True) -> list[list[int]]:
+        """The ids of each part; `whole`: a part that is itself a token is that token, else all start from their bytes."""
+        ids = [[self.ranks[p]] if whole and p in self.ranks else self.of_byte[np.frombuffer(p, np.uint8)] for p in batch]
         self.db.register("seeds", pa.table({"piece": pa.array(range(len(batch)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
-        encoded = self.db.sql(ENCODE).to_arrow_table()
-        self.db.register("encoded", encoded)
-        decoded = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("encoded")
+        found = self.db.sql(ENCODE_LONG if max(map(len, batch)) > LONG_BYTES else ENCODE).to_arrow_table()
         self.db.unregister("seeds")
-        found = dict(zip(decoded["piece"].to_pylist(), map(bytes.fromhex, decoded["hex"].to_pylist())))
-        for i, own in zip(encoded["piece"].to_pylist(), encoded["ids"].to_pylist()):
-            self.pieces[batch[i]] = own, found[i]
+        out: list[list[int]] = [[]] * len(batch)
+        for i, own in zip(found["piece"].to_pylist(), found["ids"].to_pylist()):
+            out[i] = own
+        return out
 
-    def learn(self, pieces: Iterable[bytes]) -> None:
-        """Encode the pieces that are new."""
+    def _decoded(self, encoded: list[list[int]]) -> list[bytes]:
+        self.db.register("encoded", pa.table({"piece": pa.array(range(len(encoded)), pa.int32()), "ids": pa.array(encoded, pa.list_(pa.int32()))}))
+        found = self.db.sql(DECODE).to_arrow_table()
+        self.db.unregister("encoded")
+        out = [b""] * len(encoded)
+        for i, own in zip(found["piece"].to_pylist(), found["hex"].to_pylist()):
+            out[i] = bytes.fromhex(own)
+        return out
+
+    def _batches(self, parts: Iterable[bytes]) -> Iterator[list[bytes]]:
         batch, held = [], 0
-        for p in pieces:
-            if p in self.pieces:
-                continue
+        for p in parts:
             batch.append(p)
             held += len(p)
             if len(batch) >= QUERY_PIECES or held >= QUERY_BYTES:
-                self._query(batch)
+                yield batch
                 batch, held = [], 0
         if batch:
-            self._query(batch)
+            yield batch
+
+    def _parts(self, parts: Iterable[bytes], known: dict[bytes, list[int]]) -> None:
+        """Add the ids of parts of pieces to those known; parts of like length share a query."""
+        new = sorted({p for p in parts if p not in known}, key=len)
+        cut = next((i for i, p in enumerate(new) if len(p) > LONG_BYTES), len(new))
+        for some in (new[:cut], new[cut:]):
+            for batch in self._batches(some):
+                known.update(zip(batch, self._merged(batch, whole=False)))
+
+    def _long(self, piece: bytes) -> list[int]:
+        """The ids of a long piece: those of its blocks, mended at the seams."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        known: dict[bytes, list[int]] = {}
+        stable: dict[tuple[int, int], bool] = {}
+        blocks = [piece[i : i + BLOCK_BYTES] for i in range(0, len(piece), BLOCK_BYTES)]
+        self._parts(blocks, known)
+        segments = [known[b] for b in blocks]
+        token, width = self.tokens.__getitem__, SEAM
+        while True:
+            new = {(a[-1], b[0]) for a, b in zip(segments, segments[1:])} - stable.keys()
+            self._parts((token(a) + token(b) for a, b in new), known)
+            stable |= {(a, b): known[token(a) + token(b)] == [a, b] for a, b in new}
+            open_ = [i for i, (a, b) in enumerate(zip(segments, segments[1:])) if not stable[a[-1], b[0]]]
+            if not open_:
+                return [i for own in segments for i in own]
+            seams, last = set(), -2
+            for i in open_:  # neighbouring seams take turns
+                if i > last + 1:
+                    seams.add(i)
+                    last = i
+            around = {i: b"".join(map(token, segments[i][-width:] + segments[i + 1][:width])) for i in seams}
+            self._parts(around.values(), known)
+            mended: list[list[int]] = []
+            for i, own in enumerate(segments):
+                if i - 1 in seams:
+                    own = own[width:]
+                if i in seams:
+                    mended += [own[:-width], known[around[i]]]
+                else:
+                    mended.append(own)
+            segments = [own for own in mended if own]
+            width *= 2
+
+    def learn(self, pieces: Iterable[bytes]) -> None:
+        """Encode the pieces that are new."""
+        new = [p for p in pieces if p not in self.pieces]
+        for batch in self._batches(p for p in new if len(p) <= LONG_BYTES):
+            ids = self._merged(batch)
+            self.pieces.update(zip(batch, zip(ids, self._decoded(ids))))
+        for p in new:
+            if len(p) > LONG_BYTES:
+                ids = self._long(p)
+                self.pieces[p] = ids, self._decoded([ids])[0]
 
     def rows(self, units: list[bytes]) -> list[int]:
         """Places of units, each some whole pieces, in the lists of sizes, decimal ids and decoded bytes."""
         new = {u: [p.encode() for p in self.find(u.decode())] for u in units if u not in self.index}
         if new:
-            if len(self.index) + len(new) > REMEMBERED:
+            self.held += sum(map(len, new))
+            if len(self.index) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES:
                 self.index.clear(), self.pieces.clear()
+                self.held = sum(map(len, units))
                 self.sizes.clear(), self.listed.clear(), self.decoded.clear()
                 new = {u: [p.encode() for p in self.find(u.decode())] for u in units}
             self.learn(dict.fromkeys(p for own in new.values() for p in own))
