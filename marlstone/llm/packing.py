@@ -2,10 +2,11 @@
 
 Every document is tokenised once, in Arrow batches, and cut into pieces of at most `capacity` tokens; the small piece rows
 are written to the shared folder. What the packing needs of them is the number of pieces of each length (at most
-`capacity` numbers, summed map-side), so the driver's plan is bounded whatever the corpus: it indexes single, pair and
-triple sums of lengths, uses up combinations that fill a gap exactly under the availability counts, many sequences at a
-time, and best-fits what is left. Pieces then learn their place from their rank among the pieces of their length; ranks
-are counted within hashed buckets, so a length that holds a third of all pieces is spread like the rest.
+`capacity` numbers, summed map-side), so the driver's plan is bounded whatever the corpus: it indexes the single, pair and
+triple sums of the lengths at hand, uses up combinations that fill a gap exactly under the availability counts, many sequences
+at a time, and best-fits what is left. Pieces then learn their place from their rank among the pieces of their length. Ranks
+are counted within buckets of about BUCKET_ROWS pieces, so a length that holds a third of all pieces is spread like the rest;
+pieces that fill a sequence need no rank.
 
 Defined results: a null or empty text is the closing token alone; repeated rows are packed each on its own; an empty table
 gives no rows; other columns are never read.
@@ -28,7 +29,8 @@ from marlstone.llm.common import bound_batches, chunks, table, written
 
 CAPACITY = 1024
 END_ID = 2
-BUCKETS = 256
+#: Pieces that are ranked together, about, in an input large enough for LEAST_BUCKETS buckets of that size.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 256
 
 #: Texts of these characters, without two white-space characters in a row, split alike with and without look-ahead.
 _odd = re.compile(r"\s\s|[^\x00-ɏ‐-‧]")
@@ -106,6 +108,51 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+class Index:
+    """Sums of one, two and three available lengths, and the combinations behind each sum.
+
+    Under a pair's sum are the longer lengths of its pairs, under a triple's sum the longest lengths of triples whose rest is the
+    sum of a pair: `capacity` numbers a sum at most. Counts only fall, so what fails a look-up once is taken out for good.
+    """
+
+    def __init__(self, left: np.ndarray) -> None:
+        """left: how many pieces there are of each length; the caller lowers the counts."""
+        self.left = left
+        capacity = len(left) - 1
+        have = np.flatnonzero(left)
+        held = left > 0
+        # ascending, so that the longest is looked at first, from the end
+        self.pairs = [have[(2 * have >= s) & (have < s) & held[np.maximum(0, s - have)]].tolist() for s in range(capacity + 1)]
+        least = np.array([own[0] if own else capacity + 1 for own in self.pairs])
+        self.triples = [have[(3 * have >= s) & (have < s - 1) & (least[np.maximum(0, s - have)] <= have)].tolist() for s in range(capacity + 1)]
+
+    def find(self, gap: int, size: int, beside: int) -> tuple[int, ...] | None:
+        """`size` available lengths, longest first, that sum to `gap`, beside one more piece of the length `beside`."""
+        if size == 1:
+            return (gap,) if self._ok(gap, beside) else None
+        if size == 2:
+            return self._pair(gap, (beside,), gap)
+        own = self.triples[gap]
+        while own:
+            rest = self._pair(gap - own[-1], (beside, own[-1]), own[-1]) if self._ok(own[-1], beside) else None
+            if rest:
+                return (own[-1], *rest)
+            own.pop()
+        return None
+
+    def _pair(self, total: int, beside: tuple[int, ...], most: int) -> tuple[int, int] | None:
+        own = self.pairs[total]
+        while own and not self._ok(own[-1], total - own[-1]):
+            own.pop()
+        for first in reversed(own):
+            if first <= most and self._ok(first, total - first, *beside):
+                return first, total - first
+        return None
+
+    def _ok(self, *lengths: int) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths that share a sequence, longest first, and how often each is used; all counts are used up."""
     left = np.zeros(capacity + 1, np.int64)
@@ -122,15 +169,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
     if left[capacity]:
         use((capacity,))
+    index = Index(left)
     for size in (1, 2, 3):  # lengths that fill the gap beside the longest piece
         for longest in range(capacity - 1, 0, -1):
             while left[longest]:
-                left[longest] -= 1
-                found = _exact(left, capacity - longest, size, longest)
-                left[longest] += 1
+                found = index.find(capacity - longest, size, longest)
                 if found is None:
                     break
-                use((longest, *found))
+                use(tuple(sorted((longest, *found), reverse=True)))
     while left.any():  # best fit: the fullest sequence that the longest piece allows
         longest = int(np.flatnonzero(left)[-1])
         left[longest] -= 1
@@ -140,28 +186,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return out
 
 
-def _exact(left: np.ndarray, gap: int, size: int, most: int) -> tuple[int, ...] | None:
-    """`size` available lengths that sum to `gap`, none above `most`; from the index of available single lengths, and of
-    the pairs that they sum to."""
-    if size == 1:
-        return (gap,) if gap <= most and left[gap] else None
-    if size == 2:
-        first = np.arange((gap + 1) // 2, min(gap - 1, most) + 1)
-        ok = (left[first] > 0) & (left[gap - first] > (first * 2 == gap))
-        at = np.flatnonzero(ok)
-        return (int(first[at[-1]]), int(gap - first[at[-1]])) if len(at) else None
-    for a in range(min(gap - 2, most), 0, -1):
-        if 3 * a < gap:
-            return None
-        if left[a]:
-            left[a] -= 1
-            rest = _exact(left, gap - a, 2, a)
-            left[a] += 1
-            if rest:
-                return (a, *rest)
-    return None
-
-
 def _fullest(left: np.ndarray, gap: int) -> tuple[int, ...]:
     """Available lengths with the largest sum within the gap: a bounded subset sum over sets of reachable sums."""
     mask, reach = (1 << (gap + 1)) - 1, 1
@@ -180,35 +204,46 @@ def _fullest(left: np.ndarray, gap: int) -> tuple[int, ...]:
     return tuple(sorted(out, reverse=True))
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """`found`, as pieces() gives it, with sequence_id and offset."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    found = written(found, "pieces").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counted = found.groupBy("length", "_bucket").count().toArrow()  # at most capacity * buckets rows
-    table_ = np.zeros((capacity + 1, buckets), np.int64)
-    np.add.at(table_, (counted["length"].to_numpy(), counted["_bucket"].to_numpy()), counted["count"].to_numpy())
-    before = np.cumsum(table_, axis=1) - table_
-    totals = table_.sum(axis=1)
+    found = written(found, "pieces")
+    full = F.col("length") == capacity
+    rows = found.where(~full).count()
+    # a bucket of a length holds a share of its pieces; there are about as many buckets as rows / bucket_rows, and some a length
+    n_buckets = max(LEAST_BUCKETS, -(-rows // bucket_rows))
+    found = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)).cast("int"))
+    lengths = found.where(~full).groupBy("length").agg(F.count("*").alias("_n"))  # at most `capacity` rows
+    own = F.ceil(F.col("_n") * n_buckets / F.lit(max(1, rows))).cast("int")
+    dealt = found.where(~full).join(F.broadcast(lengths), "length").withColumn("_bucket", F.pmod("_bucket", own)).drop("_n")
+    counted = dealt.groupBy("length", "_bucket").count().toArrow()  # at most n_buckets + capacity rows: one for some bucket_rows pieces
+    counted = counted.sort_by([("length", "ascending"), ("_bucket", "ascending")])
+    length, count = counted["length"].to_numpy(), counted["count"].to_numpy().astype(np.int64)
+    place_of = length << np.int64(32) | counted["_bucket"].to_numpy()
+    totals = np.bincount(length, count, capacity + 1).astype(np.int64)
+    before = np.cumsum(count) - count
+    before -= before[np.searchsorted(length, length)]
     used = np.zeros(capacity + 1, np.int64)
     runs: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
     base = 0
     for pattern, times in plan({i: int(n) for i, n in enumerate(totals) if n}, capacity):
         at = 0
-        for length in pattern:
-            runs[length].append((int(used[length]), base, at))
-            used[length] += times
-            at += length
+        for own_length in pattern:
+            runs[own_length].append((int(used[own_length]), base, at))
+            used[own_length] += times
+            at += own_length
         base += times
-    places = {length: np.array(own, np.int64).T for length, own in enumerate(runs) if own}
-    ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    schema = T.StructType([f for f in found.schema if f.name != "_bucket"] + [T.StructField(n, T.LongType()) for n in ("sequence_id", "offset")])
+    places = {own_length: np.array(own, np.int64).T for own_length, own in enumerate(runs) if own}
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    names = [f.name for f in found.schema if f.name != "_bucket"]
+    schema = T.StructType([found.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in ("sequence_id", "offset")])
     target = to_arrow_schema(schema)
 
     def place(batches):
         for batch in batches:
             length, bucket, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_bucket", "_rank"))
-            rank = rank + before[length, bucket]
+            rank = rank + before[np.searchsorted(place_of, length << np.int64(32) | bucket)]
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for own in np.unique(length):
                 at = np.flatnonzero(length == own)
@@ -216,9 +251,11 @@ def pack(found: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
                 run = np.searchsorted(first, rank[at], "right") - 1
                 sequence[at] = start[run] + rank[at] - first[run]
                 offset[at] = where[run]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in list(target)[:-2]] + [pa.array(sequence), pa.array(offset)], schema=target)
+            yield pa.RecordBatch.from_arrays([batch.column(n).cast(target.field(n).type) for n in names] + [pa.array(sequence), pa.array(offset)], schema=target)
 
-    return ranked.mapInArrow(place, schema)
+    # full pieces are sequences of their own, numbered below zero by their place in the written rows
+    alone = found.where(full).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.mapInArrow(place, schema).union(alone)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
