@@ -1,9 +1,11 @@
 """Toxicity behind disguises: a noisy channel restores words, then the restored text is scored.
 
-Disguised words (digits or signs among letters or in their place, letters repeated, letters set apart) of any length become
-lattices of characters: a sign may stand for the letters it resembles, a separator or a repeated letter may be dropped. Known
-words stand for themselves, and so do numbers and words of mostly signs behind which there is no known word. Viterbi decoding under a trigram
-model of characters, counted over the words of all texts outside the held-out fold, picks the restored word. Restored texts are scored by a
+Disguised words (digits or signs among letters or in their place, letters repeated) of any length become lattices of
+characters: a sign may stand for the letters it resembles, a separator or a repeated letter may be dropped. Runs of letters set
+apart become one lattice, in which every space between them may be dropped or end a word. Known words stand for themselves, and
+so do numbers and words of mostly signs behind which there is no known word. Viterbi decoding under a trigram model of
+characters, counted over the words of all texts outside the held-out fold, and the odds that a word is a known one picks the
+restored words. Restored texts are scored by a
 logistic regression on counts of word beginnings, of three letters up to the whole word, that the training sample shows to
 go with the label, and on the number of words: with counts that follow a Poisson law that is the likelihood ratio.
 
@@ -44,8 +46,10 @@ RESEMBLES = {
 SEPARATORS = "._-~*'`^,:;/\\+=|"
 #: Costs, as log probabilities, of a letter standing for itself, of a sign for a letter, of dropping a separator or a repeat.
 KEEP, SUBSTITUTE, DROP, REPEAT = 0.0, -1.0, -0.7, -0.9
-#: Words of the language have at most so many letters, disguises any number; runs of this many lone letters are read as one word.
-LONGEST, LONE = 40, 4
+#: The same of a space between lone letters that ends a word, and of a word that texts hold against one of likely letters alone.
+BREAK, KNOWN = -3.0, 6.0
+#: Words of the language have at most so many letters, disguises any number; so many lone letters in a row may hide words.
+LONGEST, LONE = 40, 3
 LENGTHS = (3, 4, 5, 6, 7)
 #: Units in which the weights of trigrams are summed; different words that a task counts before it passes them on.
 UNIT, HELD_WORDS = 1 << 20, 200_000
@@ -167,19 +171,43 @@ class Channel:
         return found
 
     def segment(self, run: str) -> list[str]:
-        """The known words of at least LONE letters in a run of lone ones, longest first from the left; else the run decoded."""
+        """The likeliest words behind a run of lone letters: a lattice of characters and of word ends, a word of at most twice
+        LONGEST characters between two ends."""
         run = collapsed(run)
-        out, i = [], 0
-        while i < len(run):
-            for j in range(min(len(run), i + LONGEST), i + LONE - 1, -1):
-                word = self.decode(run[i:j])
-                if len(word) >= LONE and self.knows(word):
-                    out.append(word)
-                    i = j
-                    break
-            else:
-                i += 1
-        return out or [self.decode(run)]
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(-np.inf, 0, "")] * len(run)
+        for i in range(len(run)):
+            states, last = {"\x02\x02": (best[i][0] + (BREAK if i else 0.0), "")}, ""
+            for j in range(i, min(len(run), i + 2 * LONGEST)):
+                states, last = self._step(states, run[j], last)
+                cost, word = self._end(states, "")
+                if word and cost > best[j + 1][0]:
+                    best[j + 1] = cost, i, word
+        words, at = [], len(run)
+        while at:
+            words.append(best[at][2])
+            at = best[at][1]
+        return words[::-1]
+
+    def _step(self, states: dict[str, tuple[float, str]], char: str, last: str) -> tuple[dict[str, tuple[float, str]], str]:
+        """The best way to each pair of last letters after one more character, and what a repeat would repeat."""
+        options = [(char, KEEP)] if char.isalpha() else []
+        options += [(c, SUBSTITUTE) for c in RESEMBLES.get(char, "")]
+        drop = DROP if char in SEPARATORS else REPEAT if char == last else None
+        if not options and drop is None:
+            drop = 2 * DROP
+        step: dict[str, tuple[float, str]] = {}
+        for state, (cost, out) in states.items():
+            for c, price in options:
+                to, value = state[1] + c, cost + price + self.score(state, c)
+                if to not in step or value > step[to][0]:
+                    step[to] = value, out + c
+            if drop is not None and (state not in step or cost + drop > step[state][0]):
+                step[state] = cost + drop, out
+        return step, last if char in SEPARATORS else char
+
+    def _end(self, states: dict[str, tuple[float, str]], head: str) -> tuple[float, str]:
+        """The cost and letters of the best way that ends a word here; `head` are its letters that are settled."""
+        return max(((cost + self.score(s, "\x03") + KNOWN * self.knows(head + out), head + out) for s, (cost, out) in states.items()), default=(0.0, head))
 
     def _viterbi(self, word: str) -> str:
         states: dict[str, tuple[float, str]] = {"\x02\x02": (0.0, "")}
@@ -189,24 +217,8 @@ class Channel:
                 own = commonprefix([out for _, out in states.values()])
                 shared.append(own)
                 states = {s: (cost, out[len(own) :]) for s, (cost, out) in states.items()}
-            options = [(char, KEEP)] if char.isalpha() else []
-            options += [(c, SUBSTITUTE) for c in RESEMBLES.get(char, "")]
-            drop = DROP if char in SEPARATORS else REPEAT if char == last else None
-            if not options and drop is None:
-                drop = 2 * DROP
-            step: dict[str, tuple[float, str]] = {}
-            for state, (cost, out) in states.items():
-                for c, price in options:
-                    to, value = state[1] + c, cost + price + self.score(state, c)
-                    if to not in step or value > step[to][0]:
-                        step[to] = value, out + c
-                if drop is not None and (state not in step or cost + drop > step[state][0]):
-                    step[state] = cost + drop, out
-            states, last = step, last if char in SEPARATORS else char
-        # a known word comes before one that is only made of likely letters
-        head = "".join(shared)
-        ends = ((cost + self.score(s, "\x03") + 6.0 * self.knows(head + out), head + out) for s, (cost, out) in states.items())
-        return max(ends, default=(0, word))[1]
+            states, last = self._step(states, char, last)
+        return self._end(states, "".join(shared))[1] if states else word
 
 
 def restore(word: str, channel: Channel) -> str:
@@ -240,7 +252,8 @@ def restored_words(texts: list[bytes | None], channel: Channel) -> tuple[list[st
             to = int(np.searchsorted(doc[a:b], doc[a], "right")) + a
             if to - a >= LONE:
                 for word in channel.segment("".join(different[i] for i in inverse[a:to])):
-                    more.append(word), where.append(doc[a])
+                    if len(word) > 1:
+                        more.append(word), where.append(doc[a])
             a = to
     place = np.concatenate([inverse, np.arange(len(different), len(different) + len(more))]).astype(np.int64)
     return different + more, place, np.concatenate([doc, np.array(where, np.int64)]).astype(np.int64)
