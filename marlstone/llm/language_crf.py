@@ -5,8 +5,9 @@ edges marked, so prefixes and suffixes are features of their own, and from its c
 rows; transitions between the languages are learned with them. Training joins runs of words of different languages, so that
 switches within a text are learned; forward-backward gives each word's marginals, a text's language has the largest sum.
 
-The model learns from a bounded sample of labelled rows outside the held-out fold: TRAIN_ROWS rows of at most TRAIN_CHARS
-characters, taken in order of a hash of the id, each read whole. Everything else covers all texts, and whole ones.
+The model learns from a bounded sample of labelled rows outside the held-out fold: of each of the LANGUAGES languages with most
+rows its share of TRAIN_ROWS, and LEAST_ROWS at least where it has as many, so that rare ones are learned too. Rows have at most
+TRAIN_CHARS characters, are taken in order of a hash of the id and read whole. Everything else covers all texts, and whole ones.
 
 Defined results: `und` with score 0 if a text is null, empty or has no letter, or if there is no row to learn from; equal
 texts get equal results; columns other than the id, the text and, for training, the label are never read.
@@ -18,14 +19,15 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import bound_batches, held_out, map_texts, sampled, table
+from marlstone.llm.common import bound_batches, held_out, map_texts, table
 from marlstone.llm.words import mix, words_of
 
 TRAIN_ROWS, TRAIN_CHARS = 1200, 20_000
+LANGUAGES, LEAST_ROWS = 100, 100
 #: Sizes of the hashed n-gram table, of training sequences in words, and of the lexicons in words a language.
 BITS, SEQUENCE, LEXICON = 16, 64, 20_000
 EPOCHS, RATE = 3, 0.25
@@ -244,11 +246,25 @@ SCHEMA = T.StructType(
 )
 
 
+def drawn(labelled: DataFrame) -> DataFrame:
+    """The ids of the training rows of (doc_id, lang): only a few times as many as are drawn leave the tasks."""
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).collect()
+    total = sum(r._n for r in counts)
+    quotas = [(r.lang, max(LEAST_ROWS, round(TRAIN_ROWS * r._n / total)), r._n) for r in counts]
+    spark = labelled.sparkSession
+    limits = spark.createDataFrame([(lang, quota, int((1 << 31) * min(1.0, (3 * quota + 300) / n))) for lang, quota, n in quotas], "lang string, _quota int, _most long")
+    value = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    some = labelled.select("doc_id", "lang", value.alias("_value")).join(F.broadcast(limits), "lang").where("_value < _most")
+    order = Window.partitionBy("lang").orderBy("_value", "doc_id")
+    return some.withColumn("_k", F.row_number().over(order)).where("_k <= _quota").select("doc_id").distinct()
+
+
 def fit(docs: DataFrame) -> Model | None:
     """A model of a bounded sample: ids are drawn first, and only they meet the texts."""
     labelled = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    ids = sampled(labelled.select("doc_id"), TRAIN_ROWS).distinct()
-    rows = labelled.join(F.broadcast(ids), "doc_id").select("text", "lang").limit(2 * TRAIN_ROWS).collect()
+    ids = drawn(labelled.select("doc_id", "lang"))
+    most = 2 * (TRAIN_ROWS + LANGUAGES * LEAST_ROWS)  # ids may repeat
+    rows = labelled.join(F.broadcast(ids), "doc_id").select("text", "lang").orderBy(F.xxhash64("text"), "text", "lang").limit(most).collect()
     return train(sorted((r.text, r.lang) for r in rows))
 
 
