@@ -40,11 +40,10 @@ def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(table(spark, sf_dir, "events"), "'ALL'", "date_trunc('HOUR', ts)", "value", "struct(ts, event_id)", "1")
 
 
-def external(spark: SparkSession, sf_dir: str, every: int = 7) -> DataFrame:
-    """A sparse series: the turnover of every seventh day."""
+def external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series beside the bars: the turnover of each day that has any."""
     days = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("ts")).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
-    kept = F.pmod(F.datediff("ts", F.lit("1995-01-01")), F.lit(every)) == 0
-    return days.where(kept).select(F.lit("ALL").alias("symbol"), "ts", "value")
+    return days.select(F.lit("ALL").alias("symbol"), "ts", "value")
 
 
 def gaps(daily: DataFrame) -> DataFrame:
@@ -105,17 +104,68 @@ def first_passing(candidates: list[DataFrame], least: int) -> DataFrame:
     raise InputError("no source has enough rows")
 
 
-def cached(build, path: str, spark: SparkSession, columns: list[str], first, last) -> DataFrame:
-    """A stored matrix if it covers the dates and columns asked for; else build it and store it."""
+def cached(build, path: str, spark: SparkSession, columns: list[str], first, last, slack: int = 0) -> DataFrame:
+    """A stored matrix if it covers the dates, give or take `slack` days, and has the columns asked for; else `build(columns)`
+    gives those that it lacks and they are stored together, or all if the dates differ."""
     try:
         held = spark.read.parquet(path)
     except Exception as e:  # noqa: BLE001  no such store yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         held = None
-    if held is not None and set(columns) <= set(held.columns):
-        limits = held.agg(F.min("ts"), F.max("ts")).first()
-        if (limits[0], limits[1]) == (first, last):
+    if held is not None:
+        limits = held.agg(F.datediff(F.min("ts"), F.lit(first)).alias("a"), F.datediff(F.lit(last), F.max("ts")).alias("b")).first()
+        fits = None not in limits and (limits == (0, 0) if slack == 0 else max(limits) <= slack)
+        lacking = [c for c in columns if c not in held.columns]
+        if fits and not lacking:
             return held.select("symbol", "ts", *columns)
-    build().write.mode("overwrite").parquet(path)
+        if fits:
+            more = build(lacking).select("symbol", "ts", *lacking)
+            both = held.join(more, ["symbol", "ts"], "full")
+            both.write.mode("overwrite").parquet(f"{path}-next")  # a matrix cannot be overwritten while it is read
+            spark.read.parquet(f"{path}-next").write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path).select("symbol", "ts", *columns)
+    build(columns).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).select("symbol", "ts", *columns)
+
+
+def without_lost_closes(daily: DataFrame, filled: DataFrame) -> DataFrame:
+    """`filled` without the days that `daily` has without a close: filling must not bring them back."""
+    return filled.join(daily.where("close IS NULL").select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+
+
+def with_fallback(yields: DataFrame, long_: DataFrame, spread: DataFrame, least: int = 2000) -> DataFrame:
+    """A short yield's series (symbol, ts, value): itself if it has more than `least` rows, else the long yield less the spread."""
+    try:
+        return first_passing([yields], least)
+    except InputError:
+        a, b = long_.withColumnRenamed("value", "a"), spread.withColumnRenamed("value", "b")
+        return a.join(b, ["symbol", "ts"]).select("symbol", "ts", (F.col("a") - F.col("b")).alias("value"))
+
+
+def merged(series: dict[str, DataFrame]) -> DataFrame:
+    """Series (symbol, ts, value) side by side on the union of their days, carried forward, from the first day that all have."""
+    out = None
+    for name, df in series.items():
+        own = df.withColumnRenamed("value", name)
+        out = own if out is None else out.join(own, ["symbol", "ts"], "full")
+    until = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return out.select("symbol", "ts", *(F.last(n, ignorenulls=True).over(until).alias(n) for n in series)).dropna()
+
+
+def filled_back(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns with missing values taken from the next row that has one."""
+    onward = Window.partitionBy("symbol").orderBy("ts").rowsBetween(0, Window.unboundedFollowing)
+    return df.withColumns({c: F.first(c, ignorenulls=True).over(onward) for c in columns})
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """(columns, first_day, last_day) of a matrix: what a stored one must agree in."""
+    names = F.lit(",".join(sorted(c for c in df.columns if c not in ("symbol", "ts"))))
+    return df.agg(F.min("ts").alias("first_day"), F.max("ts").alias("last_day")).withColumn("columns", names)
+
+
+def unexpected(df: DataFrame, expected: list[str]) -> dict[str, list[str]]:
+    """Columns that a matrix lacks and those that it has beyond the expected ones."""
+    have = [c for c in df.columns if c not in ("symbol", "ts")]
+    return {"missing": [c for c in expected if c not in have], "extra": [c for c in have if c not in expected]}

@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marlstone.functions.store import folder
+
 EVENTS = "symbol string, ts timestamp, side int"
 STATE = "up double, down double"
 
 
 def hourly_bars(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Bars of a stream of (symbol, ts, value); rows later than the watermark are dropped by it."""
+    """Bars of a stream of (symbol, ts, id, value); rows later than the watermark are dropped by it."""
     window = F.window("ts", "1 hour")
     return (
         ticks.withWatermark("ts", late)
         .groupBy("symbol", window)
-        .agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").alias("volume"))
+        .agg(F.min_by("value", F.struct("ts", "id")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", F.struct("ts", "id")).alias("close"), F.count("*").alias("volume"))
         .select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
     )
 
@@ -40,6 +42,16 @@ def cusum(returns: DataFrame, threshold: float) -> DataFrame:
                 out.append((key[0], ts, -1))
                 down = 0.0
         state.update((up, down))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "side"])
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "ts", "side"])
 
     return returns.groupBy("symbol").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def finished(stream: DataFrame, keys: str = "append") -> DataFrame:
+    """What a stream gives of the input at hand, written to the shared folder and read back; rows that wait for the watermark
+    are not among it."""
+    home = folder(stream.sparkSession)
+    writer = stream.writeStream.outputMode(keys).format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{home}/rows")
