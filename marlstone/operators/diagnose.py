@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.ts import ratio
-
-CATEGORIES = (("log_returns_lag", "lag"), ("macd", "technical"), ("ema", "technical"), ("vol", "volatility"), ("entropy", "statistical"))
+from marlstone.operators.features import MATH, TA
 
 
 def reliability(preds: DataFrame, bins: int = 10, least: int = 10) -> DataFrame:
@@ -75,16 +74,14 @@ def since(curve: DataFrame, day: str) -> DataFrame:
 
 
 def category(name):
-    out = F.lit("other")
-    for prefix, own in reversed(CATEGORIES):
-        out = F.when(F.startswith(name, F.lit(prefix)), own).otherwise(out)
-    return out
+    """Technical, mathematical, lag or external, by a feature's name."""
+    return F.when(name.isin(*TA), "technical").when(name.isin(*MATH), "mathematical").when(F.startswith(name, F.lit("log_returns_lag")), "lag").otherwise("external")
 
 
-def stability_table(stability: DataFrame, names: DataFrame) -> DataFrame:
+def stability_table(stability: DataFrame, names: DataFrame, stable: float = 0.8, moderate: float = 0.5) -> DataFrame:
     """All features with how often they were selected and a tier, never-selected ones included."""
     df = names.join(stability, "feature", "left").fillna(0, ["n"]).fillna(0.0, ["frequency"])
-    tier = F.when(F.col("frequency") > 0.8, "stable").when(F.col("frequency") >= 0.4, "frequent").when(F.col("n") > 0, "rare").otherwise("never")
+    tier = F.when(F.col("frequency") > stable, "stable").when(F.col("frequency") > moderate, "moderate").when(F.col("n") > 0, "low").otherwise("never")
     return df.select("feature", category(F.col("feature")).alias("category"), "n", "frequency", tier.alias("tier"))
 
 
@@ -123,3 +120,36 @@ def next_direction(bars: DataFrame) -> DataFrame:
     after = F.lead("close").over(order)
     df = bars.select("symbol", "ts", (after > F.col("close")).cast("int").alias("raw"), (F.log(after / F.col("close")) > 0).cast("int").alias("logged"))
     return df.where("raw IS NOT NULL").withColumn("same", F.col("raw") == F.col("logged"))
+
+
+def barrier_examples(bins: DataFrame, vol: DataFrame, pt: float = 1.5, sl: float = 1.5) -> DataFrame:
+    """(symbol, t0, t1, ret, touch): which barrier a label reached; here a return equal to a barrier touches it."""
+    df = bins.join(vol.select("symbol", F.col("ts").alias("t0"), "vol"), ["symbol", "t0"])
+    touch = F.when(F.col("ret") >= pt * F.col("vol"), "profit").when(F.col("ret") <= -sl * F.col("vol"), "stop").otherwise("vertical")
+    return df.select("symbol", "t0", "t1", "ret", touch.alias("touch"))
+
+
+def volatility_comparison(features: DataFrame) -> DataFrame:
+    """By symbol: correlation of realised and annualised Yang-Zhang volatility, means and outer quantiles of their difference."""
+    rv, yz = F.col("realized_vol"), F.col("yz_vol") * F.sqrt(F.lit(365.0))
+    df = features.where(F.col("realized_vol").isNotNull() & F.col("yz_vol").isNotNull()).withColumn("_d", rv - yz).withColumn("_y", yz)
+    return df.groupBy("symbol").agg(
+        F.count("*").alias("n"), F.corr("realized_vol", "_y").alias("correlation"), F.avg(F.abs("_d")).alias("mean_absolute"), F.avg(F.abs("_d") / F.nullif("_y", F.lit(0.0))).alias("mean_relative"),
+        F.percentile("_d", 0.025).alias("low"), F.percentile("_d", 0.975).alias("high"),
+    )
+
+
+def options_of(instruments: DataFrame) -> DataFrame:
+    """(name, asset, expiry, strike, call): the parts of instrument names such as BTC-27JUN25-60000-C; malformed names are left out."""
+    p = F.split("name", "-")
+    df = instruments.where(F.size(p) == 4).select("*", p[0].alias("asset"), F.expr("try_to_timestamp(initcap(split(name, '-')[1]), 'dMMMyy')").cast("date").alias("expiry"), F.expr("try_cast(split(name, '-')[2] AS double)").alias("strike"), p[3].alias("_side"))
+    return df.where("expiry IS NOT NULL AND strike IS NOT NULL AND _side IN ('C', 'P')").withColumn("call", F.col("_side") == "C").drop("_side")
+
+
+def tradable(options: DataFrame, day: str, least: int = 7, most: int = 90, floor: float = 0.0) -> DataFrame:
+    """Options of the most frequent expiry (the earliest of equals) among those `least` to `most` days ahead and above the price floor."""
+    days = F.datediff("expiry", F.lit(day).cast("date"))
+    near = options.where(days.between(least, most) & (F.col("price") > floor)).withColumn("days", days)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("_n"), "expiry")  # a row an expiry
+    best = near.groupBy("expiry").agg(F.count("*").alias("_n")).withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    return near.join(F.broadcast(best.select("expiry")), "expiry", "left_semi")

@@ -7,7 +7,7 @@ generation, so stitching needs no second partitioning of events.
 from __future__ import annotations
 
 from itertools import combinations
-from math import e, sqrt
+from math import e, pi, sqrt
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,9 +40,13 @@ def stitch(preds: DataFrame, paths: DataFrame) -> DataFrame:
 
 def strategy(stitched: DataFrame, cost: float = COST) -> DataFrame:
     """Bets and their gross and net returns; a change of the bet costs."""
+    return charged(stitched.withColumn("bet", bet_size(F.col("p_up"))), cost)
+
+
+def charged(bets: DataFrame, cost: float = COST) -> DataFrame:
+    """Gross and net returns of bets; a change of the bet costs, the first one included."""
     order = Window.partitionBy("model", "path_id").orderBy("ts")
-    df = stitched.withColumn("bet", bet_size(F.col("p_up")))
-    df = df.withColumn("gross", F.col("bet") * F.col("ret")).withColumn("cost", cost * F.abs(F.col("bet") - F.lag("bet", 1, 0.0).over(order)))
+    df = bets.withColumn("gross", F.col("bet") * F.col("ret")).withColumn("cost", cost * F.abs(F.col("bet") - F.lag("bet", 1, 0.0).over(order)))
     return df.withColumn("net", F.col("gross") - F.col("cost"))
 
 
@@ -85,11 +89,10 @@ def performance(curve: DataFrame) -> DataFrame:
     return df.withColumn("calmar", ratio(F.col("ann_return"), F.abs("max_drawdown"))).drop("_s")
 
 
-def buy_and_hold(stitched: DataFrame) -> DataFrame:
-    """The same paths with a full bet throughout and no cost of holding."""
-    held = stitched.select(F.lit("buy_and_hold").alias("model"), "path_id", "ts", F.lit(1.0).alias("p_up"), "y_true", "ret").distinct()
-    df = held.withColumn("bet", F.lit(1.0)).withColumn("gross", F.col("ret")).withColumn("cost", F.lit(0.0)).withColumn("net", F.col("ret"))
-    return performance(equity(df))
+def buy_and_hold(stitched: DataFrame, cost: float = COST) -> DataFrame:
+    """The same paths with a full bet throughout; only the first buy costs."""
+    held = stitched.select(F.lit("buy_and_hold").alias("model"), "path_id", "ts", "y_true", "ret").distinct().withColumn("bet", F.lit(1.0))
+    return performance(equity(charged(held, cost)))
 
 
 def split_metrics(preds: DataFrame, eps: float = 1e-15) -> DataFrame:
@@ -156,39 +159,54 @@ def delong(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("z", ratio(F.col("auc_a") - F.col("auc_b"), F.sqrt("variance")))
 
 
-def p_value(z: float | None) -> float | None:
-    return None if z is None else 2 * (1 - NormalDist().cdf(abs(z)))
+def significance(df: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
+    """Pairs of models with AUCs, z, the two-sided p value and whether it is below alpha."""
+    found = delong(df, keys).withColumn("p_value", 2 * (1 - phi(F.abs("z"))))
+    return found.withColumn("delta_auc", F.col("auc_a") - F.col("auc_b")).withColumn("significant", F.col("p_value") < alpha)
 
 
-def significance(df: DataFrame, keys: list[str], alpha: float = 0.05) -> list[dict]:
-    """Pairs of models with their two-sided p values: as many rows as there are pairs."""
-    rows = [r.asDict() for r in delong(df, keys).collect()]
-    return [r | {"p": p_value(r["z"]), "significant": r["z"] is not None and p_value(r["z"]) < alpha} for r in rows]
+def phi(x: Column, terms: int = 80) -> Column:
+    """The normal distribution function by its power series, exact to the last digits for |x| < 8, beyond which it is 0 or 1."""
+    v = F.greatest(F.least(x, F.lit(8.0)), F.lit(-8.0))
+    start = F.struct(v.alias("term"), v.alias("sum"))
+    step = lambda s, i: F.struct((s["term"] * v * v / (2 * i + 1)).alias("term"), (s["sum"] + s["term"] * v * v / (2 * i + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda s: s["sum"])
+    return F.when(x.isNotNull(), F.greatest(F.least(0.5 + series * F.exp(-v * v / 2) / sqrt(2 * pi), F.lit(1.0)), F.lit(0.0)))
 
 
-def model_summary(perf: DataFrame) -> DataFrame:
-    """Medians, means and spread over paths, ranked by median Sharpe ratio, then by its spread."""
+def model_summary(perf: DataFrame, trials: int | None = None) -> DataFrame:
+    """Medians, means, spread and shape over paths with the deflated Sharpe ratio, ranked by median Sharpe ratio, then by its
+    spread. `trials` is the number of models that were tried, by default those of `perf`."""
     df = perf.groupBy("model").agg(
         F.percentile("sharpe", 0.5).alias("median_sharpe"),
         F.avg("sharpe").alias("mean_sharpe"),
-        F.stddev_samp("sharpe").alias("std_sharpe"),
+        F.coalesce(F.stddev_samp("sharpe"), F.lit(0.0)).alias("std_sharpe"),
         F.percentile("sortino", 0.5).alias("median_sortino"),
+        F.percentile("calmar", 0.5).alias("median_calmar"),
         F.percentile("max_drawdown", 0.5).alias("median_max_drawdown"),
         F.percentile("cum_return", 0.5).alias("median_cum_return"),
+        F.percentile("win_rate", 0.5).alias("median_win_rate"),
+        F.percentile("profit_factor", 0.5).alias("median_profit_factor"),
+        F.avg("skew").alias("pooled_skew"),
+        F.avg("excess_kurtosis").alias("pooled_kurtosis"),
+        F.floor(F.avg("n_events")).alias("n_obs"),
         F.count("*").alias("n_paths"),
     )
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last("median_sharpe"), F.asc("std_sharpe"), "model")  # a row a model
-    return df.withColumn("rank", F.row_number().over(order))
+    every = Window.partitionBy(F.lit(1))  # a row a model
+    df = df.withColumn("_trials", F.count("*").over(every) if trials is None else F.lit(trials))
+    df = df.withColumn("dsr", deflated_sharpe(*map(F.col, ("median_sharpe", "n_obs", "pooled_skew", "pooled_kurtosis", "_trials"))))
+    return df.withColumn("rank", F.row_number().over(every.orderBy(F.desc_nulls_last("median_sharpe"), F.asc("std_sharpe"), "model"))).drop("_trials")
 
 
-def deflated_sharpe(sr: float, n: int, skew: float, excess: float, sr_std: float, n_trials: int) -> float:
-    """Probability that a per-period Sharpe ratio beats the expected best of n_trials that have none."""
-    if n_trials <= 1 or n < 2:
-        return 1.0
+def deflated_sharpe(annual: Column, n: Column, skew: Column, excess: Column, trials: Column, most_trials: int = 1000) -> Column:
+    """Probability that a Sharpe ratio beats the expected best of `trials` ones that are nothing but chance, with the standard
+    error of ratios of returns of that shape (Mertens). The expected best is tabulated up to most_trials."""
     unit = NormalDist()
-    best = sr_std * ((1 - EULER) * unit.inv_cdf(1 - 1 / n_trials) + EULER * unit.inv_cdf(1 - 1 / (n_trials * e)))
-    spread = 1 - skew * sr + (excess + 2) / 4 * sr * sr
-    return unit.cdf((sr - best) * sqrt(n - 1) / sqrt(spread)) if spread > 0 else float("nan")
+    best = [0.0] + [(1 - EULER) * unit.inv_cdf(1 - 1 / t) + EULER * unit.inv_cdf(1 - 1 / (t * e)) for t in range(2, most_trials + 1)]
+    sr = annual / sqrt(YEAR)
+    error = F.sqrt(F.greatest(1 - skew * sr + (excess + 2) / 4 * sr * sr, F.lit(1e-10)) / F.greatest(F.greatest(n, F.lit(2)) - 1, F.lit(1)))
+    chosen = F.element_at(F.array(*map(F.lit, best)), F.least(trials, F.lit(most_trials)).cast("int"))
+    return F.when(trials <= 1, 1.0).when(error < 1e-10, 0.0).otherwise(phi((sr - chosen * error) / error))
 
 
 def pbo(spark: SparkSession, sharpes: DataFrame, n_paths: int, leave_one_out: bool = False) -> DataFrame:
@@ -210,26 +228,38 @@ def pbo(spark: SparkSession, sharpes: DataFrame, n_paths: int, leave_one_out: bo
     return out.groupBy(*base).agg(F.avg("_below").alias("pbo"), F.count("*").alias("n_divisions")) if base else out.agg(F.avg("_below").alias("pbo"), F.count("*").alias("n_divisions"))
 
 
-def bootstrap_median(values: DataFrame, column: str, draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of the median over resamples; draws come from a hash, so partitioning does not change them."""
-    kept = values.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).alias("x"))
-    order = Window.partitionBy(F.lit(1)).orderBy("x")  # a value a path
-    kept = kept.withColumn("k", F.row_number().over(order) - 1)
-    n = kept.count()
-    spark = values.sparkSession
-    drawn = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("j"))
-    drawn = drawn.withColumn("k", F.pmod(F.xxhash64("draw", "j", F.lit(seed)), F.lit(max(1, n))).cast("int"))
-    medians = drawn.join(F.broadcast(kept), "k").groupBy("draw").agg(F.percentile("x", 0.5).alias("m"))
+def bootstrap_median(values: DataFrame, column: str, by: str = "model", draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(by, low, high): percentile interval of the median over resamples of each group's values, null for fewer than two; draws
+    follow from their numbers by modular arithmetic, so partitioning does not change them."""
+    kept = values.where(F.col(column).isNotNull() & ~F.isnan(column)).select(by, F.col(column).alias("x"))
+    kept = kept.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("x")) - 1)  # a value a path
+    sizes = kept.groupBy(by).agg(F.count("*").alias("n"))
+    drawn = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    drawn = drawn.withColumn("k", shuffled(F.col("draw") * 1009 + F.col("j"), seed) % F.col("n"))
+    medians = drawn.join(kept, [by, "k"]).groupBy(by, "n", "draw").agg(F.percentile("x", 0.5).alias("m"))
     tail = (1 - level) / 2
-    out = medians.agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
-    return out if n >= 2 else out.select(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    ends = medians.groupBy(by, "n").agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
+    return ends.select(by, *(F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in ("low", "high")))
+
+
+def shuffled(number: Column, seed: int = 42) -> Column:
+    """A pseudo-random number below 2**31 - 1 of a whole one below it, by two multiplications modulo that prime."""
+    prime = 2**31 - 1
+    first = (number.cast("long") + seed) * 48271 % prime
+    return (first * first % prime + number) * 69621 % prime
+
+
+def empty_performance(perf: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`perf` with a row for every (model, path_id) that is wanted: paths without events count zero, their profit factor is null."""
+    zero = [c for c in perf.columns if c not in ("model", "path_id", "profit_factor")]
+    return wanted.select("model", "path_id").join(perf, ["model", "path_id"], "left").fillna(0, zero)
 
 
 def feature_stability(selected: DataFrame, stable: float = 0.8) -> DataFrame:
     """(feature, n, frequency, stable) of features selected by split."""
-    total = selected.select("split_id").distinct().agg(F.count("*").alias("_t"))
-    df = selected.select("split_id", F.explode("selected").alias("feature")).distinct().groupBy("feature").agg(F.count("*").alias("n"))
-    df = df.crossJoin(F.broadcast(total)).withColumn("frequency", F.col("n") / F.col("_t"))
+    total = selected.agg(F.count("*").alias("_t"))  # a row a split and seed
+    df = selected.select(F.explode("selected").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    df = df.crossJoin(F.broadcast(total)).withColumn("frequency", F.col("n") / F.col("_t"))  # one row
     return df.withColumn("stable", F.col("frequency") > stable).drop("_t")
 
 

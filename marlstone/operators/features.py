@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from math import e, pi, sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.ts import Ewm, backward, full, lag, placed, ratio, roll, running, span
+from marlstone.functions.ts import Ewm, full, lag, placed, ratio, roll, running, span
 
 LAGS = (1, 2, 3, 4, 5, 6, 7, 14, 21, 30)
 WINDOW, YEAR = 30, 365
@@ -138,6 +138,9 @@ TA = (
 ).split()
 
 
+MATH = "shannon_entropy negentropy lz_complexity variance_ratio jarque_bera hurst sadf smt_poly1 smt_exp".split()
+
+
 def technical(bars: DataFrame) -> DataFrame:
     """All 25 technical features; every window shares one partitioning by symbol."""
     df = bars
@@ -230,14 +233,34 @@ def external_feature(kind: str, a: str, b) -> Column:
     return x
 
 
+#: Categories of external features that can be left out, by the names' position in EXTERNAL.
+CATEGORIES = {"macro": EXTERNAL[:20], "crypto": EXTERNAL[20:21], "onchain": EXTERNAL[21:]}
+
+
+def chosen(macro: bool = True, crypto: bool = True, onchain: bool = True) -> tuple:
+    """The external features of the categories that are switched on."""
+    return tuple(x for name, on in (("macro", macro), ("crypto", crypto), ("onchain", onchain)) if on for x in CATEGORIES[name])
+
+
+def missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, n_missing, share): rows without a value."""
+    row = df.agg(F.count("*").alias("_t"), *(F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in columns))
+    stacked = row.select("_t", F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_missing")) for c in columns))).alias("x"))
+    return stacked.select("x.*", ratio(F.col("x.n_missing").cast("double"), F.col("_t").cast("double")).alias("share"))
+
+
 def external(bars: DataFrame, sources: dict[str, DataFrame], wanted=EXTERNAL) -> DataFrame:
-    """External features on the bars' days: sources aligned backward first, then shifted by calendar days; a feature whose
-    source is missing is a column of nulls."""
-    df = bars.select("symbol", "ts", "close")
+    """External features on the bars' days: sources aligned backward first, all in one shuffle, then shifted by calendar days; a
+    feature whose source is missing is a column of nulls."""
+    empty = F.lit(None)
+    both = bars.select("symbol", "ts", "close", empty.cast("string").alias("_name"), empty.cast("double").alias("_value"), F.lit(1).alias("_of"))
     for name, source in sources.items():
-        df = backward(df, source.withColumnRenamed("value", name), name)
-    have = set(df.columns)
-    out = {n: external_feature(k, a, b) if a in have and (not isinstance(b, str) or b in have) else F.lit(None).cast("double") for n, k, a, b in wanted}
+        both = both.union(source.select("symbol", "ts", empty.cast("double"), F.lit(name), F.col("value").cast("double"), F.lit(0)))
+    until = Window.partitionBy("symbol").orderBy("ts", "_of").rowsBetween(Window.unboundedPreceding, 0)
+    known = {n: F.last(F.when(F.col("_name") == n, F.col("_value")), ignorenulls=True).over(until) for n in sources}
+    df = both.select("symbol", "ts", "close", "_of", *(x.alias(n) for n, x in known.items())).where("_of = 1")
+    have = {"close", *sources}
+    out = {n: external_feature(k, a, b) if a in have and (not isinstance(b, str) or b in have) else empty.cast("double") for n, k, a, b in wanted}
     return df.select("symbol", "ts", *(x.alias(n) for n, x in out.items()))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.ts import roll
+from marlstone.operators.evaluate import phi
 from marlstone.operators.features import log_return
 
 #: Response-surface coefficients of the unit-root t statistic with a constant: limits, and polynomials of the normal
@@ -238,15 +239,55 @@ def optimal_d(series: DataFrame, alpha: float = 0.05) -> DataFrame:
     return series.groupBy("symbol").applyInPandas(find, "symbol string, d double")
 
 
-def normal_cdf(column):
-    """Phi of a column."""
-    from math import erf
+def digamma(x: np.ndarray) -> np.ndarray:
+    """The logarithmic derivative of the gamma function for x >= 1: raised to 6 and more, then its asymptotic series."""
+    x = np.asarray(x, float).copy()
+    out = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        out[low] -= 1 / x[low]
+        x[low] += 1
+    i = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
+
+
+def neighbour_information(x: np.ndarray, label: np.ndarray, k: int = 5) -> float:
+    """Mutual information in nats of a number and a class by nearest neighbours: for each point, those within the distance of its
+    k-th neighbour of its own class are counted among all points; classes of one point are left out."""
+    x = x / (x.std() or 1.0)
+    kept, own, sizes, within = np.zeros(len(x), bool), np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+    radius = np.zeros(len(x))
+    for c in np.unique(label):
+        at = np.flatnonzero(label == c)
+        if len(at) < 2:
+            continue
+        near = min(k, len(at) - 1)
+        order = at[np.argsort(x[at], kind="stable")]
+        v = x[order]
+        # the k-th neighbour of a sorted value is an end of one of the runs of k + 1 values around it
+        padded = np.concatenate([np.full(near, -np.inf), v, np.full(near, np.inf)])
+        runs = np.lib.stride_tricks.sliding_window_view(padded, near + 1)
+        spread = np.stack([np.maximum(v - runs[j : j + len(v), 0], runs[j : j + len(v), -1] - v) for j in range(near + 1)])
+        radius[order] = spread.min(0)
+        kept[at], own[at], sizes[at] = True, near, len(at)
+    every = np.sort(x[kept])
+    if not len(every):
+        return 0.0
+    r = np.nextafter(radius[kept], 0)
+    within = np.searchsorted(every, x[kept] + r, "right") - np.searchsorted(every, x[kept] - r, "left")
+    value = digamma(np.array([len(every)]))[0] + digamma(own[kept]).mean() - digamma(sizes[kept]).mean() - digamma(np.maximum(within, 1)).mean()
+    return max(0.0, float(value))
 
-    @F.pandas_udf("double")
-    def phi(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if pd.isna(v) else (1 + erf(v / sqrt(2))) / 2).astype(float)
 
-    return phi(column)
+def mutual_information_knn(features: DataFrame, columns: list[str], label: str, k: int = 5) -> DataFrame:
+    """(feature, nats) of each feature and a label, over rows that have the feature; a feature's values are one group."""
+    entries = F.array(*(F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("x")) for x in columns))
+    stacked = features.select(F.col(label).cast("int").alias("label"), F.explode(entries).alias("p")).select("label", "p.*").where("x IS NOT NULL")
+
+    def measure(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"feature": [frame["feature"].iloc[0]], "nats": [neighbour_information(frame["x"].to_numpy(float), frame["label"].to_numpy(), k)]})
+
+    return stacked.groupBy("feature").applyInPandas(measure, "feature string, nats double")
 
 
 def black_scholes(options: DataFrame) -> DataFrame:
@@ -256,6 +297,6 @@ def black_scholes(options: DataFrame) -> DataFrame:
     d1 = (F.log(s / k) + (r + v * v / 2) * t) / F.nullif(spread, F.lit(0.0))
     df = options.withColumn("_d1", d1).withColumn("_d2", F.col("_d1") - spread)
     sign = F.when(F.col("call"), 1.0).otherwise(-1.0)
-    df = df.withColumn("_n1", normal_cdf(sign * F.col("_d1"))).withColumn("_n2", normal_cdf(sign * F.col("_d2")))
+    df = df.withColumn("_n1", phi(sign * F.col("_d1"))).withColumn("_n2", phi(sign * F.col("_d2")))
     live = sign * (s * F.col("_n1") - k * F.exp(-r * t) * F.col("_n2"))
     return df.withColumn("price", F.when(t <= 0, F.greatest(sign * (s - k), F.lit(0.0))).otherwise(live)).drop("_d1", "_d2", "_n1", "_n2")
