@@ -206,7 +206,19 @@ def exponential_averages(spark, d):
     return features.averages(source.bars_multi(spark, d)).select("symbol", "ts", *_AVG)
 
 
-@query()
+TA_DIGITS = {"stoch_k": 5, "stoch_d": 5, "williams_r": 5, "cci_14": 5, "obv": 2, "mfi_14": 4, "macd": 3, "macd_signal": 3, "macd_hist": 3, "atr": 3, "chaikin_osc": 1}
+
+
+def _joined(parts: list[str], columns: list[str]) -> str:
+    """Queries side by side on (symbol, ts)."""
+    tables = f"({ORACLES[parts[0]]}) AS {parts[0]}" + "".join(f" JOIN ({ORACLES[p]}) AS {p} USING (symbol, ts)" for p in parts[1:])
+    return f"SELECT symbol, ts, {', '.join(columns)} FROM {tables}"
+
+
+TA_SQL = _joined(["returns", "volatility", "rolling_skew_kurt", "oscillators", "volumes", "exponential_averages"], features.TA)
+
+
+@query(TA_SQL, 6, **TA_DIGITS)
 def ta_features(spark, d):
     return features.technical(source.bars_multi(spark, d))
 
@@ -242,7 +254,7 @@ def log_transforms(spark, d):
     return features.shifted_log(features.symmetric_log(df, ["move", "absent"]), ["volume"])
 
 
-EXT = "ext AS (SELECT CAST(l_shipdate AS DATE) AS ts, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1 HAVING (CAST(l_shipdate AS DATE) - DATE '1995-01-01') % 7 = 0)"
+EXT = "ext AS (SELECT CAST(l_shipdate AS DATE) AS ts, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1)"
 
 
 @query(f"WITH {DAILY}, {EXT} SELECT symbol, bars.ts AS ts, round(value, 2) AS value FROM bars ASOF LEFT JOIN ext ON bars.ts >= ext.ts", 2)
@@ -351,7 +363,7 @@ def sample_weights(spark, d):
 DAILY_LABELS = f"WITH RECURSIVE {DAILY}, {_vol()}, {CUSUM}, {BINS}, ev AS (SELECT *, row_number() OVER (ORDER BY t0, symbol) - 1 AS event_pos, count(*) OVER () AS t FROM bins), ge AS (SELECT *, CAST(least(event_pos // (t // 8), 7) AS INTEGER) AS group_id FROM ev)"
 SPLITS = "sp AS (SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS split_id, a, b FROM range(8) x(a), range(8) y(b) WHERE a < b), st AS (SELECT split_id, unnest([a, b])::INTEGER AS group_id FROM sp)"
 PATHS = "pm AS (SELECT CAST(row_number() OVER (PARTITION BY group_id ORDER BY split_id) - 1 AS INTEGER) AS path_id, group_id, split_id FROM st)"
-ROLES = """gs AS (SELECT group_id, min(t0) AS g0, max(t1) AS g1, max(event_pos) AS ge FROM ge GROUP BY 1), tg AS (SELECT split_id, gs.* FROM st JOIN gs USING (group_id)),
+ROLES = """gs AS (SELECT group_id, min(t0) AS g0, max(t0) AS g1, max(event_pos) AS ge FROM ge GROUP BY 1), tg AS (SELECT split_id, gs.* FROM st JOIN gs USING (group_id)),
     ro AS (SELECT tg.split_id, ge.event_pos, ge.group_id, ge.t0, ge.t1, bool_or(ge.group_id = tg.group_id) AS te, bool_or((ge.t0 >= g0 AND ge.t0 <= g1) OR (ge.t1 >= g0 AND ge.t1 <= g1) OR (ge.t0 <= g0 AND ge.t1 >= g1)) AS pu,
     bool_or(event_pos > tg.ge AND event_pos <= tg.ge + floor(t * 0.01)) AS em FROM ge, tg GROUP BY ALL),
     roles AS (SELECT split_id, event_pos, group_id, t0, t1, CASE WHEN te THEN 'test' WHEN pu THEN 'purged' WHEN em THEN 'embargoed' ELSE 'train' END AS role FROM ro)"""
@@ -383,19 +395,28 @@ def split_info(spark, d):
 
 
 @query(
-    f"""{DAILY_LABELS}, {SPLITS}, {ROLES}, ts_ AS (SELECT split_id, group_id, min(t0) AS g0, max(t1) AS g1 FROM roles WHERE role = 'test' GROUP BY 1, 2)
-    SELECT a.split_id, count(b.g0) AS n_leaks, CASE WHEN count(b.g0) = 0 THEN 'OK' ELSE 'FAIL' END AS status FROM roles a LEFT JOIN ts_ b ON a.split_id = b.split_id AND a.t0 <= b.g1 AND a.t1 >= b.g0 WHERE a.role = 'train' GROUP BY 1"""
+    f"""{DAILY_LABELS}, {SPLITS}, {ROLES}, ts_ AS (SELECT split_id, group_id, min(t0) AS g0, max(t0) AS g1 FROM roles WHERE role = 'test' GROUP BY 1, 2)
+    SELECT a.split_id, count(b.g0) AS n_leaks, CASE WHEN count(b.g0) = 0 THEN 'OK' ELSE 'FAIL' END AS status FROM roles a LEFT JOIN ts_ b ON a.split_id = b.split_id AND (a.t1 BETWEEN b.g0 AND b.g1 OR (a.t0 <= b.g0 AND a.t1 >= b.g1)) WHERE a.role = 'train' GROUP BY 1"""
 )
 def leak_audit(spark, d):
     return cv.audit(cv.roles(cv.events(_daily_bins(spark, d))))
 
 
-@query()
+@query(
+    f"""{DAILY_LABELS}, {SPLITS}, {ROLES}, te AS (SELECT split_id, group_id, min(event_pos) AS a, max(event_pos) AS b FROM roles WHERE role = 'test' GROUP BY 1, 2),
+    nr AS (SELECT r.split_id, te.group_id, r.event_pos, r.role, CASE WHEN r.event_pos < a THEN r.event_pos - a ELSE r.event_pos - b END AS distance FROM roles r JOIN te USING (split_id) WHERE r.role IN ('purged', 'embargoed'))
+    SELECT * FROM nr WHERE abs(distance) <= 3"""
+)
 def purge_boundaries(spark, d):
     return cv.boundaries(cv.roles(cv.events(_daily_bins(spark, d))))
 
 
-@query()
+@query(
+    f"""{DAILY_LABELS}, {SPLITS}, {ROLES}, tr AS (SELECT split_id, event_pos, t0, t1, row_number() OVER (PARTITION BY split_id ORDER BY event_pos) - 1 AS p, count(*) OVER (PARTITION BY split_id) AS n FROM roles WHERE role = 'train'),
+    fo AS (SELECT *, CAST(least(p // (n // 5), 4) AS INTEGER) AS own FROM tr), ru AS (SELECT split_id, own AS fold, min(t0) AS g0, max(t0) AS g1, max(p) AS last FROM fo GROUP BY 1, 2)
+    SELECT split_id, event_pos, t0, t1, fold, CASE WHEN own = fold THEN 'validate' WHEN t0 BETWEEN g0 AND g1 OR t1 BETWEEN g0 AND g1 OR (t0 <= g0 AND t1 >= g1) THEN 'purged' WHEN p > last AND p <= last + 10 THEN 'embargoed' ELSE 'train' END AS role
+    FROM fo JOIN ru USING (split_id)"""
+)
 def purged_folds(spark, d):
     return cv.purged_folds(cv.roles(cv.events(_daily_bins(spark, d))))
 
@@ -410,7 +431,8 @@ BETS = f"""z AS (SELECT *, (p_up - 0.5) / sqrt(p_up * (1 - p_up) + 1e-10) AS z F
 CURVE = f"{BETS}, eq AS (SELECT *, product(1 + net) OVER w AS equity FROM nt WINDOW w AS (PARTITION BY model, path_id ORDER BY ts)), cu AS (SELECT *, equity / greatest(max(equity) OVER (PARTITION BY model, path_id ORDER BY ts), 1.0) - 1 AS drawdown FROM eq)"
 PERF = f"""{CURVE}, pf AS (SELECT model, path_id, count(*) AS n_events, avg(net) / nullif(stddev_samp(net), 0) * sqrt(365) AS sharpe, avg(net) / nullif(sqrt(avg(net * net) FILTER (net < 0)), 0) * sqrt(365) AS sortino,
     product(1 + net) - 1 AS cum_return, min(drawdown) AS max_drawdown, count(*) FILTER (bet <> 0 AND net > 0) / nullif(count(*) FILTER (bet <> 0), 0)::DOUBLE AS win_rate, sum(net) FILTER (net > 0) / nullif(-sum(net) FILTER (net < 0), 0) AS profit_factor,
-    count(*) FILTER (bet <> 0) AS n_trades, avg(abs(bet)) AS avg_bet FROM cu GROUP BY 1, 2)"""
+    count(*) FILTER (bet <> 0) AS n_trades, avg(abs(bet)) AS avg_bet, (avg(pow(net, 3)) - 3 * avg(net) * avg(net * net) + 2 * pow(avg(net), 3)) / pow(stddev_pop(net), 3) AS skew, kurtosis_pop(net) AS excess_kurtosis,
+    CASE WHEN max(ts) > min(ts) AND product(1 + net) - 1 > -1 THEN pow(product(1 + net), 365.25 / (max(ts) - min(ts))) - 1 END AS ann_return, ann_return / nullif(abs(min(drawdown)), 0) AS calmar FROM cu GROUP BY 1, 2)"""
 
 
 def _preds(spark, d):
@@ -449,27 +471,63 @@ def time_under_water(spark, d):
     return evaluate.under_water(_curve(spark, d))
 
 
-_PERF = ("sharpe", "sortino", "cum_return", "max_drawdown", "win_rate", "profit_factor", "avg_bet")
+_PERF = ("sharpe", "sortino", "cum_return", "max_drawdown", "win_rate", "profit_factor", "avg_bet", "skew", "excess_kurtosis", "ann_return", "calmar")
+_PERF_DIGITS = {"ann_return": 4, "calmar": 4, "excess_kurtosis": 4}
+_PERF_SQL = ", ".join(f"round({x}, {_PERF_DIGITS.get(x, 6)}) AS {x}" for x in _PERF)
 
 
-@query(f"{PREDS}, {PERF} SELECT model, path_id, n_events, n_trades, " + ", ".join(f"round({x}, 6) AS {x}" for x in _PERF) + " FROM pf")
+@query(f"{PREDS}, {PERF} SELECT model, path_id, n_events, n_trades, {_PERF_SQL} FROM pf", 6, **_PERF_DIGITS)
 def path_performance(spark, d):
     return evaluate.performance(_curve(spark, d)).select("model", "path_id", "n_events", "n_trades", *_PERF)
 
 
 @query(
-    f"""{PREDS}, {PERF}, ms AS (SELECT model, median(sharpe) AS median_sharpe, avg(sharpe) AS mean_sharpe, stddev_samp(sharpe) AS std_sharpe, median(sortino) AS median_sortino, median(max_drawdown) AS median_max_drawdown,
-    median(cum_return) AS median_cum_return, count(*) AS n_paths FROM pf GROUP BY 1) SELECT model, n_paths, CAST(row_number() OVER (ORDER BY median_sharpe DESC NULLS LAST, std_sharpe, model) AS INTEGER) AS rank, """
-    + ", ".join(f"round({x}, 6) AS {x}" for x in ("median_sharpe", "mean_sharpe", "std_sharpe", "median_sortino", "median_max_drawdown", "median_cum_return"))
-    + " FROM ms"
+    f"""{PREDS}, {PERF}, wn AS (SELECT 'm' || m AS model, p::INTEGER AS path_id FROM range(4) a(m), range(7) b(p)) SELECT model, path_id, coalesce(n_events, 0) AS n_events, round(coalesce(sharpe, 0.0), 6) AS sharpe,
+    round(coalesce(max_drawdown, 0.0), 6) AS max_drawdown, round(profit_factor, 6) AS profit_factor FROM wn LEFT JOIN pf USING (model, path_id)"""
+)
+def empty_performance(spark, d):
+    """A fourth model has no predictions."""
+    wanted = spark.range(4).crossJoin(spark.range(7).withColumnRenamed("id", "p")).selectExpr("concat('m', id) AS model", "cast(p AS int) AS path_id")
+    return evaluate.empty_performance(evaluate.performance(_curve(spark, d)), wanted).select("model", "path_id", "n_events", "sharpe", "max_drawdown", "profit_factor")
+
+
+def _phi(x: str) -> str:
+    """The normal distribution function as SQL: its power series with double factorials."""
+    v = f"least(greatest({x}, -8.0::DOUBLE), 8.0::DOUBLE)"
+    return f"(0.5::DOUBLE + exp(-{v} * {v} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(81), lambda k: {v} * pow({v} * {v}, k) / exp(lgamma(2 * k + 2) - k * ln(2.0::DOUBLE) - lgamma(k + 1)))))"
+
+
+def _best_of(trials: int) -> float:
+    from math import e
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf
+    return (1 - 0.5772156649015329) * z(1 - 1 / trials) + 0.5772156649015329 * z(1 - 1 / (trials * e))
+
+
+_MEDIANS = {"median_sharpe": "sharpe", "median_sortino": "sortino", "median_calmar": "calmar", "median_max_drawdown": "max_drawdown", "median_cum_return": "cum_return", "median_win_rate": "win_rate", "median_profit_factor": "profit_factor"}
+
+
+@query(
+    f"""{PREDS}, {PERF}, ms AS (SELECT model, {", ".join(f"median({x}) AS {n}" for n, x in _MEDIANS.items())}, avg(sharpe) AS mean_sharpe, coalesce(stddev_samp(sharpe), 0.0) AS std_sharpe, avg(skew) AS pooled_skew, avg(excess_kurtosis) AS pooled_kurtosis,
+    CAST(floor(avg(n_events)) AS BIGINT) AS n_obs, count(*) AS n_paths FROM pf GROUP BY 1), se AS (SELECT *, median_sharpe / sqrt(365) AS sr, sqrt(greatest(1 - pooled_skew * median_sharpe / sqrt(365) + (pooled_kurtosis + 2) / 4 * pow(median_sharpe / sqrt(365), 2), 1e-10) / (greatest(n_obs, 2) - 1)) AS err FROM ms)
+    SELECT model, n_paths, n_obs, CAST(row_number() OVER (ORDER BY median_sharpe DESC NULLS LAST, std_sharpe, model) AS INTEGER) AS rank, round({_phi(f"(sr - {_best_of(3)!r} * err) / err")}, 6) AS dsr, """
+    + ", ".join(f"round({x}, {4 if x in ('median_calmar', 'pooled_kurtosis') else 6}) AS {x}" for x in (*_MEDIANS, "mean_sharpe", "std_sharpe", "pooled_skew", "pooled_kurtosis"))
+    + " FROM se",
+    6,
+    median_calmar=4,
+    pooled_kurtosis=4,
 )
 def model_ranking(spark, d):
     return evaluate.model_summary(evaluate.performance(_curve(spark, d)))
 
 
-@query()
+_HELD = "held AS (SELECT DISTINCT 'buy_and_hold' AS model, path_id, ts, ret FROM stitched), bt AS (SELECT *, 1.0::DOUBLE AS bet FROM held)"
+
+
+@query(f"{PREDS}, {PERF.replace(BETS.split(",\n    net AS", 1)[0], _HELD)} SELECT model, path_id, n_events, n_trades, {_PERF_SQL} FROM pf", 6, **_PERF_DIGITS)
 def buy_and_hold(spark, d):
-    return evaluate.buy_and_hold(_stitched(spark, d))
+    return evaluate.buy_and_hold(_stitched(spark, d)).select("model", "path_id", "n_events", "n_trades", *_PERF)
 
 
 _SPLIT = ("log_loss", "brier", "accuracy", "macro_f1", "macro_precision", "macro_recall", "auc")
@@ -488,17 +546,30 @@ def split_metrics(spark, d):
     return evaluate.split_metrics(_preds(spark, d)).select("model", "split_id", "n", *_SPLIT)
 
 
-@query(
-    f"""{PREDS}, one AS (SELECT * FROM stitched WHERE path_id = 0), pl AS (SELECT x.model, x.ts, x.y_true, avg(CASE WHEN x.p_up > y.p_up THEN 1.0 WHEN x.p_up = y.p_up THEN 0.5 ELSE 0 END::DOUBLE) AS g FROM one x JOIN one y ON x.model = y.model AND x.y_true <> y.y_true GROUP BY 1, 2, 3)
-    SELECT model, ts, y_true, round(CASE WHEN y_true = 1 THEN g ELSE 1 - g END, 6) AS placement FROM pl"""
-)
+PLACED = """pl AS (SELECT x.model, x.split_id, x.ts, x.y_true, avg(CASE WHEN x.p_up > y.p_up THEN 1.0 WHEN x.p_up = y.p_up THEN 0.5 ELSE 0 END::DOUBLE) AS g FROM av x JOIN av y ON x.model = y.model AND x.y_true <> y.y_true GROUP BY 1, 2, 3, 4),
+    pc AS (SELECT model, split_id, ts, y_true, CASE WHEN y_true = 1 THEN g ELSE 1 - g END AS placement FROM pl)"""
+PAIRED = f"""{PLACED}, dq AS (SELECT a.model AS model_a, b.model AS model_b, a.y_true AS y, count(*) AS n, avg(a.placement) AS va, avg(b.placement) AS vb, var_samp(a.placement - b.placement) AS s FROM pc a JOIN pc b ON a.split_id = b.split_id AND a.ts = b.ts AND a.model < b.model GROUP BY 1, 2, 3),
+    dl AS (SELECT model_a, model_b, max(va) FILTER (y = 1) AS auc_a, max(vb) FILTER (y = 1) AS auc_b, sum(s / n) AS variance FROM dq GROUP BY 1, 2), dz AS (SELECT *, (auc_a - auc_b) / nullif(sqrt(variance), 0) AS z FROM dl)"""
+
+
+def _pooled(spark, d):
+    """Seed-averaged predictions of all splits."""
+    return evaluate.averaged(_preds(spark, d))
+
+
+@query(f"{PREDS}, {PLACED} SELECT model, split_id, ts, y_true, round(placement, 6) AS placement FROM pc")
 def delong_components(spark, d):
-    return evaluate.placements(_stitched(spark, d).where("path_id = 0")).select("model", "ts", "y_true", "placement")
+    return evaluate.placements(_pooled(spark, d)).select("model", "split_id", "ts", "y_true", "placement")
 
 
-@query()
+@query(f"{PREDS}, {PAIRED} SELECT model_a, model_b, round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(variance, 6) AS variance, round(z, 4) AS z FROM dz", 6, z=4)
 def delong_pairs(spark, d):
-    return evaluate.delong(_stitched(spark, d).where("path_id = 0"), ["ts"])
+    return evaluate.delong(_pooled(spark, d), ["split_id", "ts"])
+
+
+@query(f"{PREDS}, {PAIRED}, pp AS (SELECT *, 2 * (1 - {_phi('abs(z)')}) AS p FROM dz) SELECT model_a, model_b, round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(auc_a - auc_b, 6) AS delta_auc, round(variance, 6) AS variance, round(z, 4) AS z, round(p, 4) AS p_value, p < 0.05 AS significant FROM pp", 6, z=4, p_value=4)
+def auc_significance(spark, d):
+    return evaluate.significance(_pooled(spark, d), ["split_id", "ts"])
 
 
 HALVES = """dv AS (SELECT row_number() OVER (ORDER BY x, y, z) AS division, [x, y, z] AS own FROM range(7) a(x), range(7) b(y), range(7) c(z) WHERE x < y AND y < z)"""
@@ -521,9 +592,14 @@ def loo_pbo(spark, d):
     return evaluate.pbo(spark, evaluate.performance(_curve(spark, d)), 7, leave_one_out=True)
 
 
-@query()
+@query(
+    f"""{PREDS}, {PERF}, bk AS (SELECT model, sharpe AS x, row_number() OVER (PARTITION BY model ORDER BY sharpe) - 1 AS k, count(*) OVER (PARTITION BY model) AS n FROM pf WHERE sharpe IS NOT NULL),
+    bd AS (SELECT model, n, draw, j, (draw * 1009 + j)::BIGINT AS number FROM (SELECT DISTINCT model, n FROM bk), range(1000) a(draw), range(7) b(j) WHERE j < n), b1 AS (SELECT *, (number + 42) * 48271 % 2147483647 AS f FROM bd),
+    b2 AS (SELECT b1.model, draw, median(x) AS m FROM b1 JOIN bk ON bk.model = b1.model AND bk.k = (f * f % 2147483647 + number) * 69621 % 2147483647 % b1.n GROUP BY 1, 2)
+    SELECT model, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM b2 GROUP BY 1"""
+)
 def bootstrap_ci(spark, d):
-    return evaluate.bootstrap_median(evaluate.performance(_curve(spark, d)).where("model = 'm0'"), "sharpe")
+    return evaluate.bootstrap_median(evaluate.performance(_curve(spark, d)), "sharpe")
 
 
 @query(f"{PREDS} SELECT model, CAST(least(floor(p_up * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p_up), 6) AS mean_p, round(avg(y_true), 6) AS observed FROM preds GROUP BY 1, 2 HAVING count(*) >= 10")
@@ -578,7 +654,10 @@ def equity_pivot(spark, d):
     return diagnose.equity_pivot(_curve(spark, d), list(range(7)))
 
 
-@query()
+@query(
+    f"""{PREDS}, {CURVE}, sn AS (SELECT *, equity / first_value(equity) OVER (PARTITION BY model, path_id ORDER BY ts) AS value FROM cu WHERE ts >= DATE '1998-01-01')
+    SELECT model, ts, round(median(value), 6) AS median_value, count(*) AS n_paths FROM sn GROUP BY 1, 2"""
+)
 def paths_since(spark, d):
     return diagnose.since(_curve(spark, d), "1998-01-01")
 
@@ -590,20 +669,49 @@ def _feats(spark, d):
     return features.volatility(source.bars_multi(spark, d)).select("symbol", "ts", *FEATS)
 
 
-@query()
+FEATS_SQL = "fe AS (" + _joined(["returns", "volatility"], FEATS) + ")"
+_PAIRS = [(a, b) for i, a in enumerate(FEATS) for b in FEATS[i + 1 :]]
+
+
+@query(
+    f"WITH {FEATS_SQL}, ok AS (SELECT * FROM fe WHERE {' AND '.join(f'{x} IS NOT NULL' for x in FEATS)}), co AS ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS correlation FROM ok" for a, b in _PAIRS)
+    + ") SELECT a, b, round(correlation, 4) AS correlation FROM co WHERE abs(correlation) > 0.5",
+    4,
+)
 def corr_pairs(spark, d):
     return diagnose.correlated(_feats(spark, d), FEATS, 0.5)
 
 
-@query()
+@query(
+    f"WITH {FEATS_SQL}, st AS (" + " UNION ALL ".join(f"SELECT '{x}' AS feature, {x} AS x FROM fe" for x in FEATS) + ") SELECT feature, count(x) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(kurtosis(x), 2) AS kurtosis, kurtosis(x) > 10 AS heavy FROM st GROUP BY 1",
+    4,
+    kurtosis=2,
+)
 def feature_distributions(spark, d):
     return diagnose.distributions(_feats(spark, d), FEATS)
 
 
-@query()
+_UP = "up AS (SELECT *, CAST(log_returns > 0 AS INTEGER) AS up FROM fe WHERE log_returns IS NOT NULL)"
+_INFORM = ["realized_vol", "gk_vol", "bb_width", "yz_vol"]
+
+
+@query(
+    f"WITH {FEATS_SQL}, {_UP}, st AS ("
+    + " UNION ALL ".join(f"SELECT '{x}' AS feature, {x} AS x, up FROM up WHERE {x} IS NOT NULL" for x in _INFORM)
+    + """), bi AS (SELECT *, ntile(10) OVER (PARTITION BY feature ORDER BY x, up) AS bin FROM st), cn AS (SELECT feature, bin, up, count(*) AS n FROM bi GROUP BY 1, 2, 3),
+    mi AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) * log2(n * sum(n) OVER (PARTITION BY feature) / (sum(n) OVER (PARTITION BY feature, bin) * sum(n) OVER (PARTITION BY feature, up))) AS i FROM cn) SELECT feature, round(sum(i), 4) AS bits FROM mi GROUP BY 1""",
+    4,
+)
 def mutual_information(spark, d):
-    df = features.returns(source.bars_multi(spark, d)).withColumn("up", (F.col("log_returns") > 0).cast("int"))
-    return diagnose.mutual_information(df.where("up IS NOT NULL"), ["roc_14", "volume"], "up")
+    df = ts.rounded(_feats(spark, d)).withColumn("up", (F.col("log_returns") > 0).cast("int"))
+    return diagnose.mutual_information(df.where("up IS NOT NULL"), _INFORM, "up")
+
+
+@query()
+def mutual_information_knn(spark, d):
+    df = _feats(spark, d).withColumn("up", (F.col("log_returns") > 0).cast("int"))
+    return kernels.mutual_information_knn(df.where("up IS NOT NULL"), _INFORM, "up")
 
 
 @query(
@@ -661,7 +769,14 @@ def adf_stationarity(spark, d):
     return kernels.stationarity(_feats(spark, d), FEATS)
 
 
-@query()
+_OPT = "op AS (SELECT p_partkey AS id, p_retailprice AS spot, p_size / 50.0::DOUBLE AS years, p_retailprice * 1.05::DOUBLE AS strike, 0.03::DOUBLE AS rate, 0.5::DOUBLE AS vol, p_partkey % 2 = 0 AS call FROM part)"
+
+
+@query(
+    f"""WITH {_OPT}, dd AS (SELECT *, CASE WHEN call THEN 1.0 ELSE -1.0 END::DOUBLE AS s, (ln(spot / strike) + (rate + vol * vol / 2) * years) / (vol * sqrt(years)) AS d1 FROM op), d2 AS (SELECT *, d1 - vol * sqrt(years) AS d2 FROM dd)
+    SELECT id, round(spot, 4) AS spot, round(years, 4) AS years, round(strike, 4) AS strike, round(rate, 4) AS rate, round(vol, 4) AS vol, call, round(s * (spot * {_phi("s * d1")} - strike * exp(-rate * years) * {_phi("s * d2")}), 4) AS price FROM d2""",
+    4,
+)
 def black_scholes(spark, d):
     t = source.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("spot"), (F.col("p_size") / 50.0).alias("years"))
     return kernels.black_scholes(t.withColumns({"strike": F.col("spot") * 1.05, "rate": F.lit(0.03), "vol": F.lit(0.5), "call": F.col("id") % 2 == 0}))
@@ -671,62 +786,29 @@ def _aligned(spark, d):
     return flows.dataset(source.bars_daily(spark, d))
 
 
-@query()
-def aligned_dataset(spark, d):
-    return _aligned(spark, d)
-
-
-@query()
-def alignment_checks(spark, d):
-    return features.alignment_faults(_aligned(spark, d))
-
-
-MODEL_COLUMNS = ["roc_14", *(f"log_returns_lag{k}" for k in (1, 2, 3, 5, 7))]
+def _of_daily(name: str) -> str:
+    return ORACLES[name].replace(MULTI, DAILY)
 
 
-def _split(spark, d, name, **params):
-    bars, bins = source.bars_daily(spark, d), _daily_bins(spark, d)
-    matrix = features.returns(bars).select("symbol", "ts", "roc_14").join(features.lags(bars), ["symbol", "ts"])
-    weights = labeling.sample_weights(bars, bins).select("symbol", F.col("t0").alias("ts"), "w")
-    df = stored(features.align(matrix, bins.withColumnRenamed("t0", "ts"), weights))
-    ev = cv.events(df.select("symbol", F.col("ts").alias("t0"), "t1"))
-    numbered = df.drop("event_pos").join(ev.select("event_pos", "symbol", F.col("t0").alias("ts")), ["symbol", "ts"])
-    return flows.run_split(numbered, stored(cv.roles(ev)), 0, MODEL_COLUMNS, name, **params)
-
-
-@query()
-def model_logistic(spark, d):
-    return _split(spark, d, "logistic")
-
-
-@query()
-def model_forest(spark, d):
-    return _split(spark, d, "random_forest", trees=20)
-
-
-@query()
-def model_boosted(spark, d):
-    return _split(spark, d, "boosted", trees=10)
-
-
-@query()
-def model_ar_logistic(spark, d):
-    return _split(spark, d, "ar_logistic")
-
-
-@query()
-def model_spline(spark, d):
-    return _split(spark, d, "spline")
+_KEPT = "bins AS (SELECT * FROM bins0 WHERE bin <> 0 AND bin IN (SELECT bin FROM (SELECT bin, count(*) / sum(count(*)) OVER () AS share FROM bins0 GROUP BY 1) WHERE share >= 0.05))"
+_DAILY_BINS = BINS.replace("bins AS (SELECT k.symbol", "bins0 AS (SELECT k.symbol")
+_WEIGHTS = _of_daily("sample_weights").replace(BINS, f"{_DAILY_BINS}, {_KEPT}")
+_LABELS = f"{EVENTS.replace(MULTI, DAILY)}, {_DAILY_BINS}, {_KEPT} SELECT symbol, t0 AS ts, t1, round(ret, 6) AS ret, bin FROM bins"
+_ALIGNED = (
+    f"SELECT symbol, ts, {', '.join(features.TA)}, {', '.join(_STAT)}, {', '.join(f'log_returns_lag{k}' for k in features.LAGS)}, t1, ret, bin, w, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS event_pos "
+    f"FROM ({TA_SQL.replace(MULTI, DAILY)}) JOIN ({_of_daily('math_features')}) USING (symbol, ts) JOIN ({_of_daily('lag_features')}) USING (symbol, ts) JOIN ({_LABELS}) USING (symbol, ts) JOIN (SELECT symbol, t0 AS ts, w FROM ({_WEIGHTS})) USING (symbol, ts)"
+)
+_NUMBERS = [*features.TA, *_STAT, *(f"log_returns_lag{k}" for k in features.LAGS), "ret", "w"]
 
 
-@query()
-def platt_calibration(spark, d):
-    df = stored(_preds(spark, d).where("model = 'm0' AND split_id = 0")).withColumn("raw", F.log(F.col("p_up") / (1 - F.col("p_up")))).withColumnRenamed("y_true", "y")
-    return models.apply_platt(df, *models.platt(df)).select("ts", "seed", "p_up", "p_cal")
+@query(_ALIGNED, 6, **TA_DIGITS)
+def aligned_dataset(spark, d):
+    return _aligned(spark, d)
 
 
-@query()
-def symbolic_edges(spark, d):
-    df = _feats(spark, d).dropna()
-    df = stored(models.robust_scale(df, FEATS))
-    return models.symbolic_edges(df.withColumn("y", F.col("realized_vol")), ["bb_width", "gk_vol"], "y", scales=(1.0,), shifts=(0.0,))
+@query(
+    f"""WITH al AS ({_ALIGNED}) SELECT count(*) AS rows, count(*) - count(DISTINCT (symbol, ts)) AS repeated, count(*) FILTER (t1 IS NULL) AS open_ended, count(*) FILTER (w <= 0) AS weightless,
+    CAST({" + ".join(f"(CASE WHEN count({x}) = 0 THEN 1 ELSE 0 END)" for x in _NUMBERS)} AS INTEGER) AS empty_columns FROM al"""
+)
+def alignment_checks(spark, d):
+    return features.alignment_faults(_aligned(spark, d))

@@ -5,13 +5,13 @@ import pytest
 
 import oracle
 from conftest import SF
-from marlstone import queries
+from marlstone import catalog as queries
 from marlstone.functions import ts
 from marlstone.operators import cv, evaluate, features, labeling
 from marlstone.sources import bars as source
 from pyspark.sql import functions as F
 
-CHEAP = ["bars_daily", "gap_runs", "gap_fill", "ohlcv_audit", "returns", "volatility", "oscillators", "volumes", "exponential_averages", "math_features", "asof_backward", "daily_vol", "cusum_events", "triple_barrier", "concurrency", "path_map", "robust_scale"]
+CHEAP = ["lost_closes", "merged_sources", "coerced_and_late", "filled_back", "all_days", "cached_matrix", "external_missing", "rescaled_yield", "demo_splits", "instrument_names", "sequences", "stream_bars", "feature_stability", "stability_table", "black_scholes", "leak_audit", "purged_folds", "bars_daily", "gap_runs", "gap_fill", "ohlcv_audit", "returns", "volatility", "oscillators", "volumes", "exponential_averages", "math_features", "asof_backward", "daily_vol", "cusum_events", "triple_barrier", "concurrency", "path_map", "robust_scale"]
 
 
 def day(n):
@@ -102,3 +102,36 @@ def test_entry_survives_without_the_text_operators():
     code = "import sys; sys.modules['marlstone.llm'] = None\nimport builtins\nreal = builtins.__import__\ndef guarded(name, *a, **k):\n    if name == 'corpus_pipeline': raise ModuleNotFoundError(name='corpus_pipeline')\n    return real(name, *a, **k)\nbuiltins.__import__ = guarded\nimport __spark_entry__ as e\nassert e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
     root = __file__.rsplit("/tests/", 1)[0]
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
+
+
+def test_purge_ends_with_the_last_start_of_a_group(spark):
+    bins = spark.createDataFrame([("A", day(i), day(i + 6), 0.1, 1) for i in range(40)], "symbol string, t0 date, t1 date, ret double, bin int")
+    ev = cv.events(bins)
+    assert [r.event_pos for r in ev.orderBy("t0").collect()] == list(range(40))
+    found = {(r.split_id, r.event_pos): r.role for r in cv.roles(ev, 4, 1, 0.0).collect()}
+    assert [found[0, p] for p in (9, 10, 15)] == ["test", "train", "train"]  # the labels of the group last until day 15
+    strict = {(r.split_id, r.event_pos): r.role for r in cv.roles(ev, 4, 1, 0.0, through_labels=True).collect()}
+    assert [strict[0, p] for p in (9, 10, 15, 16)] == ["test", "purged", "purged", "train"]
+
+
+def test_first_buy_costs(spark):
+    rows = spark.createDataFrame([("m", 0, day(i), 0.5, 1, 0.01) for i in range(3)], "model string, path_id int, ts date, p_up double, y_true int, ret double")
+    assert evaluate.buy_and_hold(rows).first().cum_return == pytest.approx(1.009 * 1.01**2 - 1)
+
+
+def test_cache_keeps_what_it_has(spark, tmp_path):
+    rows = frame(spark, [1.0, 2.0, 3.0]).withColumn("x", F.col("close") * 2)
+    asked = []
+
+    def build(columns):
+        asked.append(columns)
+        return rows.select("symbol", "ts", *columns)
+
+    path = f"file://{tmp_path}/m"
+    for columns in (["close"], ["close", "x"], ["x"]):
+        assert source.cached(build, path, spark, columns, day(0), day(2)).count() == 3
+    assert asked == [["close"], ["x"]]
+    assert source.cached(build, path, spark, ["x"], day(1), day(4), slack=3).count() == 3 and len(asked) == 2
+    source.cached(build, path, spark, ["x"], day(0), day(9))
+    assert asked[-1] == ["x"]
+    assert source.unexpected(rows, ["close", "y"]) == {"missing": ["y"], "extra": ["open", "high", "low", "volume", "x"]}

@@ -29,10 +29,66 @@ def test_hurst_of_noise():
     assert 0.4 < kernels.rescaled_range(np.random.default_rng(2).normal(size=180)) < 0.75
 
 
-def test_deflated_sharpe():
-    assert evaluate.deflated_sharpe(0.1, 100, 0, 0, 0.1, 1) == 1.0
-    assert evaluate.deflated_sharpe(0.1, 100, 0, 0, 0.1, 10) < evaluate.deflated_sharpe(0.3, 100, 0, 0, 0.1, 10)
-    assert evaluate.p_value(1.959964) == pytest.approx(0.05, abs=1e-6)
+def test_deflated_sharpe(spark):
+    from statistics import NormalDist
+
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1.0, 100, 0.2, 1.0, 1), (1.0, 100, 0.2, 1.0, 6), (3.0, 100, 0.2, 1.0, 6)], "sr double, n int, skew double, kurt double, trials int")
+    got = [r.d for r in df.select(evaluate.deflated_sharpe(*map(F.col, ("sr", "n", "skew", "kurt", "trials"))).alias("d")).collect()]
+    z, sr = NormalDist().inv_cdf, 1 / math.sqrt(365)
+    error = math.sqrt((1 - 0.2 * sr + 0.75 * sr * sr) / 99)
+    best = (1 - 0.5772156649015329) * z(1 - 1 / 6) + 0.5772156649015329 * z(1 - 1 / (6 * math.e))
+    assert got[0] == 1.0 and got[1] == pytest.approx(NormalDist().cdf(sr / error - best), abs=1e-9) and got[2] > got[1]
+    x = spark.createDataFrame([(i / 8,) for i in range(-80, 81)], "x double").select("x", evaluate.phi(F.col("x")).alias("p")).collect()
+    assert all(abs(r.p - NormalDist().cdf(r.x)) < 1e-12 for r in x)
+
+
+def test_nearest_neighbour_information():
+    rng = np.random.default_rng(4)
+    label = rng.integers(0, 2, 300)
+    x = rng.normal(size=300) + label
+    k = 3
+    z = x / x.std()
+    values = []
+    for i in range(300):
+        same = np.sort(np.abs(z[label == label[i]] - z[i]))
+        values.append((np.abs(z - z[i]) < same[k]).sum())
+    psi = kernels.digamma
+    want = psi([300])[0] + psi([k])[0] - np.mean([psi([(label == c).sum()])[0] for c in label]) - psi(np.array(values, float)).mean()
+    assert kernels.neighbour_information(x, label, k) == pytest.approx(want, abs=1e-9)
+    assert kernels.neighbour_information(rng.normal(size=300), label, k) < 0.1
+    assert psi([1.0, 0.5 + 9.5])[0] == pytest.approx(-0.5772156649015329, abs=1e-10)
+
+
+def test_grouped_logistic_fits_match_one_by_one(spark):
+    from marlstone.operators import glm, models
+
+    rng = np.random.default_rng(5)
+    rows, each = [], {}
+    for g in ("a", "b"):
+        x = rng.normal(size=(200, 3))
+        y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=200) > 0.3).astype(int)
+        w = rng.uniform(0.5, 2, 200)
+        each[g] = x, y, w
+        rows += [(g, xi.tolist(), int(yi), float(wi)) for xi, yi, wi in zip(x, y, w)]
+    df = spark.createDataFrame(rows + [("one", [0.0, 0.0, 0.0], 1, 1.0)], "g string, x array<double>, y int, w double")
+    beta = glm.fit(df, "g", "x", "y", "w", c=0.5)
+    for g, (x, y, w) in each.items():
+        design = np.column_stack([x, np.ones(200)])
+        p = 1 / (1 + np.exp(-design @ beta[g]))
+        slope = design.T @ (w * (p - y)) + np.append(beta[g][:3] / 0.5, 0)
+        assert np.abs(slope).max() < 1e-6  # the least of the penalised loss
+    assert beta["one"][-1] == 30.0
+    scored = glm.margin(df.where("g = 'a'"), "g", "x", beta).collect()
+    assert scored[0].raw == pytest.approx(float(np.append(each["a"][0][0], 1) @ beta["a"]))
+    raw = df.where("g <> 'one'").selectExpr("g", "y", "3 * (x[0] - 2 * x[1]) AS raw")
+    t, shift = models.calibrate(raw, "g", "temperature")["a"]
+    pdf = raw.where("g = 'a'").toPandas()
+    loss = lambda a: float(np.mean(np.logaddexp(0, a * pdf.raw) - pdf.y * a * pdf.raw))
+    assert shift == 0 and all(loss(t) <= loss(a) + 1e-9 for a in np.linspace(0.05, 20, 400))
+    a, b = models.calibrate(raw, "g", "vector")["a"]
+    assert 0.05 <= a <= 20 and np.mean(np.logaddexp(0, a * pdf.raw + b) - pdf.y * (a * pdf.raw + b)) <= loss(t) + 1e-9
 
 
 def test_suprema_match_loops(spark):
