@@ -1,18 +1,22 @@
 """Near-duplicate vectors by randomised-rotation binary codes with stored correction factors.
 
-Equal vectors of a label are one node. Every node is rotated by seeded random orthogonal matrices; the signs are its codes.
-1. Bands of code bits deal the nodes of a label into buckets. Their number and width follow from the number of nodes: narrow
+Equal vectors of a label are one node. Every node is rotated by seeded random orthogonal matrices; the signs are its code, and
+the inner product of the first rotation's code and the vector is its correction factor. Both are computed once and stored with
+the node.
+1. Bands of code bits deal the nodes of a label into buckets. Their number and width follow from the number of rows: narrow
    enough that buckets stay small, and as many as make the chance that a pair at the threshold meets in none at most MISS.
 2. In a bucket, the share of differing bits estimates the angle of a pair; pairs whose confidence bound reaches the threshold
-   are candidates, and stars over them leave the task: rows in the size of a group, not in its pairs.
-3. In the candidates' components, in blocks of bounded size, each node's code, scaled by its stored correction factor (the
-   inner product of code and vector), gives an unbiased estimate of every inner product; where the estimate and its
-   confidence bound reach the threshold, the cosine is computed again from the whole vectors in double precision.
+   are candidates, and stars over them leave the task: rows in the size of a group, not in its pairs. Large buckets are dealt in
+   blocks of bounded size.
+3. In the candidates' components, in blocks of bounded size, each node's stored code and factor give an unbiased estimate of
+   its inner products, in single precision; only where the estimate and its confidence bound reach the threshold is the
+   cosine computed again from the whole vectors, in double precision.
 Links have an exact cosine of at least the threshold; they are counted and their components give the result.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without a label, link
 with nothing and are kept; vectors of different lengths never link; rows of one id are nodes by their vectors; equal rows
-share a component; an empty table gives no rows; other columns are never read.
+share a component; an empty table gives no rows; other columns are never read. Long vectors cost memory in the square of their
+length, for the rotation.
 """
 
 from __future__ import annotations
@@ -28,15 +32,15 @@ from pyspark.sql import types as T
 
 from marlstone.llm.common import table, written
 from marlstone.llm.jaccard_join import LINKS, VERIFIED, _arrow
-from marlstone.llm.linking import blocked, components, map_runs, runs_of, star
+from marlstone.llm.linking import blocked, components, dealt, map_runs, runs_of, star, with_row
 
 COSINE = 0.98
 #: Chance that a pair at the threshold shares no bucket, and the standard deviations that both confidence bounds allow.
 MISS, SIGMAS = 1e-6, 6.0
 #: Nodes that a bucket of unrelated vectors should hold about.
 BUCKET, SEED = 64, 17
-#: Rows of one bucket above which its dominating group is found by its distance from one member.
-LARGE = 1024
+#: Code bits that travel with a bucket's rows; with more the bounds are tighter, not the result another.
+FILTER_BITS = 512
 
 
 @cache
@@ -48,7 +52,7 @@ def rotation(size: int, number: int) -> np.ndarray:
 
 def bands(nodes: int, cosine: float = COSINE) -> tuple[int, int]:
     """The number of bands and their width in bits for so many nodes."""
-    width = min(24, max(4, ceil(log2(max(2, nodes) / BUCKET))))
+    width = max(4, ceil(log2(max(2, nodes) / BUCKET)))
     same = (1 - acos(cosine) / pi) ** width
     return ceil(log(MISS) / log(1 - same)), width
 
@@ -69,30 +73,57 @@ def _unit(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(1, keepdims=True))
 
 
+CODED = T.StructType([T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())])
+
+
+def coded(nodes: DataFrame, bits: int) -> DataFrame:
+    """`nodes` with the code of each, at least `bits` and as many bits as the vector is long, and its correction factor."""
+    schema = T.StructType([*nodes.schema, *CODED])
+    target = _arrow(schema)
+
+    def run(batches):
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            for own in np.unique(size).tolist():
+                part = batch.filter(pa.array(size == own))
+                unit = _unit(part.column("embedding"), own)
+                factor = np.abs(unit @ rotation(own, 0).T).sum(1) / sqrt(own)
+                code = pa.array([row.tobytes() for row in _packed(signs(unit, max(bits, own)))], pa.binary())
+                columns = [part.column(f.name).cast(f.type) for f in list(target)[:-2]]
+                yield pa.RecordBatch.from_arrays([*columns, code, pa.array(factor)], schema=target)
+
+    return nodes.mapInArrow(run, schema)
+
+
+def _bits(column: pa.ChunkedArray | pa.Array, start: int, stop: int) -> np.ndarray:
+    """The bits start to stop of codes of one length."""
+    codes = column.to_pylist()
+    packed = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    return np.unpackbits(packed[:, start // 8 : -(-stop // 8)], axis=1)[:, start % 8 : start % 8 + stop - start]
+
+
 BUCKETED = T.StructType([T.StructField("place", T.LongType()), T.StructField("node", T.LongType()), T.StructField("code", T.BinaryType())])
 
 
 def bucketed(nodes: DataFrame, n_bands: int, width: int) -> DataFrame:
-    """A row for each node and band: the bucket's key, from label, length, band and bits, and all code bits."""
+    """A row for each coded node and band: the bucket's key, from label, length, band and bits, and the first FILTER_BITS bits."""
     target = _arrow(BUCKETED)
-    bits = n_bands * width
+    held = -(-min(n_bands * width, FILTER_BITS) // 64) * 8
+    weights = (1 << np.arange(width)).astype(np.int64)
 
     def run(batches):
         for batch in batches:
             size = batch.column("size").to_numpy()
-            for own in np.unique(size):
+            for own in np.unique(size).tolist():
                 part = batch.filter(pa.array(size == own))
-                found = signs(_unit(part.column("embedding"), int(own)), bits)
-                packed = _packed(found)
-                code = pa.array([row.tobytes() for row in packed], pa.binary())
                 label = part.column("home").to_numpy()
-                weights = (1 << np.arange(width)).astype(np.int64)
+                code = pa.array([c[:held] for c in part.column("code").to_pylist()], pa.binary())
                 for k in range(n_bands):
-                    key = found[:, k * width : (k + 1) * width] @ weights
-                    place = pa.array(_mixed(label, int(own), k, key))
+                    key = _bits(part.column("code"), k * width, (k + 1) * width) @ weights
+                    place = pa.array(_mixed(label, own, k, key))
                     yield pa.RecordBatch.from_arrays([place, part.column("node"), code], schema=target)
 
-    return nodes.select("node", "size", F.xxhash64("label").alias("home"), "embedding").mapInArrow(run, BUCKETED)
+    return nodes.select("node", "size", F.xxhash64("label").alias("home"), "code").mapInArrow(run, BUCKETED)
 
 
 def _mixed(label: np.ndarray, size: int, band: int, key: np.ndarray) -> np.ndarray:
@@ -102,56 +133,40 @@ def _mixed(label: np.ndarray, size: int, band: int, key: np.ndarray) -> np.ndarr
 
 
 def candidates(found: DataFrame, bits: int, cosine: float) -> DataFrame:
-    """Stars over the nodes of a bucket that may link, by the number of their differing bits."""
+    """Stars over the nodes of a bucket that may link, by the number of differing bits among their first `bits`."""
     target = _arrow(LINKS)
     p = acos(cosine) / pi
     most = bits * p + SIGMAS * sqrt(bits * p * (1 - p))
-
-    def pairs(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(code[x] ^ code[y]).sum(1, dtype=np.int64) <= most
+    block = ["place", "left", "right"]
 
     def step(run: pa.Table) -> pa.RecordBatch | None:
-        place, node = run.column("place").to_numpy(), run.column("node").to_numpy()
+        node, side = run.column("node").to_numpy(), run.column("side").to_numpy()
+        whole = run.column("left").to_numpy() == run.column("right").to_numpy()
+        place = runs_of(run, block)
         code = np.frombuffer(b"".join(run.column("code").to_pylist()), np.uint64).reshape(len(node), -1)
+        last = -(-bits // 64) * 64 - bits
+        if last:  # the bits behind the last are padding or of another rotation
+            code = code.copy()
+            code[:, -1] &= np.frombuffer(np.packbits(np.arange(64) < 64 - last).tobytes(), np.uint64)[0]
         a, b = [], []
-
-        def note(x: np.ndarray, y: np.ndarray) -> None:
-            a.append(node[x]), b.append(node[y])
-            if len(a) > 256:
-                a[:], b[:] = ([v] for v in star(np.concatenate(a), np.concatenate(b)))
-
-        bounds = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
-        small = np.ones(len(node), bool)
-        for s, e in zip(bounds[:-1], bounds[1:]):
-            if e - s > LARGE:
-                small[s:e] = False
-                rest = np.arange(s, e)
-                while len(rest) > LARGE // 4:
-                    # all that may link with one member are one component already; only the others meet them one by one
-                    near = pairs(code, np.full(len(rest), rest[0]), rest)
-                    group, rest = rest[near], rest[~near]
-                    note(np.full(len(group), group[0]), group)
-                    for y in rest:
-                        hit = group[pairs(code, group, np.full(len(group), y))][:1]
-                        note(hit, np.full(len(hit), y))
-                for i in range(len(rest)):
-                    ok = pairs(code, np.full(len(rest) - i - 1, rest[i]), rest[i + 1 :])
-                    note(np.full(ok.sum(), rest[i]), rest[i + 1 :][ok])
-        here = np.flatnonzero(small)
-        for off in range(1, LARGE):
+        here = np.arange(len(node))
+        for off in range(1, len(node)):
             here = here[here < len(node) - off]
             here = here[place[here] == place[here + off]]
             if not len(here):
                 break
-            ok = here[pairs(code, here, here + off)]
-            note(ok, ok + off)
+            far = here + off
+            ok = np.bitwise_count(code[here] ^ code[far]).sum(1, dtype=np.int64) <= most
+            ok &= whole[here] | (side[here] != side[far])
+            a.append(node[here[ok]]), b.append(node[far[ok]])
+            if len(a) > 256:
+                a, b = ([v] for v in star(np.concatenate(a), np.concatenate(b)))
         if not a:
             return None
-        x, y = np.concatenate(a), np.concatenate(b)
-        low, high = star(x[x != y], y[x != y])
+        low, high = star(np.concatenate(a), np.concatenate(b))
         return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], schema=target)
 
-    return map_runs(found, ["place"], step, LINKS, rows=8192)
+    return map_runs(dealt(written(found, "buckets"), "place", "node"), block, step, LINKS, rows=8192)
 
 
 def verified(meeting: DataFrame, cosine: float) -> DataFrame:
@@ -167,7 +182,8 @@ def verified(meeting: DataFrame, cosine: float) -> DataFrame:
             node, side, copies = (own.column(c).to_numpy() for c in ("node", "side", "copies"))
             size = own.column("size")[0].as_py()
             unit = _unit(own.column("embedding"), size)
-            x, y = _near(unit, side, own.column("left")[0].as_py() != own.column("right")[0].as_py(), size, cosine)
+            code, factor = _bits(own.column("code"), 0, size), own.column("factor").to_numpy()
+            x, y = _near(unit, code, factor, side, own.column("left")[0].as_py() != own.column("right")[0].as_py(), cosine)
             if not len(x):
                 continue
             a, b = star(node[x], node[y])
@@ -183,16 +199,16 @@ def verified(meeting: DataFrame, cosine: float) -> DataFrame:
     return map_runs(meeting, block, step, VERIFIED, rows=1024)
 
 
-def _near(unit: np.ndarray, side: np.ndarray, cross: bool, size: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that link, x before y; the code of x estimates, the whole vectors decide."""
-    turned = unit @ rotation(size, 0).T
-    code = np.where(turned > 0, 1.0, -1.0) / sqrt(size)
-    factor = (code * turned).sum(1)  # the stored correction: how much of the vector its code holds
-    bound = SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / sqrt(max(1, size - 1))
+def _near(unit: np.ndarray, code: np.ndarray, factor: np.ndarray, side: np.ndarray, cross: bool, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that link, x before y; the code and factor of x estimate, the whole vectors decide."""
+    size = unit.shape[1]
+    turned = (unit @ rotation(size, 0).T).astype(np.float32).T
+    # an estimate is the code's inner product with the other vector over the code's with its own; the bound allows for single precision
+    scaled = ((2.0 * code - 1) / (sqrt(size) * factor[:, None])).astype(np.float32)
+    bound = SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / sqrt(max(1, size - 1)) + 1e-4
     xs, ys = [], []
     for s in range(0, len(unit), 512):
-        estimate = code[s : s + 512] @ turned.T / factor[s : s + 512, None]
-        x, y = np.nonzero(estimate + bound[s : s + 512, None] >= cosine)
+        x, y = np.nonzero(scaled[s : s + 512] @ turned >= (cosine - bound[s : s + 512, None]))
         x += s
         ok = (x < y) & ((side[x] != side[y]) if cross else True)
         x, y = x[ok], y[ok]
@@ -211,19 +227,21 @@ def link(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     nodes = rows.where("sound").groupBy("node").agg(
         F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count("*").alias("copies")
     )
-    nodes = written(nodes.withColumn("size", F.size("embedding")), "vectors")
-    n_bands, width = bands(nodes.count(), cosine)
-    maybe = components(candidates(bucketed(nodes, n_bands, width), n_bands * width, cosine), "near")
-    meeting = blocked(nodes.select("node", "size", "embedding", "copies").join(maybe, "node"))
+    total = rows.count()
+    n_bands, width = bands(total, cosine)
+    nodes = written(coded(nodes.withColumn("size", F.size("embedding")), n_bands * width), "vectors")
+    maybe = components(candidates(bucketed(nodes, n_bands, width), min(n_bands * width, FILTER_BITS), cosine), "near")
+    meeting = blocked(nodes.select("node", "size", "embedding", "copies", "code", "factor").join(maybe, "node"))
     found = written(verified(meeting, cosine), "cosines")
     linked = components(found.where("a <> b").select("a", "b"), "linked")
     degree = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     nodes = nodes.select("node", "least", "copies").join(linked, "node", "left").join(degree, "node", "left")
-    nodes = nodes.select("node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    best = nodes.groupBy("root").agg(F.min("least").alias("best"))
-    nodes = nodes.join(best, "root").select("node", "best", "n_links")
+    nodes = nodes.select("node", "least", "copies", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    nodes = written(nodes, "nodes")
+    best = written(nodes.groupBy("root").agg(F.min("least").alias("best"), F.count("*").alias("size")), "best")
+    nodes = written(with_row(nodes, best, "root", "size", total).select("node", "best", "n_links", "copies"), "found")
     alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    full = rows.where("sound").select("vec_id", "node").join(nodes, "node").select("vec_id", "n_links", F.col("best").alias("component_id"))
+    full = with_row(rows.where("sound").select("vec_id", "node"), nodes, "node", "copies", total).select("vec_id", "n_links", F.col("best").alias("component_id"))
     return full.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

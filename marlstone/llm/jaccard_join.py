@@ -9,7 +9,8 @@ one hash an order, so a rare token that meets a common one in one order is early
 2. Prefix tokens under the first order are dealt by token, once a task and set, with a sketch of the whole set: the least
    tokens of BINS random parts of all tokens, two bits of each. Sets that share a token are candidates if their sizes allow a
    link and as many parts agree as all but a share of MISS of pairs at the threshold have. What leaves a task are stars over
-   the candidates, so a group of near copies costs rows in its size, not in its pairs.
+   the candidates, so a group of near copies costs rows in its size, not in its pairs; the sets of a token that very many hold
+   are dealt in blocks of bounded size.
 3. Within the candidates' components, in blocks of bounded size, pairs must share prefix tokens under all orders; what the
    filters leave in common is verified by exact intersection of the whole sets.
 4. The links' components give each document the smallest id it reaches; the links themselves are counted.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.common import bound_batches, chunks, table, written
-from marlstone.llm.linking import blocked, components, map_runs, runs_of, star
+from marlstone.llm.linking import blocked, components, dealt, map_runs, runs_of, star, with_row
 from marlstone.llm.words import mix, windows, words_of
 
 SHINGLE, PERCENT = 3, 90
@@ -183,9 +184,12 @@ LINKS = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b")])
 def candidates(found: DataFrame, percent: int) -> DataFrame:
     """Stars over the sets that share a prefix token and that sizes and sketches allow to link."""
     target, least = _arrow(LINKS), least_agreeing(percent)
+    block = ["token", "left", "right"]
 
     def step(run: pa.Table) -> pa.RecordBatch | None:
-        token, key, n, filled, low_bit, high_bit = (run.column(c).to_numpy() for c in POSTINGS.names)
+        key, n, filled, low_bit, high_bit, side = (run.column(c).to_numpy() for c in (*POSTINGS.names[1:], "side"))
+        whole = run.column("left").to_numpy() == run.column("right").to_numpy()
+        token = runs_of(run, block)
         a, b = [], []
         here = np.arange(len(token))
         for off in range(1, len(token)):
@@ -197,7 +201,7 @@ def candidates(found: DataFrame, percent: int) -> DataFrame:
             far = here + off
             agree = filled[here] & filled[far] & ~(low_bit[here] ^ low_bit[far]) & ~(high_bit[here] ^ high_bit[far])
             needed = least[np.bitwise_count((filled[here] | filled[far]).view(np.uint64))]
-            ok = (np.bitwise_count(agree.view(np.uint64)) >= needed) & (key[here] != key[far])
+            ok = (np.bitwise_count(agree.view(np.uint64)) >= needed) & (key[here] != key[far]) & (whole[here] | (side[here] != side[far]))
             a.append(key[here[ok]]), b.append(key[far[ok]])
             if len(a) > 256:
                 a, b = ([x] for x in star(np.concatenate(a), np.concatenate(b)))
@@ -206,7 +210,7 @@ def candidates(found: DataFrame, percent: int) -> DataFrame:
         low, high = star(np.concatenate(a), np.concatenate(b))
         return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], schema=target)
 
-    return map_runs(found, ["token"], step, LINKS, rows=20_000, order=("n",))
+    return map_runs(dealt(written(found, "postings"), "token", "key"), block, step, LINKS, rows=20_000, order=("n",))
 
 
 VERIFIED = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "links")])
@@ -301,19 +305,22 @@ def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # the text of a set is that of its document of the smallest id; of rows that share that id, only one with this set
     reps = maybe.join(sets, "node")
     own_text = docs.where("text IS NOT NULL").select("doc_id", "text")
-    texts = own_text.join(reps, own_text["doc_id"].eqNullSafe(reps["least"])).drop("doc_id")
-    texts = texts.transform(lambda d: _with_key(d, size)).where("key = node").dropDuplicates(["node"]).drop("key", "least")
+    chosen = reps.select("least").distinct()
+    texts = _with_key(own_text.join(chosen, own_text["doc_id"].eqNullSafe(chosen["least"]), "left_semi").select("text"), size)
+    texts = reps.drop("least").join(texts.dropDuplicates(["key"]), F.col("node") == F.col("key")).drop("key")
     meeting = blocked(written(texts, "texts"))
     found = written(verified(meeting, orders, size, percent), "verified")
     linked = components(found.where("a <> b").select("a", "b"), "links")
     degree = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     nodes = sets.join(linked, "node", "left").join(degree, "node", "left")
     root = F.coalesce("root", "node")
-    nodes = nodes.select("node", "least", root.alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    best = nodes.groupBy("root").agg(F.min("least").alias("best"))
-    nodes = nodes.join(best, "root").select(F.col("node").alias("key"), "root", "best", "n_links")
+    nodes = nodes.select("node", "least", "copies", root.alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    nodes = written(nodes, "nodes")
+    total = own.count()
+    best = written(nodes.groupBy("root").agg(F.min("least").alias("best"), F.count("*").alias("size")), "best")
+    nodes = written(with_row(nodes, best, "root", "size", total).select(F.col("node").alias("key"), "root", "best", "n_links", "copies"), "found")
     empty = own.where("n_shingles = 0").select("key", F.col("key").alias("root"), "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    full = own.where("n_shingles > 0").join(nodes, "key").select("key", "root", "doc_id", "n_shingles", F.col("best").alias("component_id"), "n_links")
+    full = with_row(own.where("n_shingles > 0"), nodes, "key", "copies", total).select("key", "root", "doc_id", "n_shingles", F.col("best").alias("component_id"), "n_links")
     return full.union(empty)
 
 

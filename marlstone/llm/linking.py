@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 
 from marlstone.llm.common import written
 
-#: Members of a component that one side of a block holds.
+#: Members of a component, or of a run of equal keys, that one side of a block holds.
 BLOCK = 512
+#: A key of more than this share of all rows is hot: fewer than 1 / HOT keys, so that what is known of them can be broadcast.
+HOT = 1 / 1000
+#: Keys whose runs are dealt in blocks: fewer than this many, whatever the number of rows.
+LONG_RUNS = 1_000_000
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -42,7 +46,7 @@ def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b): the smallest node that it reaches.
 
     Large and small stars alternate until nothing changes. Minima are aggregated before they meet the links, so a hub is
-    combined on the map side, and the join on a hub can be split where it runs.
+    combined on the map side; what is known of hubs is broadcast to their links, so no task gathers those.
     """
     def ordered(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -54,11 +58,13 @@ def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     before = state(now)
     for i in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ordered(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # the ends of all links are twice as many as the links
+        large = ordered(with_row(both.where("v > u"), least, "u", "n", 2 * before[0]).select(F.col("v").alias("a"), F.col("m").alias("b")))
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        # a node has few smaller neighbours by now: one for each group that it joins
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
+        joined = down.join(least.hint("merge"), "u")
         now = written(ordered(joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))), f"{name}-{i}")
         after = state(now)
         if after == before:
@@ -69,6 +75,28 @@ def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
 
 
+def with_row(rows: DataFrame, unique: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """`rows` joined with the one row of `unique` for their key, of which `size` tells how many rows may have it; `total` bounds
+    the sum of the sizes. Rows of hot keys meet a broadcast of fewer than 1 / HOT rows where they are; the others shuffle."""
+    hot = F.col(size) > HOT * total
+    more = [c for c in unique.columns if c not in (key, size)]
+    met = rows.join(F.broadcast(unique.where(hot).select(key, *more, F.lit(True).alias("_hot"))), key, "left")
+    rest = met.where("_hot IS NULL").select(*rows.columns).join(unique.where(~hot).drop(size).hint("merge"), key)
+    return met.where("_hot").select(*rows.columns, *more).unionByName(rest.select(*rows.columns, *more))
+
+
+def dealt(rows: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
+    """`rows` with columns side, left and right: runs of a key of up to two blocks stay whole, longer ones are dealt by a hash
+    of the member into parts, of which every two meet. Which keys are long is counted first and broadcast: LONG_RUNS rows at most.
+    `rows` is read twice, so it should be written."""
+    longest = max(2 * block, rows.count() // LONG_RUNS)
+    long_ = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > longest)
+    parts = F.coalesce(F.ceil(F.col("_n") / F.lit(block)), F.lit(1)).cast("int")
+    own = F.when(parts > 1, F.pmod(F.xxhash64(member), parts)).otherwise(0).cast("int")
+    out = rows.join(F.broadcast(long_), key, "left").withColumn("side", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return out.select(*rows.columns, "side", F.least("side", "_other").alias("left"), F.greatest("side", "_other").alias("right"))
+
+
 def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """`members` (node, root, ...) once for each block that a member meets others in: columns left and right number the two
     parts of the component that meet there, and side is the part that the row is of.
