@@ -4,7 +4,21 @@ from __future__ import annotations
 
 import string
 
-from marlstone.llm.secrets import BASE, KINDS, MIXED, SCOPE, WEAK
+#: Kinds of secrets as the contract has them, then the weak ones: name, pattern, the group whose length counts, its least length.
+#: Written out here, so that the patterns of the operator are held against them (fixed values).
+BASE = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+)
+WEAK = (
+    ("ident", r"""(?i:username|user_name|user_id|login|client_?id|account_?id|access_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 1, 3),
+    ("secret", "[A-Za-z0-9+/_-]+", 0, 32),
+    ("endpoint", r"""(?i:https?|ftps?|postgres|postgresql|mysql|mongodb|redis|amqps?)://[^\x20\x09-\x0D"'<>]+""", 0, 10),
+)
+KINDS = ("assign", "access", "hex", "ident", "secret", "endpoint")
+MIXED = ("[0-9]", "[A-Z]", "[a-z]")
+SCOPE = 200
 
 _REACH = """reach AS (SELECT id, id AS c FROM nodes UNION SELECT e.y, reach.c FROM reach JOIN edges e ON reach.id = e.x),
     least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY 1), degree AS (SELECT x AS id, count(*) AS n_links FROM edges GROUP BY 1)"""
