@@ -154,7 +154,7 @@ def test_secrets_link_only_complements(spark, empty):
     assert [s.split(":")[0] for s in got[rows[0]].spans.split(",")] == ["ident", "secret", "endpoint"]
     assert got[rows[1]].spans == got[rows[2]].spans == got[rows[4]].spans == ""
     assert (got[rows[3]].n_assign, got[rows[3]].n_access, got[rows[3]].n_hex) == (1, 1, 0)
-    assert got[rows[5]].n_assign == 0 or rows[5][1].endswith("short")
+    assert got[rows[5]].n_assign == 0 and got[rows[5]].spans == ""
     clean = {r.doc_id: r.text for r in redact(df.where("doc_id IN (1, 2)")).collect()}
     assert strong not in clean[1] and clean[1].startswith("😀 [redacted]") and clean[2] == strong
     assert digest(scan(empty, ["doc_id"])).count() == 0 and redact(empty).columns == empty.columns
@@ -172,7 +172,7 @@ def test_jaccard_nulls_repeats_and_extra_columns(spark, docs, empty):
     assert got == sorted([(1, 58, 1, 3), (1, 58, 1, 3), (2, 58, 1, 3), (3, 58, 1, 3), (4, 0, 4, 0), (5, 0, 5, 0), (6, 1, 6, 2), (7, 1, 6, 2), (None, 1, 6, 2), (8, 18, 8, 0)], key=repr)
     kept = representatives(df, 3, 80)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 8]
-    assert join(empty).count() == 0 and least_agreeing(90)[64] == 40 or least_agreeing(90)[64] > 30
+    assert join(empty).count() == 0 and 30 < least_agreeing(90)[64] < 58
 
 
 def test_large_groups_meet_in_blocks(spark):
