@@ -1,21 +1,23 @@
 """Secret scans that link the parts of a credential, in DataFrame functions only.
 
 Every kind of part is matched by the JVM's regular expressions; the text between the matches of a kind (a split at them)
-gives their places as running sums. The parts of a text, weak ones among them, then meet in an interval join: ordered by
-place, each part looks up the nearest identifier, secret and endpoint on either side, which decides whether any lies within
-its scope of SCOPE code points, in one sort and without a row per pair. Assignments, access keys and hex strings are
-reported as they stand; weak candidates only with their complement in scope: a long mixed string beside an identifier or an
-endpoint, an identifier beside a secret, an endpoint beside both.
+gives their places as running sums. The parts of a text, weak ones among them, then meet in an interval join within their row:
+a sweep over them in order of place carries the nearest identifier, secret and endpoint on either side to each part, which
+decides whether any lies within its scope of SCOPE code points. So neither texts nor parts are shuffled, and no row per pair
+is made. Assignments, access keys and hex strings are reported as they stand; weak candidates only with their complement in
+scope: a long mixed string beside an identifier or an endpoint, an identifier beside a secret, an endpoint beside both.
 
 Defined results: null and empty texts have no spans; each row is scanned on its own, so repeated rows, repeated ids and null
-ids give a row each; an empty table gives no rows; other columns are never read unless they are asked for.
+ids give a row each; an empty table gives no rows; other columns are never read unless they are asked for. Very long texts are
+scanned whole, in time in proportion to their length and their number of parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import table
@@ -23,6 +25,8 @@ from marlstone.llm.common import table
 #: Code points that may lie between the parts of one credential.
 SCOPE = 200
 REDACTED = "[redacted]"
+#: Parts that a sweep adds to one array; an array grows by copies, so longer ones are made of several.
+SWEEP = 512
 
 
 def _any_case(words: str) -> str:
@@ -60,21 +64,32 @@ def _parts(number: int, least: int) -> Column:
     return F.transform(rows, lambda r, i: F.struct(F.lit(number).alias("kind"), i.alias("nth"), r["before"].alias("before"), r["own"].alias("own"), r["ok"].alias("ok")))
 
 
+def _sweep(items: Column, start: Column, told: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What `step` tells of each item of an array, of the type `told`: step(state, item) gives the next state and the telling."""
+    none = F.array().cast(f"array<{told}>")
+
+    def one(done: Column, item: Column) -> Column:
+        state, tell = step(done["state"], item)
+        return F.struct(state.alias("state"), F.array_append(done["out"], tell).alias("out"))
+
+    def some(done: Column, number: Column) -> Column:
+        own = F.aggregate(F.slice(items, number * SWEEP + 1, F.lit(SWEEP)), F.struct(done["state"].alias("state"), none.alias("out")), one)
+        joined = F.transform(F.array(own), lambda o: F.struct(o["state"].alias("state"), F.array_append(done["out"], o["out"]).alias("out")))
+        return F.get(joined, F.lit(0))  # so that the inner sweep runs once
+
+    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SWEEP).cast("int"))).otherwise(F.array().cast("array<int>"))
+    zero = F.struct(start.alias("state"), F.array().cast(f"array<array<{told}>>").alias("out"))
+    return F.aggregate(numbers, zero, some, lambda done: F.flatten(done["out"]))
+
+
 def scan(docs: DataFrame, keep: list[str], scope: int = SCOPE, linked: bool = True) -> DataFrame:
     """A row for each of `docs`: the struct `row` of the columns `keep`, and `spans`, an array of (start, kind, end) in
     order of place, with the kind's number in KINDS."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = (*BASE, *WEAK) if linked else BASE
-    # the number of a row only tells rows of one run apart; it follows from the place in the input
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_row"),
-        F.struct(*keep).alias("row"),
-        text.alias("_text"),
-        *(F.split(text, pattern, -1).alias(f"_between{i}") for i, (_, pattern, _, _) in enumerate(kinds)),
-    )
+    rows = docs.select(F.struct(*keep).alias("row"), text.alias("_text"), *(F.split(text, pattern, -1).alias(f"_between{i}") for i, (_, pattern, _, _) in enumerate(kinds)))
     none = F.array().cast("array<string>")
     rows = rows.select(
-        "_row",
         "row",
         *(f"_between{i}" for i in range(len(kinds))),
         *(  # one pass a kind for the many texts without a match
@@ -83,45 +98,54 @@ def scan(docs: DataFrame, keep: list[str], scope: int = SCOPE, linked: bool = Tr
             for name, own in (("whole", 0), ("valued", group))
         ),
     )
-    found = F.concat(*(_parts(i, least) for i, (_, _, _, least) in enumerate(kinds)))
-    rows = rows.select("_row", "row", found.alias("found"))
-    parts = rows.select("_row", "row", F.posexplode_outer("found").alias("_pos", "part"))
-    parts = parts.select(
-        "_row",
-        F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("row")).alias("row"),  # a text's own columns travel once
-        *(F.col(f"part.{c}").alias(c) for c in ("kind", "nth", "before", "own", "ok")),
-    ).repartition("_row")
-    in_kind = Window.partitionBy("_row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("before") + F.col("own")).over(in_kind)
-    parts = parts.select("_row", "row", "kind", "ok", (end - F.col("own")).alias("start"), end.alias("end"))
-    base = F.col("kind") < len(BASE)
-    if linked:
-        back = Window.partitionBy("_row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-        ahead = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-
-        def near(*names: str) -> Column:
-            own = F.col("ok") & F.col("kind").isin(*(KINDS.index(n) for n in names))
-            before = F.max(F.when(own, F.col("end"))).over(back)
-            after = F.min(F.when(own, F.col("start"))).over(ahead)
-            return F.coalesce(F.col("start") - before <= scope, F.lit(False)) | F.coalesce(after - F.col("end") <= scope, F.lit(False))
-
-        strong = F.col("ok") & base
-        covered = F.coalesce(F.max(F.when(strong, F.col("end"))).over(back) > F.col("start"), F.lit(False)) | F.coalesce(
-            F.min(F.when(strong, F.col("start"))).over(ahead) < F.col("end"), F.lit(False)
-        )
-        parts = parts.select(
-            "*", covered.alias("covered"), near("access", "ident").alias("near_id"), near("assign", "hex", "secret").alias("near_secret"), near("endpoint").alias("near_end")
-        )
+    rows = rows.select("row", F.concat(*(_parts(i, least) for i, (_, _, _, least) in enumerate(kinds))).alias("_found"))
+
+    def place(end: Column, part: Column) -> tuple[Column, Column]:
+        start = F.when(part["nth"] == 0, F.lit(0).cast("long")).otherwise(end) + part["before"]
+        return start + part["own"], F.struct(start.alias("start"), part["kind"].alias("kind"), (start + part["own"]).alias("end"), part["ok"].alias("ok"))
+
+    placed = _sweep(F.col("_found"), F.lit(0).cast("long"), "struct<start:bigint,kind:int,end:bigint,ok:boolean>", place)
+    rows = rows.select("row", F.array_sort(placed).alias("_parts"))
+    if not linked:
+        return rows.select("row", _spans(F.filter("_parts", lambda p: p["ok"])).alias("spans"))
+    # the nearest ends behind and starts ahead, of identifiers, secrets, endpoints and of what is reported as it stands
+    groups = {"ident": ("access", "ident"), "secret": ("assign", "hex", "secret"), "endpoint": ("endpoint",), "strong": KINDS[: len(BASE)]}
+    nearest = "struct<" + ",".join(f"{g}:bigint" for g in groups) + ">"
+    nothing = F.struct(*(F.lit(None).cast("long").alias(g) for g in groups))
+
+    def nearer(pick: Callable[..., Column], side: str) -> Callable[[Column, Column], tuple[Column, Column]]:
+        def step(state: Column, part: Column) -> tuple[Column, Column]:
+            own = {g: part["ok"] & part["kind"].isin(*(KINDS.index(n) for n in names)) for g, names in groups.items()}
+            return F.struct(*(pick(state[g], F.when(own[g], part[side])).alias(g) for g in groups)), state
+
+        return step
+
+    rows = rows.select(
+        "row",
+        "_parts",
+        _sweep(F.col("_parts"), nothing, nearest, nearer(F.greatest, "end")).alias("_behind"),
+        F.reverse(_sweep(F.reverse("_parts"), nothing, nearest, nearer(F.least, "start"))).alias("_ahead"),
+    )
+
+    def told(part: Column, i: Column) -> Column:
+        behind, ahead = F.get("_behind", i), F.get("_ahead", i)
+
+        def near(group: str) -> Column:
+            return F.coalesce(part["start"] - behind[group] <= scope, F.lit(False)) | F.coalesce(ahead[group] - part["end"] <= scope, F.lit(False))
+
+        covered = F.coalesce(behind["strong"] > part["start"], F.lit(False)) | F.coalesce(ahead["strong"] < part["end"], F.lit(False))
         link = (
-            F.when(F.col("kind") == KINDS.index("ident"), F.col("near_secret"))
-            .when(F.col("kind") == KINDS.index("secret"), (F.col("near_id") | F.col("near_end")) & ~F.col("covered"))
-            .when(F.col("kind") == KINDS.index("endpoint"), F.col("near_id") & F.col("near_secret"))
+            F.when(part["kind"] == KINDS.index("ident"), near("secret"))
+            .when(part["kind"] == KINDS.index("secret"), (near("ident") | near("endpoint")) & ~covered)
+            .when(part["kind"] == KINDS.index("endpoint"), near("ident") & near("secret"))
         )
-        told = F.col("ok") & (base | link)
-    else:
-        told = F.col("ok") & base
-    span = F.when(told, F.struct("start", F.col("kind").alias("kind"), "end"))
-    return parts.groupBy("_row").agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_list(span)).alias("spans")).drop("_row")
+        return part["ok"] & ((part["kind"] < len(BASE)) | F.coalesce(link, F.lit(False)))
+
+    return rows.select("row", _spans(F.filter("_parts", told)).alias("spans"))
+
+
+def _spans(parts: Column) -> Column:
+    return F.transform(parts, lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end")))
 
 
 def listed(spans: Column) -> Column:
