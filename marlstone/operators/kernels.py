@@ -273,8 +273,15 @@ def neighbour_information(x: np.ndarray, label: np.ndarray, k: int = 5) -> float
     every = np.sort(x[kept])
     if not len(every):
         return 0.0
-    r = np.nextafter(radius[kept], 0)
-    within = np.searchsorted(every, x[kept] + r, "right") - np.searchsorted(every, x[kept] - r, "left")
+    at, r, n = x[kept], radius[kept], len(every)
+    low, high = np.searchsorted(every, at - r, "left"), np.searchsorted(every, at + r, "right")
+    while True:  # ends at exactly that distance, or by rounding, are out
+        out = (low < n) & (every[np.minimum(low, n - 1)] < at) & (at - every[np.minimum(low, n - 1)] >= r)
+        off = (high > 0) & (every[high - 1] > at) & (every[high - 1] - at >= r)
+        if not out.any() and not off.any():
+            break
+        low, high = low + out, high - off
+    within = high - low
     value = digamma(np.array([len(every)]))[0] + digamma(own[kept]).mean() - digamma(sizes[kept]).mean() - digamma(np.maximum(within, 1)).mean()
     return max(0.0, float(value))
 
