@@ -338,21 +338,26 @@ def train(texts: list[bytes], labels: list[int], channel: Channel | None = None)
     ok = np.flatnonzero((evidence >= MIN_EVIDENCE) & (ratio >= MIN_RATIO) & (seen[:, 1] >= 5))
     ok = ok[np.argsort(-evidence[ok], kind="stable")][:MAX_FEATURES]
     scorer = Scorer(np.sort(keys[ok]), np.zeros(len(ok) + 1), 0.0, channel)
-    x = np.concatenate([scorer.counts(texts[i : i + 512]) for i in range(0, len(texts), 512)])
-    scorer.weights, scorer.bias = _logistic(x, y)
+    del merged, counts, keys, seen, where
+    x1 = np.ones((len(texts), len(ok) + 2))
+    for i in range(0, len(texts), 512):
+        x1[i : i + 512, :-1] = scorer.counts(texts[i : i + 512])
+    scorer.weights, scorer.bias = _logistic(x1, y)
     return scorer
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by damped Newton steps."""
-    x1 = np.column_stack([x, np.ones(len(x))])
+def _logistic(x1: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by damped Newton steps; the last column is all ones. Squares are summed 512 rows at a time."""
     w = np.zeros(x1.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-2:] = 1e-4
     value = np.inf
     for _ in range(steps):
         p = sigmoid(x1 @ w)
-        hessian = (x1 * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x1 + np.diag(penalty)
+        spread = np.maximum(p * (1 - p), 1e-6)[:, None]
+        hessian = np.diag(penalty)
+        for i in range(0, len(x1), 512):
+            hessian += (x1[i : i + 512] * spread[i : i + 512]).T @ x1[i : i + 512]
         move = np.linalg.solve(hessian, x1.T @ (p - y) + penalty * w)
         size = 1.0
         while size > 1e-3:
