@@ -173,8 +173,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
     ids = labels.where(~held_out() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_label"))
     ids = sampled(ids, rows)
     found = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
-    own = found.select("text", "_label").orderBy(F.xxhash64("text"), "text", "_label").limit(rows).collect()
-    return [r.text.encode() for r in own], [int(r._label) for r in own]
+    own = found.select("text", "_label").orderBy(F.xxhash64("text"), "text", "_label").limit(rows)
+    drawn = own.select(F.col("text").cast("binary").alias("text"), F.col("_label").cast("int").alias("_label")).toArrow()
+    return drawn["text"].to_pylist(), drawn["_label"].to_pylist()
 
 
 def score(docs: DataFrame, keep: list[str], machine: Machine | None, threshold: float = 0.5) -> DataFrame:
