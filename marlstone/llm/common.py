@@ -20,6 +20,15 @@ CHUNK_ROWS = 1024
 CACHE_WORDS = 400_000
 
 
+_KINDS = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "decimal": T.DecimalType(38, 0)}
+
+
+def fields(text: str) -> T.StructType:
+    """The schema of "name kind, ..."; a kind with [] behind it is an array. Needs no session."""
+    pairs = (f.split() for f in text.split(","))
+    return T.StructType([T.StructField(n, T.ArrayType(_KINDS[k[:-2]]) if k.endswith("[]") else _KINDS[k]) for n, k in pairs])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

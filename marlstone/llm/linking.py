@@ -75,10 +75,14 @@ def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())
 
 
-def with_row(rows: DataFrame, unique: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def with_row(rows: DataFrame, unique: DataFrame, key: str, size: str, total: int, keep: bool = False) -> DataFrame:
     """`rows` joined with the one row of `unique` for their key, of which `size` tells how many rows may have it; `total` bounds
-    the sum of the sizes. Rows of hot keys meet a broadcast of fewer than 1 / HOT rows where they are; the others shuffle."""
+    the sum of the sizes. Rows of hot keys meet a broadcast of fewer than 1 / HOT rows where they are; the others shuffle.
+    With `keep` the result has the column `size` as well."""
     hot = F.col(size) > HOT * total
+    if keep:
+        unique = unique.withColumn("_size", F.col(size))
+        return with_row(rows, unique, key, "_size", total)
     more = [c for c in unique.columns if c not in (key, size)]
     met = rows.join(F.broadcast(unique.where(hot).select(key, *more, F.lit(True).alias("_hot"))), key, "left")
     rest = met.where("_hot IS NULL").select(*rows.columns).join(unique.where(~hot).drop(size).hint("merge"), key)

@@ -65,5 +65,18 @@ def secrets(scope: int = SCOPE) -> str:
     FROM d LEFT JOIN q ON q.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def trie(family: int = 5, shared: int = 9) -> str:
+    crc = "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda k: ascii(k)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || range(8), lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))))"
+    return f"""WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, r, x) AS l FROM t GROUP BY c), h AS (SELECT c, l, {crc} % {shared} AS h FROM o),
+    b AS (SELECT h.c, list_concat(coalesce(o.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN o ON o.c = h.c - h.c % {family}),
+    m AS (SELECT c, len(l) = d AS over, d, l[1:d] AS p FROM (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM b)),
+    n AS (SELECT p, d, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (over), '')) AS ends FROM m GROUP BY p, d),
+    k AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM n WHERE d > 0 GROUP BY 1), v AS (SELECT n.*, coalesce(k, 0) AS k, CASE WHEN d > 0 THEN (n - 1) * strlen(n.p[d].x) ELSE 0 END AS s FROM n LEFT JOIN k USING (p)),
+    u AS (SELECT p[1:e] AS p, count(*) FILTER (k = 0) AS leaves, sum(s) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM v) GROUP BY 1)
+    SELECT v.c::BIGINT AS conv_id, v.d::BIGINT AS depth, a.c::BIGINT AS parent_conv_id, v.n::BIGINT AS n_convs, v.k::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+    FROM v JOIN u USING (p) LEFT JOIN v a ON v.d > 0 AND a.p = v.p[1:v.d - 1]"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_credential_linking": secrets(), "op6_multi_order_jaccard": jaccard(), "op7_rotated_codes": cosine()}
+    return {"op2_credential_linking": secrets(), "op6_multi_order_jaccard": jaccard(), "op7_rotated_codes": cosine(), "op12_prefix_trie": trie()}

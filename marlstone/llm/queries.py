@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import oracles
 from marlstone.llm.bpe import op9
+from marlstone.llm.cross_polytope import op13
 from marlstone.llm.embedding_links import op7
 from marlstone.llm.html_text import op10
 from marlstone.llm.jaccard_join import op6
 from marlstone.llm.language_crf import op1
 from marlstone.llm.packing import op4
+from marlstone.llm.prefix_trie import op12
 from marlstone.llm.quality_fm import op8
 from marlstone.llm.quality_rules import op3
 from marlstone.llm.secrets import op2
 from marlstone.llm.toxicity import op5
+from marlstone.llm.whitening import op11
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language": op1,
@@ -29,5 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_factorisation_machine": op8,
     "op9_duckdb_bpe": op9,
     "op10_tag_path_ratios": op10,
+    "op11_welford_whitening": op11,
+    "op12_prefix_trie": op12,
+    "op13_cross_polytope": op13,
 }
 ORACLES: dict[str, str] = oracles.sql()

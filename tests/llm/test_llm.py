@@ -135,7 +135,7 @@ def test_bpe_matches_the_library_and_round_trips(docs, empty):
     assert encode(empty, ["doc_id"], path, P.PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_credential_linking", "op6_multi_order_jaccard", "op7_rotated_codes"])
+@pytest.mark.parametrize("name", ["op2_credential_linking", "op6_multi_order_jaccard", "op7_rotated_codes", "op12_prefix_trie"])
 def test_query_matches_its_sql(spark, name):
     from marlstone.llm import queries
 
