@@ -164,8 +164,8 @@ def scorer(machine: Machine | None, threshold: float) -> Callable[[list[bytes |
     return step
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of a bounded sample outside the held-out fold.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> DataFrame:
+    """(text, _label) of a bounded sample outside the held-out fold, in one partition.
 
     The sample is drawn from the labels, in order of a hash of the id, so only `rows` ids meet the texts: a join whose
     broadcast side is bounded by that number. A row labelled twice counts twice.
@@ -173,7 +173,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, c
     ids = labels.where(~held_out() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("_label"))
     ids = sampled(ids, rows)
     found = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
-    own = found.select("text", "_label").orderBy(F.xxhash64("text"), "text", "_label").limit(rows).collect()
+    return found.select("text", "_label").orderBy(F.xxhash64("text"), "text", "_label").limit(rows)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int) -> tuple[list[bytes], list[int]]:
+    """The texts and labels of labelled_rows."""
+    own = labelled_rows(docs, labels, label, rows, chars).collect()
     return [r.text.encode() for r in own], [int(r._label) for r in own]
 
 

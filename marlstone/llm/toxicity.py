@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import CACHE_WORDS, bound_batches, chunks, held_out, map_texts, table, written
-from marlstone.llm.quality_fm import labelled_sample, sigmoid
+from marlstone.llm.common import CACHE_WORDS, bound_batches, chunks, fields, held_out, map_texts, table, written
+from marlstone.llm.quality_fm import labelled_rows, sigmoid
 from marlstone.llm.words import mix, words_of
 
 TRAIN_ROWS, TRAIN_CHARS = 6000, 40_000
@@ -429,8 +429,28 @@ def channel_of(docs: DataFrame) -> Channel:
     return Channel(dict(zip(summed["gram"].to_pylist(), summed["weight"].to_pylist())), known["key"].to_numpy())
 
 
+FITTED = fields("keys long[], weights double[], bias double")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
-    return train(*labelled_sample(docs, labels, "toxic", TRAIN_ROWS, TRAIN_CHARS), channel_of(docs))
+    """The scorer of the sample, which one task trains; the driver gets its weights, MAX_FEATURES at most."""
+    channel = channel_of(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(channel)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[bytes] = []
+        toxic: list[int] = []
+        for batch in batches:
+            texts += batch.column("text").cast(pa.binary()).to_pylist()
+            toxic += batch.column("_label").to_pylist()
+        own = train(texts, toxic, shared.value)
+        yield pa.RecordBatch.from_pydict({"keys": [own.keys.view(np.int64).tolist()], "weights": [own.weights.tolist()], "bias": [own.bias]})
+
+    rows = labelled_rows(docs, labels, "toxic", TRAIN_ROWS, TRAIN_CHARS).repartition(1)  # a bounded sample
+    found = rows.mapInArrow(learn, FITTED).first()
+    if found is None:  # an empty sample may have no task
+        return train([], [], channel)
+    return Scorer(np.array(found["keys"], np.int64).view(np.uint64), np.array(found["weights"], float), found["bias"], channel)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
