@@ -36,8 +36,12 @@ from marlstone.llm.words import _WHITE, hashes
 QUERY_PIECES, QUERY_BYTES, REMEMBERED = 60_000, 2 << 20, 700_000
 #: Bytes of units that a worker remembers.
 REMEMBERED_BYTES = 64 << 20
+#: The sum of the squares of their lengths: a step of the query keeps its sequence of each piece.
+QUERY_SQUARES = 24 << 20
 #: Pieces of more bytes are encoded in blocks of BLOCK_BYTES; tokens on either side of a seam that are encoded anew at first.
-LONG_BYTES, BLOCK_BYTES, SEAM = 512, 128, 4
+LONG_BYTES, BLOCK_BYTES, SEAM = 128, 64, 4
+#: Parts of more bytes go to the second query.
+MANY_BYTES = 512
 
 #: One row a piece and step; a piece without a pair of a rank drops out, so its last row is its result.
 ENCODE = """
@@ -131,7 +135,7 @@ class Codec:
         """The ids of each part; `whole`: a part that is itself a token is that token, else all start from their bytes."""
         ids = [[self.ranks[p]] if whole and p in self.ranks else self.of_byte[np.frombuffer(p, np.uint8)] for p in batch]
         self.db.register("seeds", pa.table({"piece": pa.array(range(len(batch)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
-        found = self.db.sql(ENCODE_LONG if max(map(len, batch)) > LONG_BYTES else ENCODE).to_arrow_table()
+        found = self.db.sql(ENCODE_LONG if max(map(len, batch)) > MANY_BYTES else ENCODE).to_arrow_table()
         self.db.unregister("seeds")
         out: list[list[int]] = [[]] * len(batch)
         for i, own in zip(found["piece"].to_pylist(), found["ids"].to_pylist()):
@@ -148,58 +152,61 @@ class Codec:
         return out
 
     def _batches(self, parts: Iterable[bytes]) -> Iterator[list[bytes]]:
-        batch, held = [], 0
+        batch, held, squares = [], 0, 0
         for p in parts:
             batch.append(p)
             held += len(p)
-            if len(batch) >= QUERY_PIECES or held >= QUERY_BYTES:
+            squares += len(p) ** 2 * (len(p) <= MANY_BYTES)  # of longer ones the query holds the last sequence alone
+            if len(batch) >= QUERY_PIECES or held >= QUERY_BYTES or squares >= QUERY_SQUARES:
                 yield batch
-                batch, held = [], 0
+                batch, held, squares = [], 0, 0
         if batch:
             yield batch
 
     def _parts(self, parts: Iterable[bytes], known: dict[bytes, list[int]]) -> None:
         """Add the ids of parts of pieces to those known; parts of like length share a query."""
         new = sorted({p for p in parts if p not in known}, key=len)
-        cut = next((i for i, p in enumerate(new) if len(p) > LONG_BYTES), len(new))
+        cut = next((i for i, p in enumerate(new) if len(p) > MANY_BYTES), len(new))
         for some in (new[:cut], new[cut:]):
             for batch in self._batches(some):
                 known.update(zip(batch, self._merged(batch, whole=False)))
 
-    def _long(self, piece: bytes) -> list[int]:
-        """The ids of a long piece: those of its blocks, mended at the seams."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
+    def _long(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of long pieces: those of their blocks, mended at the seams; the parts of all pieces share queries."""
         known: dict[bytes, list[int]] = {}
         stable: dict[tuple[int, int], bool] = {}
-        blocks = [piece[i : i + BLOCK_BYTES] for i in range(0, len(piece), BLOCK_BYTES)]
-        self._parts(blocks, known)
-        segments = [known[b] for b in blocks]
-        token, width = self.tokens.__getitem__, SEAM
-        while True:
-            new = {(a[-1], b[0]) for a, b in zip(segments, segments[1:])} - stable.keys()
-            self._parts((token(a) + token(b) for a, b in new), known)
-            stable |= {(a, b): known[token(a) + token(b)] == [a, b] for a, b in new}
-            open_ = [i for i, (a, b) in enumerate(zip(segments, segments[1:])) if not stable[a[-1], b[0]]]
-            if not open_:
-                return [i for own in segments for i in own]
-            seams, last = set(), -2
-            for i in open_:  # neighbouring seams take turns
-                if i > last + 1:
-                    seams.add(i)
-                    last = i
-            around = {i: b"".join(map(token, segments[i][-width:] + segments[i + 1][:width])) for i in seams}
-            self._parts(around.values(), known)
-            mended: list[list[int]] = []
-            for i, own in enumerate(segments):
-                if i - 1 in seams:
-                    own = own[width:]
-                if i in seams:
-                    mended += [own[:-width], known[around[i]]]
-                else:
-                    mended.append(own)
-            segments = [own for own in mended if own]
+        blocks = [[piece[i : i + BLOCK_BYTES] for i in range(0, len(piece), BLOCK_BYTES)] for piece in pieces]
+        self._parts((b for own in blocks for b in own), known)
+        segments = [[known[b] for b in own] for own in blocks]
+        out: list[list[int]] = [[]] * len(pieces)
+        token, width, left = self.tokens.__getitem__, SEAM, list(range(len(pieces)))
+        while left:
+            seams = {(a[-1], b[0]) for p in left for a, b in zip(segments[p], segments[p][1:])} - stable.keys()
+            self._parts((token(a) + token(b) for a, b in seams), known)
+            stable |= {(a, b): known[token(a) + token(b)] == [a, b] for a, b in seams}
+            around: dict[int, dict[int, bytes]] = {}
+            for p in left:
+                own, last = segments[p], -2
+                for i, (a, b) in enumerate(zip(own, own[1:])):
+                    if not stable[a[-1], b[0]] and i > last + 1:  # neighbouring seams take turns
+                        around.setdefault(p, {})[i] = b"".join(map(token, a[-width:] + b[:width]))
+                        last = i
+                if p not in around:
+                    out[p] = [i for part in own for i in part]
+            self._parts((part for own in around.values() for part in own.values()), known)
+            for p, own in around.items():
+                mended: list[list[int]] = []
+                for i, part in enumerate(segments[p]):
+                    if i - 1 in own:
+                        part = part[width:]
+                    if i in own:
+                        mended += [part[:-width], known[own[i]]]
+                    else:
+                        mended.append(part)
+                segments[p] = [part for part in mended if part]
+            left = list(around)
             width *= 2
+        return out
 
     def learn(self, pieces: Iterable[bytes]) -> None:
         """Encode the pieces that are new."""
@@ -207,10 +214,12 @@ class Codec:
         for batch in self._batches(p for p in new if len(p) <= LONG_BYTES):
             ids = self._merged(batch)
             self.pieces.update(zip(batch, zip(ids, self._decoded(ids))))
-        for p in new:
-            if len(p) > LONG_BYTES:
-                ids = self._long(p)
-                self.pieces[p] = ids, self._decoded([ids])[0]
+        for batch in self._batches(p for p in new if len(p) > LONG_BYTES):
+            whole = {p: [self.ranks[p]] for p in batch if p in self.ranks}
+            rest = [p for p in batch if p not in whole]
+            whole |= zip(rest, self._long(rest))
+            ids = [whole[p] for p in batch]
+            self.pieces.update(zip(batch, zip(ids, self._decoded(ids))))
 
     def rows(self, units: list[bytes]) -> list[int]:
         """Places of units, each some whole pieces, in the lists of sizes, decimal ids and decoded bytes."""

@@ -176,14 +176,29 @@ def test_both_encoding_queries_and_seams_agree(monkeypatch):
     rng = random.Random(4)
     pieces = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))).encode() for alphabet in ("ab", "abcdefghij", "etaoin", "aé漢-") for _ in range(150)]
     plain = own._merged(pieces, whole=False)
-    monkeypatch.setattr(bpe, "LONG_BYTES", 0)
+    monkeypatch.setattr(bpe, "MANY_BYTES", 0)
     assert own._merged(pieces, whole=False) == plain
+    monkeypatch.setattr(bpe, "MANY_BYTES", 16)
     monkeypatch.setattr(bpe, "LONG_BYTES", 16)
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 5)
     monkeypatch.setattr(bpe, "SEAM", 1)
-    for piece, ids in list(zip(pieces, plain))[::4]:
-        if piece not in own.ranks:
-            assert own._long(piece) == ids
+    assert own._long(pieces) == plain
+
+
+def test_many_pieces_of_middling_length():
+    """Their steps together stay within the memory of the database."""
+    import public_tokenizers as P
+    import tiktoken
+
+    from marlstone.llm import bpe
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    rng = random.Random(9)
+    parts = ("the", "entre", "tion", "ing", "und", "nicht", "q", "é")
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=480)) for _ in range(4300)), " ".join("".join(rng.choices(parts, k=rng.randint(80, 180))) for _ in range(8000))]
+    got = bpe.digester(path, P.PATTERN, True)([t.encode() for t in texts])
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.codec(path, P.PATTERN).ranks, special_tokens={})
+    assert [list(x) for x in got["ids"]] == [lib.encode_ordinary(t) for t in texts]
 
 
 def test_index_finds_what_enumeration_finds():
