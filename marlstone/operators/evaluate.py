@@ -51,11 +51,10 @@ def charged(bets: DataFrame, cost: float = COST) -> DataFrame:
 
 
 def equity(returns: DataFrame) -> DataFrame:
-    """Compounded value and drawdown at each event of a path."""
+    """Compounded value and drawdown, from the highest value so far, at each event of a path."""
     order = Window.partitionBy("model", "path_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     df = returns.withColumn("equity", F.product(1 + F.col("net")).over(order))
-    peak = F.greatest(F.max("equity").over(order), F.lit(1.0))
-    return df.withColumn("drawdown", F.col("equity") / peak - 1)
+    return df.withColumn("drawdown", F.col("equity") / F.max("equity").over(order) - 1)
 
 
 def under_water(curve: DataFrame) -> DataFrame:
@@ -67,26 +66,50 @@ def under_water(curve: DataFrame) -> DataFrame:
     return curve.select("model", "path_id").distinct().join(found, ["model", "path_id"], "left").fillna(0, ["time_under_water"])
 
 
+#: Spreads, downside and drawdowns below this count as none.
+NOTHING = 1e-10
+
+
 def performance(curve: DataFrame) -> DataFrame:
-    """Path metrics; Sharpe and Sortino ratios are annualised by the square root of YEAR."""
+    """Path metrics; Sharpe and Sortino ratios are annualised by the square root of YEAR.
+
+    Win rate, profit factor and mean bet are those of events with a bet. Without a spread the Sharpe ratio is 0; without a downside
+    the Sortino ratio, and without a drawdown the Calmar ratio, is infinite if there is a gain, else 0; without losses the
+    profit factor is infinite, without bets null, and the win rate and mean bet 0. Skewness needs three events, kurtosis four, else
+    they are 0, as they are without a spread. A path lasts whole days, one at least; one event has no annual return.
+    """
     net, traded = F.col("net"), F.col("bet") != 0
+    up, down = F.sum(F.when(traded & (net > 0), net)), F.sum(F.when(traded & (net < 0), net))
+    seconds = F.unix_seconds(F.max(F.col("ts").cast("timestamp"))) - F.unix_seconds(F.min(F.col("ts").cast("timestamp")))
     df = curve.groupBy("model", "path_id").agg(
         F.count("*").alias("n_events"),
-        (ratio(F.avg("net"), F.stddev_samp("net")) * sqrt(YEAR)).alias("sharpe"),
-        (ratio(F.avg("net"), F.sqrt(F.avg(F.when(net < 0, net * net)))) * sqrt(YEAR)).alias("sortino"),
+        F.avg("net").alias("_mean"),
+        F.coalesce(F.stddev_samp("net"), F.lit(NOTHING)).alias("_spread"),
+        F.sqrt(F.avg(F.when(net < 0, net * net))).alias("_down"),
         (F.product(1 + net) - 1).alias("cum_return"),
         F.min("drawdown").alias("max_drawdown"),
-        ratio(F.count_if(traded & (net > 0)).cast("double"), F.count_if(traded).cast("double")).alias("win_rate"),
-        ratio(F.sum(F.when(net > 0, net)), -F.sum(F.when(net < 0, net))).alias("profit_factor"),
+        F.coalesce(F.avg(F.when(traded, (net > 0).cast("double"))), F.lit(0.0)).alias("win_rate"),
+        F.coalesce(up, F.lit(0.0)).alias("_gain"),
+        F.coalesce(-down, F.lit(0.0)).alias("_loss"),
         F.count_if(traded).alias("n_trades"),
-        F.avg(F.abs("bet")).alias("avg_bet"),
-        F.skewness("net").alias("skew"),
-        F.kurtosis("net").alias("excess_kurtosis"),
-        (F.unix_seconds(F.max(F.col("ts").cast("timestamp"))) - F.unix_seconds(F.min(F.col("ts").cast("timestamp")))).alias("_s"),
+        F.coalesce(F.avg(F.when(traded, F.abs("bet"))), F.lit(0.0)).alias("avg_bet"),
+        F.skewness("net").alias("_skew"),
+        F.kurtosis("net").alias("_kurtosis"),
+        F.floor(seconds / 86400).alias("_days"),
     )
-    years = F.col("_s") / 86400 / 365.25
-    df = df.withColumn("ann_return", F.when((years > 0) & (F.col("cum_return") > -1), F.pow(1 + F.col("cum_return"), 1 / years) - 1))
-    return df.withColumn("calmar", ratio(F.col("ann_return"), F.abs("max_drawdown"))).drop("_s")
+    endless, zero = F.lit(float("inf")), F.lit(0.0)
+    shape = lambda c, least: F.when(F.col("n_events") > least, F.nanvl(F.coalesce(c, zero), zero)).otherwise(zero)
+    years = F.greatest(F.col("_days") / 365.25, F.lit(1 / 365.25))
+    df = df.withColumn("ann_return", F.when(F.col("n_events") > 1, F.pow(1 + F.col("cum_return"), 1 / years) - 1).otherwise(zero))
+    return df.withColumns({
+        "sharpe": F.when(F.col("_spread") < NOTHING, zero).otherwise(F.col("_mean") / F.col("_spread") * sqrt(YEAR)),
+        "sortino": F.when(F.coalesce("_down", zero) < NOTHING, F.when(F.col("_mean") > 0, endless).otherwise(zero)).otherwise(F.col("_mean") / F.col("_down") * sqrt(YEAR)),
+        "calmar": F.when(F.abs("max_drawdown") < NOTHING, F.when(F.col("ann_return") > 0, endless).otherwise(zero)).otherwise(F.col("ann_return") / F.abs("max_drawdown")),
+        "profit_factor": F.when(F.col("n_trades") > 0, F.when(F.col("_loss") == 0, endless).otherwise(F.col("_gain") / F.col("_loss"))),
+        "skew": shape(F.col("_skew"), 2),
+        "excess_kurtosis": shape(F.col("_kurtosis"), 3),
+        "years": F.when(F.col("n_events") > 1, years).otherwise(zero),
+    }).drop("_mean", "_spread", "_down", "_gain", "_loss", "_skew", "_kurtosis", "_days")
 
 
 def buy_and_hold(stitched: DataFrame, cost: float = COST) -> DataFrame:
@@ -252,7 +275,9 @@ def shuffled(number: Column, seed: int = 42) -> Column:
 def empty_performance(perf: DataFrame, wanted: DataFrame) -> DataFrame:
     """`perf` with a row for every (model, path_id) that is wanted: paths without events count zero, their profit factor is null."""
     zero = [c for c in perf.columns if c not in ("model", "path_id", "profit_factor")]
-    return wanted.select("model", "path_id").join(perf, ["model", "path_id"], "left").fillna(0, zero)
+    found = perf.withColumn("_met", F.lit(True))
+    df = wanted.select("model", "path_id").join(found, ["model", "path_id"], "left")
+    return df.withColumns({c: F.when(F.col("_met"), F.col(c)).otherwise(F.lit(0).cast(perf.schema[c].dataType)) for c in zero}).drop("_met")
 
 
 def feature_stability(selected: DataFrame, stable: float = 0.8) -> DataFrame:

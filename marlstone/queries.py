@@ -428,11 +428,17 @@ PREDS = f"""{DAILY_LABELS}, {SPLITS}, {PATHS}, preds AS (SELECT 'm' || m AS mode
 _CUT = [repr(x) for x in evaluate.CUTS]
 BETS = f"""z AS (SELECT *, (p_up - 0.5) / sqrt(p_up * (1 - p_up) + 1e-10) AS z FROM stitched), bt AS (SELECT *, CASE WHEN abs(z) > {_CUT[2]} THEN 0.75 WHEN abs(z) > {_CUT[1]} THEN 0.5 WHEN abs(z) > {_CUT[0]} THEN 0.25 ELSE 0.0 END::DOUBLE * sign(z) + 0.0 AS bet FROM z),
     net AS (SELECT model, path_id, ts, bet, bet * ret AS gross, 0.001 * abs(bet - lag(bet, 1, 0.0) OVER (PARTITION BY model, path_id ORDER BY ts)) AS cost FROM bt), nt AS (SELECT *, gross - cost AS net FROM net)"""
-CURVE = f"{BETS}, eq AS (SELECT *, product(1 + net) OVER w AS equity FROM nt WINDOW w AS (PARTITION BY model, path_id ORDER BY ts)), cu AS (SELECT *, equity / greatest(max(equity) OVER (PARTITION BY model, path_id ORDER BY ts), 1.0) - 1 AS drawdown FROM eq)"
-PERF = f"""{CURVE}, pf AS (SELECT model, path_id, count(*) AS n_events, avg(net) / nullif(stddev_samp(net), 0) * sqrt(365) AS sharpe, avg(net) / nullif(sqrt(avg(net * net) FILTER (net < 0)), 0) * sqrt(365) AS sortino,
-    product(1 + net) - 1 AS cum_return, min(drawdown) AS max_drawdown, count(*) FILTER (bet <> 0 AND net > 0) / nullif(count(*) FILTER (bet <> 0), 0)::DOUBLE AS win_rate, sum(net) FILTER (net > 0) / nullif(-sum(net) FILTER (net < 0), 0) AS profit_factor,
-    count(*) FILTER (bet <> 0) AS n_trades, avg(abs(bet)) AS avg_bet, (avg(pow(net, 3)) - 3 * avg(net) * avg(net * net) + 2 * pow(avg(net), 3)) / pow(stddev_pop(net), 3) AS skew, kurtosis_pop(net) AS excess_kurtosis,
-    CASE WHEN max(ts) > min(ts) AND product(1 + net) - 1 > -1 THEN pow(product(1 + net), 365.25 / (max(ts) - min(ts))) - 1 END AS ann_return, ann_return / nullif(abs(min(drawdown)), 0) AS calmar FROM cu GROUP BY 1, 2)"""
+CURVE = f"{BETS}, eq AS (SELECT *, product(1 + net) OVER w AS equity FROM nt WINDOW w AS (PARTITION BY model, path_id ORDER BY ts)), cu AS (SELECT *, (equity - max(equity) OVER w) / max(equity) OVER w AS drawdown FROM eq WINDOW w AS (PARTITION BY model, path_id ORDER BY ts ROWS UNBOUNDED PRECEDING))"
+# Path metrics from their definitions: lists of a path's returns and bets in order of time.
+PERF = f"""{CURVE}, pl AS (SELECT model, path_id, list(net ORDER BY ts) AS r, list(net ORDER BY ts) FILTER (bet <> 0) AS tr, list(abs(bet)) FILTER (bet <> 0) AS tb, min(drawdown) AS max_drawdown, min(ts) AS t0, max(ts) AS t1 FROM cu GROUP BY 1, 2),
+    pm1 AS (SELECT *, len(r) AS n_events, coalesce(len(tr), 0) AS n_trades, list_avg(r) AS m, list_avg(list_transform(r, lambda x: pow(x - list_avg(r), 2))) AS v2, list_filter(r, lambda x: x < 0) AS dn, list_product(list_transform(r, lambda x: 1 + x)) - 1 AS cum_return,
+    list_sum(list_filter(tr, lambda x: x > 0)) AS pos, list_sum(list_filter(tr, lambda x: x < 0)) AS neg, greatest(date_diff('day', t0::TIMESTAMP, t1::TIMESTAMP) / 365.25, 1 / 365.25) AS years FROM pl),
+    pm2 AS (SELECT *, CASE WHEN n_events > 1 THEN sqrt(v2 * n_events / (n_events - 1)) ELSE 1e-10::DOUBLE END AS sd, sqrt(list_avg(list_transform(dn, lambda x: x * x))) AS rms, CASE WHEN n_events > 1 THEN pow(1 + cum_return, 1 / years) - 1 ELSE 0.0 END AS ann_return FROM pm1),
+    pf AS (SELECT model, path_id, n_events, n_trades, CASE WHEN sd < 1e-10 THEN 0.0 ELSE m / sd * sqrt(365) END AS sharpe, CASE WHEN len(dn) = 0 OR rms < 1e-10 THEN CASE WHEN m > 0 THEN 'inf'::DOUBLE ELSE 0.0 END ELSE m / rms * sqrt(365) END AS sortino, cum_return, max_drawdown,
+    CASE WHEN n_trades > 0 THEN len(list_filter(tr, lambda x: x > 0)) / n_trades::DOUBLE ELSE 0.0 END AS win_rate, CASE WHEN n_trades > 0 THEN CASE WHEN coalesce(neg, 0) = 0 THEN 'inf'::DOUBLE ELSE coalesce(pos, 0) / abs(neg) END END AS profit_factor,
+    CASE WHEN n_trades > 0 THEN list_avg(tb) ELSE 0.0 END AS avg_bet, CASE WHEN n_events > 2 AND v2 > 0 THEN list_avg(list_transform(r, lambda x: pow(x - m, 3))) / pow(v2, 1.5) ELSE 0.0 END AS skew,
+    CASE WHEN n_events > 3 AND v2 > 0 THEN list_avg(list_transform(r, lambda x: pow(x - m, 4))) / pow(v2, 2) - 3 ELSE 0.0 END AS excess_kurtosis, ann_return, CASE WHEN abs(max_drawdown) < 1e-10 THEN CASE WHEN ann_return > 0 THEN 'inf'::DOUBLE ELSE 0.0 END ELSE ann_return / abs(max_drawdown) END AS calmar,
+    CASE WHEN n_events > 1 THEN years ELSE 0.0 END AS years FROM pm2)"""
 
 
 def _preds(spark, d):
@@ -471,7 +477,7 @@ def time_under_water(spark, d):
     return evaluate.under_water(_curve(spark, d))
 
 
-_PERF = ("sharpe", "sortino", "cum_return", "max_drawdown", "win_rate", "profit_factor", "avg_bet", "skew", "excess_kurtosis", "ann_return", "calmar")
+_PERF = ("sharpe", "sortino", "cum_return", "max_drawdown", "win_rate", "profit_factor", "avg_bet", "skew", "excess_kurtosis", "ann_return", "calmar", "years")
 _PERF_DIGITS = {"ann_return": 4, "calmar": 4, "excess_kurtosis": 4}
 _PERF_SQL = ", ".join(f"round({x}, {_PERF_DIGITS.get(x, 6)}) AS {x}" for x in _PERF)
 

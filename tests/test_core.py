@@ -135,3 +135,29 @@ def test_cache_keeps_what_it_has(spark, tmp_path):
     source.cached(build, path, spark, ["x"], day(0), day(9))
     assert asked[-1] == ["x"]
     assert source.unexpected(rows, ["close", "y"]) == {"missing": ["y"], "extra": ["open", "high", "low", "volume", "x"]}
+
+
+def test_path_metrics_of_odd_paths(spark):
+    """No bets, no losses, a cost on closing, a first loss, one event: values computed by hand."""
+    from math import inf, sqrt
+
+    paths = {
+        0: [(0.0, 0.0), (0.0, 0.0), (0.0, 0.0)],
+        1: [(0.5, 0.01), (0.5, 0.03)],
+        2: [(0.5, 0.02), (0.0, -0.0005), (0.25, -0.01)],
+        3: [(0.5, -0.1), (0.5, 0.05), (0.5, 0.01)],
+        4: [(0.75, 0.02)],
+    }
+    rows = [("m", p, datetime.date(2020, 1, 1) + datetime.timedelta(days=i), bet, net) for p, own in paths.items() for i, (bet, net) in enumerate(own)]
+    curve = evaluate.equity(spark.createDataFrame(rows, "model string, path_id int, ts date, bet double, net double"))
+    got = {r.path_id: r for r in evaluate.performance(curve).collect()}
+    no, up, closed, first, one = (got[i] for i in range(5))
+    assert (no.sharpe, no.sortino, no.calmar, no.profit_factor, no.win_rate, no.avg_bet, no.n_trades, no.skew, no.max_drawdown) == (0, 0, 0, None, 0, 0, 0, 0, 0)
+    assert (up.sortino, up.calmar, up.profit_factor, up.win_rate, up.skew) == (inf, inf, inf, 1, 0) and up.sharpe == pytest.approx(0.02 / (0.01 * sqrt(2)) * sqrt(365))
+    assert closed.profit_factor == pytest.approx(0.02 / 0.01) and closed.avg_bet == pytest.approx(0.375) and closed.win_rate == 0.5 and closed.n_trades == 2
+    assert first.max_drawdown == 0 and first.calmar == 0 and first.ann_return < 0 and first.years == pytest.approx(2 / 365.25)
+    assert one.sharpe == pytest.approx(0.02 / 1e-10 * sqrt(365)) and one.ann_return == 0 and one.years == 0 and one.excess_kurtosis == 0
+    wanted = spark.createDataFrame([("m", 3), ("m", 9)], "model string, path_id int")
+    filled = {r.path_id: r for r in evaluate.empty_performance(evaluate.performance(curve), wanted).collect()}
+    assert filled[3] == first or filled[3].sharpe == first.sharpe
+    assert filled[9].sharpe == 0 and filled[9].n_trades == 0 and filled[9].profit_factor is None
