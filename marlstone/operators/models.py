@@ -6,14 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.store import stored
-from marlstone.operators import glm
+from marlstone.operators import boosting, glm
 
 
 def robust_scale(df: DataFrame, columns: list[str], fit_on: Column | None = None, by: list[str] | None = None) -> DataFrame:
@@ -54,16 +54,12 @@ def _forest(trees: int = 500, depth: int = 10, leaf: int = 5, seed: int = 42):
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
 
 
-def _boosted(trees: int = 300, depth: int = 3, rate: float = 0.05, seed: int = 42):
-    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed)
-
-
 #: Optional back ends of the reference without a counterpart here (sequence and spline networks) are the additive spline below.
 REGISTRY = {
     "ar_logistic": Spec("ar_logistic", _logistic, columns=lambda names: [n for n in names if "lag" in n]),
     "logistic": Spec("logistic", _logistic, grid=({"c": 0.1}, {"c": 1.0}, {"c": 1.0, "l1": 1.0})),
     "random_forest": Spec("random_forest", _forest, grid=({"depth": 5}, {"depth": 10})),
-    "boosted": Spec("boosted", _boosted, grid=({"depth": 2}, {"depth": 3})),
+    "boosted": Spec("boosted", boosting.Boost, grid=({"depth": 2}, {"depth": 3})),
     "spline": Spec("spline", _logistic, defaults={"c": 0.5}),
 }
 
@@ -88,7 +84,7 @@ def splines(df: DataFrame, columns: list[str], knots: tuple[float, ...] = (-1.0,
 
 
 def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], name: str = "logistic", label: str = "y", weight: str | None = "w", **params) -> DataFrame:
-    """`test` with raw (the margin) and p_up by a model of `train`; rows with missing inputs do not train."""
+    """`test` with raw (the margin) and p_up by one of MLlib's models of `train`; rows with missing inputs do not train."""
     own = REGISTRY[name].columns(columns)
     if name == "spline":
         (train, own), (test, _) = splines(train, columns), splines(test, columns)
@@ -102,38 +98,6 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], name: str
     return scored.withColumn("p_up", p).withColumn("raw", raw).select(*test.columns, "raw", "p_up")
 
 
-def log_loss(scored: DataFrame, label: str = "y") -> float:
-    p = F.greatest(F.least("p_up", F.lit(1 - 1e-15)), F.lit(1e-15))
-    return scored.agg(F.avg(-(F.col(label) * F.log(p) + (1 - F.col(label)) * F.log(1 - p)))).first()[0]
-
-
-def tune(folds: DataFrame, columns: list[str], name: str, label: str = "y") -> list[tuple[dict, float]]:
-    """The grid of a model with mean log loss over purged folds (column fold), best first."""
-    numbers = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]  # a few folds
-    out = []
-    for params in REGISTRY[name].grid or ({},):
-        losses = [log_loss(fit_predict(folds.where(F.col("fold") != k), folds.where(F.col("fold") == k), columns, name, label, **params), label) for k in numbers]
-        out.append((params, float(np.mean(losses))))
-    return sorted(out, key=lambda x: x[1])
-
-
-def permuted(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
-    """`df` with a column's values dealt to other rows, by the order of a hash."""
-    key = F.xxhash64("event_pos", F.lit(column), F.lit(seed))
-    one = Window.partitionBy(F.lit(1))  # a fold's rows
-    a = df.withColumn("_k", F.row_number().over(one.orderBy("event_pos")))
-    b = df.select(F.col(column).alias("_v"), F.row_number().over(one.orderBy(key)).alias("_k"))
-    return a.join(b, "_k").withColumn(column, F.col("_v")).drop("_k", "_v")
-
-
-def permutation_importance(train: DataFrame, test: DataFrame, columns: list[str], name: str = "logistic") -> list[tuple[str, float]]:
-    """Rise of the log loss when a feature's values are dealt anew, z-scored over features, largest first; any model, one fold."""
-    base = log_loss(fit_predict(train, test, columns, name))
-    rises = np.array([log_loss(fit_predict(train, permuted(test, c), columns, name)) - base for c in columns])
-    scaled = (rises - rises.mean()) / (rises.std() or 1.0)
-    return sorted(zip(columns, map(float, scaled)), key=lambda x: (-x[1], x[0]))
-
-
 def macro_f1(scored: DataFrame, by: list[str], hit, label: str = "y", weight: str = "w") -> DataFrame:
     """Weighted macro F1 of a predicted class by group."""
     y, w = F.col(label), F.col(weight)
@@ -189,13 +153,6 @@ def chosen_features(scores: DataFrame, share: float = 0.2, least: int = 5) -> Da
     return df.where(kept).groupBy("split_id").agg(F.array_sort(F.collect_list("feature")).alias("selected"))
 
 
-def select_features(importance: list[tuple[str, float]], share: float = 0.2, least: int = 5) -> list[str]:
-    """The same of one list of (feature, importance), best first."""
-    most = max(int(len(importance) * share), least)
-    good = [c for c, v in importance if v > 0]
-    return sorted(good[:most] if len(good) >= least else [c for c, _ in importance[:least]])
-
-
 def calibrate(scored: DataFrame, by: str, method: str = "platt", label: str = "y", value: str = "raw", steps: int = 60) -> dict[str, tuple[float, float]]:
     """(slope, intercept) of the calibration curve of each group of margins: `platt`, free; `temperature`, a positive divisor
     within 0.05 and 20 and no shift; `vector`, a divisor in those bounds and a shift within -5 and 5 before it."""

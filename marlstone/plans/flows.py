@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.store import stored
-from marlstone.operators import cv, evaluate, features, glm, kernels, labeling, models
+from marlstone.operators import boosting, cv, evaluate, features, glm, kernels, labeling, models
 from marlstone.sources import bars as source
 
 
@@ -80,8 +80,9 @@ def folds(aligned: DataFrame, found: DataFrame, columns: list[str], fit_share: f
 
 def run(spark: SparkSession, ready: DataFrame, columns: list[str], name: str = "logistic", seeds: int = 1, selected: DataFrame | None = None, threads: int = 8, **params) -> DataFrame:
     """Calibrated test predictions (model, split_id, seed, group_id, ts, y_true, p_up, ret) of one model over all splits of
-    folds(). Logistic kinds fit all splits together; others, fitted by MLlib, several splits at a time. `selected` (split_id,
-    selected) says which columns each split's model gets; logistic kinds see zeros for the others."""
+    folds(). Logistic kinds and boosting fit all splits together; forests, fitted by MLlib, several splits at a time. `selected` (split_id,
+    selected) says which columns each split's model gets; logistic kinds see zeros for the others. Boosting stops by the events
+    of `stop`; other models train on them too."""
     names = models.REGISTRY[name].columns(columns)
     if name == "spline":
         ready, names = models.splines(ready, columns)
@@ -90,11 +91,17 @@ def run(spark: SparkSession, ready: DataFrame, columns: list[str], name: str = "
         if selected is not None and name != "ar_logistic":
             ready = ready.join(F.broadcast(selected), "split_id")  # a row a split
             x = F.array(*(F.when(F.array_contains("selected", n.split("__")[0]), F.col(n)).otherwise(0.0) for n in names))
-        counts = ready.where("part = 'fit'").groupBy("split_id").agg(F.count("*").alias("_t"), F.count_if(F.col("y") == 1).alias("_o"))
+        counts = ready.where("part IN ('fit', 'stop')").groupBy("split_id").agg(F.count("*").alias("_t"), F.count_if(F.col("y") == 1).alias("_o"))
         balance = F.col("_t") / (2 * F.when(F.col("y") == 1, F.col("_o")).otherwise(F.col("_t") - F.col("_o")))
         rows = stored(ready.withColumn("x", x).join(F.broadcast(counts), "split_id").select("split_id", "part", "group_id", "ts", "y", "x", "ret", (F.col("w") * balance).alias("weight")))
-        beta = glm.fit(rows.where("part = 'fit'"), "split_id", "x", "y", "weight", params.get("c", models.REGISTRY[name].defaults.get("c", 1.0)))
+        beta = glm.fit(rows.where("part IN ('fit', 'stop')"), "split_id", "x", "y", "weight", params.get("c", models.REGISTRY[name].defaults.get("c", 1.0)))
         scored = [glm.margin(rows.where("part IN ('calibrate', 'test')"), "split_id", "x", beta).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))]  # no chance is in the fit
+    elif name == "boosted":
+        p = boosting.Boost(**models.REGISTRY[name].defaults | params)
+        rows = stored(ready)
+        rows = boosting.binned(rows, names, boosting.quantiles(rows, names, p.bins), seeds)
+        allowed = {r.split_id: [names.index(x) for x in r.selected if x in names] for r in selected.collect()} if selected is not None else None  # a row a split
+        scored = [boosting.predict(rows, boosting.fit(rows, seeds, p, allowed), p.depth)]
     else:
         rows = stored(ready)
         own = {r.split_id: r.selected for r in selected.collect()} if selected is not None else {}  # a row a split
@@ -103,7 +110,7 @@ def run(spark: SparkSession, ready: DataFrame, columns: list[str], name: str = "
         def one(task: tuple[int, int]) -> DataFrame:
             split, seed = task
             part = rows.where(F.col("split_id") == split)
-            return models.fit_predict(part.where("part = 'fit'"), part.where("part IN ('calibrate', 'test')"), own.get(split, columns), name, seed=42 + seed, **params).withColumn("seed", F.lit(seed)).select("split_id", "seed", "part", "group_id", "ts", "y", "ret", "raw")
+            return models.fit_predict(part.where("part IN ('fit', 'stop')"), part.where("part IN ('calibrate', 'test')"), own.get(split, columns), name, seed=42 + seed, **params).withColumn("seed", F.lit(seed)).select("split_id", "seed", "part", "group_id", "ts", "y", "ret", "raw")
 
         with ThreadPoolExecutor(threads) as pool:
             scored = list(pool.map(one, tasks))
