@@ -219,7 +219,8 @@ def _level(rows: DataFrame, since: dict[Key, list[Tree]], growing: dict[Key, Tre
         best = [list(map(float, c)) for c in best_cuts(found, inputs, p)]
         return pd.DataFrame({"split_id": [split], "seed": [seed], "cuts": [best], "loss": [f["loss"].sum()], "weight": [f["weight"].sum()]})
 
-    return rows.mapInPandas(parts, PARTS).groupBy("split_id", "seed").applyInPandas(cuts, CUTS).collect()
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.mapInPandas(parts, PARTS).repartition(tasks, "split_id", "seed").groupBy("split_id", "seed").applyInPandas(cuts, CUTS).collect()
 
 
 def fit(rows: DataFrame, seeds: int = 1, p: Boost = Boost(), allowed: dict[int, list[int]] | None = None) -> dict[Key, list[Tree]]:
