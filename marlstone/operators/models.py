@@ -226,9 +226,10 @@ def formula(edges: DataFrame, prune: float = 0.01) -> str:
     return " + ".join(terms) or "0.0"
 
 
-def prepared(df: DataFrame, columns: list[str], order: str = "event_pos", share: float = 0.8) -> DataFrame:
-    """`df` with inputs (x - median) / IQR squashed by tanh, medians of the first `share` of rows in order, and part: train or test."""
-    place = F.percent_rank().over(Window.partitionBy(F.lit(1)).orderBy(order))  # a fold's rows
+def prepared(df: DataFrame, columns: list[str], order: str = "ts", share: float = 0.8, by: str = "symbol") -> DataFrame:
+    """`df` with inputs (x - median) / IQR squashed by tanh, medians of the first `share` of each series' rows in order, and part:
+    train or test."""
+    place = F.percent_rank().over(Window.partitionBy(by).orderBy(order))
     parted = df.withColumn("part", F.when(place < share, "train").otherwise("test"))
     scaled = robust_scale(parted, columns, F.col("part") == "train")
     return scaled.withColumns({c: F.tanh(c) for c in columns})

@@ -132,7 +132,8 @@ def tuned_penalty(spark, d):
 
 
 def _symbolic(spark, d):
-    df = _feats(spark, d).dropna().where("symbol = '1-URGENT'").withColumn("y", F.lead("log_returns").over(features.Window.partitionBy("symbol").orderBy("ts"))).dropna()
+    """All series: inputs of a day and the return of the next."""
+    df = _feats(spark, d).dropna().withColumn("y", F.lead("log_returns").over(features.Window.partitionBy("symbol").orderBy("ts"))).dropna()
     return stored(models.prepared(df, FEATS, "ts"))
 
 
