@@ -229,3 +229,12 @@ def stream_cusum(spark, d):
     _vols(spark, d).where("ret IS NOT NULL").select("symbol", F.col("ts").cast("timestamp").alias("ts"), "ret").write.parquet(path)
     returns = spark.readStream.schema("symbol string, ts timestamp, ret double").parquet(path)
     return streams.finished(streams.cusum(returns, 0.4))
+
+
+@query(f"{EVENTS.replace('avg(vol) AS h FROM v', '0.4::DOUBLE AS h FROM v')} SELECT symbol, CAST(ts AS TIMESTAMP) AS ts, side FROM e WHERE ts <= (SELECT max(ts) FROM v WHERE ret IS NOT NULL) - INTERVAL 10 DAY")
+def stream_cusum_late(spark, d):
+    """Events of the stream of returns whose rows may come up to ten days late; the last ten days wait for newer rows."""
+    path = folder(spark)
+    _vols(spark, d).where("ret IS NOT NULL").select("symbol", F.col("ts").cast("timestamp").alias("ts"), "ret").write.parquet(path)
+    returns = spark.readStream.schema("symbol string, ts timestamp, ret double").parquet(path)
+    return streams.finished(streams.cusum(returns, 0.4, late="10 days"))

@@ -13,6 +13,7 @@ from marlstone.functions.store import folder
 
 EVENTS = "symbol string, ts timestamp, side int"
 STATE = "up double, down double"
+WAITING = STATE + ", times array<long>, values array<double>"
 
 
 def hourly_bars(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -26,26 +27,59 @@ def hourly_bars(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
-def cusum(returns: DataFrame, threshold: float) -> DataFrame:
-    """Events of a stream of (symbol, ts, ret), two sums of state a symbol; a batch's rows are taken in order of time."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        up, down = state.get if state.exists else (0.0, 0.0)
-        out = []
-        rows = pd.concat(list(frames)).sort_values("ts")
-        for ts, r in zip(rows["ts"], rows["ret"]):
-            up, down = max(0.0, up + r), min(0.0, down + r)
-            if up >= threshold:
-                out.append((key[0], ts, 1))
-                up = 0.0
-            elif down <= -threshold:
-                out.append((key[0], ts, -1))
-                down = 0.0
-        state.update((up, down))
+def _filtered(symbol: str, rows: list[tuple], sums: tuple[float, float], threshold: float) -> tuple[list[tuple], tuple[float, float]]:
+    """Events of rows in order of time, and the sums after them."""
+    up, down = sums
+    out = []
+    for ts, r in rows:
+        up, down = max(0.0, up + r), min(0.0, down + r)
+        if up >= threshold:
+            out.append((symbol, ts, 1))
+            up = 0.0
+        elif down <= -threshold:
+            out.append((symbol, ts, -1))
+            down = 0.0
+    return out, (up, down)
+
+
+def cusum(returns: DataFrame, threshold: float, late: str | None = None) -> DataFrame:
+    """Events of a stream of (symbol, ts, ret), two sums of state a symbol.
+
+    Without `late` a batch's rows are taken in order of time, so batches must follow each other in time. With it, rows wait in the
+    state until the watermark, that much behind the newest row of all symbols, has passed them, and are taken in order then: rows
+    that are no later than `late` give the same events however they are cut into batches, and later ones are dropped. A row
+    of no return is dropped; the newest rows wait for newer ones.
+    """
+    if late is None:
+
+        def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            rows = pd.concat(list(frames)).sort_values("ts")
+            out, sums = _filtered(key[0], list(zip(rows["ts"], rows["ret"])), state.get if state.exists else (0.0, 0.0), threshold)
+            state.update(sums)
+            if out:
+                yield pd.DataFrame(out, columns=["symbol", "ts", "side"])
+
+        return returns.groupBy("symbol").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def ordered(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        up, down, times, values = state.get if state.exists else (0.0, 0.0, [], [])
+        rows = list(zip(times, values))
+        if not state.hasTimedOut:
+            for f in frames:
+                rows += zip(f["us"].tolist(), f["ret"].tolist())
+        rows.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = [x for x in rows if x[0] <= passed]
+        waiting = rows[len(ready) :]
+        out, (up, down) = _filtered(key[0], [(pd.Timestamp(us, unit="us"), r) for us, r in ready], (up, down), threshold)
+        state.update((up, down, [x[0] for x in waiting], [x[1] for x in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, passed // 1000 + 1))
         if out:
             yield pd.DataFrame(out, columns=["symbol", "ts", "side"])
 
-    return returns.groupBy("symbol").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = returns.where("ret IS NOT NULL").withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    return timed.groupBy("symbol").applyInPandasWithState(ordered, EVENTS, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def finished(stream: DataFrame, keys: str = "append") -> DataFrame:
