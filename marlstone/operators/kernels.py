@@ -307,3 +307,22 @@ def black_scholes(options: DataFrame) -> DataFrame:
     df = df.withColumn("_n1", phi(sign * F.col("_d1"))).withColumn("_n2", phi(sign * F.col("_d2")))
     live = sign * (s * F.col("_n1") - k * F.exp(-r * t) * F.col("_n2"))
     return df.withColumn("price", F.when(t <= 0, F.greatest(sign * (s - k), F.lit(0.0))).otherwise(live)).drop("_d1", "_d2", "_n1", "_n2")
+
+
+def pricing_errors(options: DataFrame, spots: DataFrame, day: str, rate: float = 0.05, least: int = 7, most: int = 90, floor: float = 10.0) -> DataFrame:
+    """How far Black-Scholes prices of calls are from the market's, with realised and with Yang-Zhang volatility.
+
+    `options` are (mark, strike, expiry, call), the mark in units of the underlying; `spots` (symbol, spot, realized_vol, yz_vol), a row
+    a series. Calls that end at 8 o'clock of a day more than `least` and less than `most` days ahead, with a market price of `floor` or
+    more, count. Per series: their number, mean absolute errors, median errors in percent, and by how many points the median falls with
+    Yang-Zhang volatility.
+    """
+    years = (F.datediff("expiry", F.lit(day).cast("date")) + 8 / 24) / 365
+    near = options.where("call").withColumn("years", years).where((years * 365 > least) & (years * 365 < most))
+    rows = near.crossJoin(F.broadcast(spots)).withColumn("market", F.col("mark") * F.col("spot")).where(F.col("market") >= floor)  # a row a series
+    rows = rows.withColumn("rate", F.lit(rate)).drop("price", "vol")
+    for name, vol in (("rv", "realized_vol"), ("yz", "yz_vol")):
+        rows = black_scholes(rows.withColumn("vol", F.col(vol))).withColumn(name, F.abs(F.col("price") - F.col("market"))).drop("price", "vol")
+    share = {n: 100 * F.col(n) / F.col("market") for n in ("rv", "yz")}
+    found = rows.groupBy("symbol").agg(F.count("*").alias("n"), *(F.avg(n).alias(f"mean_{n}") for n in share), *(F.percentile(x, 0.5).alias(f"median_{n}") for n, x in share.items()))
+    return found.withColumn("gain", F.col("median_rv") - F.col("median_yz"))

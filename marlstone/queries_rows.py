@@ -8,7 +8,7 @@ from marlstone.functions import ts
 from marlstone.functions.store import folder
 from marlstone.operators import cv, diagnose, features, kernels, labeling, models
 from marlstone.plans import flows
-from marlstone.queries import DAILY, EVENTS, EXT, LABELS, MULTI, ORACLES, SPLITS, TA_DIGITS, W, _bins, _vols, query
+from marlstone.queries import DAILY, EVENTS, EXT, FEATS_SQL, LABELS, MULTI, ORACLES, SPLITS, TA_DIGITS, W, _bins, _feats, _phi, _vols, query
 from marlstone.sources import bars as source
 from marlstone.streaming import cusum as streams
 
@@ -204,6 +204,28 @@ def instrument_filter(spark, d):
     return diagnose.tradable(diagnose.options_of(_instruments(spark, d)), "2025-06-01")
 
 
+def _call_sql(name: str, vol: str) -> str:
+    d1 = f"((ln(spot / strike) + (0.05 + {vol} * {vol} / 2) * years) / ({vol} * sqrt(years)))"
+    return f"abs(spot * {_phi(d1)} - strike * exp(-0.05 * years) * {_phi(f'({d1} - {vol} * sqrt(years))')} - market) AS {name}"
+
+
+@query(
+    f"""WITH {_NAMES}, {_PARSED}, {FEATS_SQL}, bm AS ({ORACLES["bars_multi"]}), sp AS (SELECT fe.symbol, arg_max(close, fe.ts) AS spot, arg_max(round(realized_vol, 4), fe.ts) AS realized_vol, arg_max(round(yz_vol, 4), fe.ts) AS yz_vol FROM fe JOIN bm ON bm.symbol = fe.symbol AND bm.ts = fe.ts WHERE realized_vol IS NOT NULL AND yz_vol IS NOT NULL GROUP BY 1),
+    nr AS (SELECT ok.*, sp.*, price / 1000 * spot AS market, (expiry - DATE '2025-06-01' + 8 / 24.0::DOUBLE) / 365 AS years FROM ok, sp WHERE call), er AS (SELECT symbol, market, {_call_sql("rv", "realized_vol")}, {_call_sql("yz", "yz_vol")} FROM nr WHERE years * 365 > 7 AND years * 365 < 90 AND market >= 10),
+    me AS (SELECT symbol, count(*) AS n, avg(rv) AS mean_rv, avg(yz) AS mean_yz, median(100 * rv / market) AS median_rv, median(100 * yz / market) AS median_yz FROM er GROUP BY 1)
+    SELECT symbol, n, round(mean_rv, 2) AS mean_rv, round(mean_yz, 2) AS mean_yz, round(median_rv, 4) AS median_rv, round(median_yz, 4) AS median_yz, round(median_rv - median_yz, 4) AS gain FROM me""",
+    4,
+    mean_rv=2,
+    mean_yz=2,
+)
+def pricing_errors(spark, d):
+    """Errors of two volatilities over all calls of the tables, for the last bar of each series."""
+    bars = source.bars_multi(spark, d)
+    last = _feats(spark, d).join(bars.select("symbol", "ts", "close"), ["symbol", "ts"]).where("realized_vol IS NOT NULL AND yz_vol IS NOT NULL")
+    spots = last.groupBy("symbol").agg(F.max_by("close", "ts").alias("spot"), *(F.max_by(F.round(c, 4), "ts").alias(c) for c in ("realized_vol", "yz_vol")))
+    return kernels.pricing_errors(diagnose.options_of(_instruments(spark, d)).withColumn("mark", F.col("price") / 1000), spots, "2025-06-01")
+
+
 @query(f"WITH q AS ({ORACLES['returns']}), s AS (SELECT symbol, ts, lag(log_returns, 13) OVER {W} AS oldest, log_returns AS newest, row_number() OVER {W} AS k FROM q) SELECT symbol, ts, round(oldest, 6) AS oldest, round(newest, 6) AS newest, 14 AS length FROM s WHERE k >= 14")
 def sequences(spark, d):
     rows = features.returns(source.bars_multi(spark, d))

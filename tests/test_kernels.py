@@ -115,3 +115,17 @@ def test_suprema_match_loops(spark):
             line = max(line, abs(b[0] / se[0]) / math.sqrt(n))
         assert row.sadf == pytest.approx(best, rel=1e-5)
         assert row.smt_poly1 == pytest.approx(line, rel=1e-6)
+
+
+def test_pricing_errors_of_exact_marks(spark):
+    from marlstone.operators import kernels
+
+    spots = spark.createDataFrame([("A", 100.0, 0.5, 0.8)], "symbol string, spot double, realized_vol double, yz_vol double")
+    rows = [(k, e, c) for k in (80.0, 100.0, 120.0) for e, c in (("2025-07-01", True), ("2025-07-01", False), ("2025-06-03", True), ("2026-06-01", True))]
+    options = spark.createDataFrame(rows, "strike double, expiry string, call boolean").selectExpr("strike", "cast(expiry AS date) AS expiry", "call", "0.5 AS price")
+    years = (30 + 8 / 24) / 365
+    ready = options.selectExpr("*", "100.0D AS spot", f"{years!r}D AS years", "0.05D AS rate", "0.8D AS vol").drop("price")
+    marks = kernels.black_scholes(ready).selectExpr("strike", "expiry", "call", "price / 100 AS mark")
+    got = kernels.pricing_errors(marks, spots, "2025-06-01", floor=0.0).first()
+    assert got.n == 3 and got.mean_yz < 1e-9 and got.median_yz < 1e-9 and got.mean_rv > 1 and got.gain == got.median_rv - got.median_yz
+    assert kernels.pricing_errors(marks, spots, "2025-06-01", floor=1e9).count() == 0
