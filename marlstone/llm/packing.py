@@ -154,38 +154,90 @@ class Index:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths that share a sequence, longest first, and how often each is used; all counts are used up."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def use(pattern: tuple[int, ...]) -> None:
-        need = np.bincount(pattern, minlength=capacity + 1)
-        at = np.flatnonzero(need)
-        times = int((left[at] // need[at]).min())
-        left[at] -= need[at] * times
-        out.append((pattern, times))
-
-    if left[capacity]:
-        use((capacity,))
-    index = Index(left)
-    for size in (1, 2, 3):  # lengths that fill the gap beside the longest piece
+    """Patterns of lengths that share a sequence, longest first, and how often each is used; all counts are used up.
+
+    Exact fills can take the small pieces that other long ones need, most of all in small tables. So the plan is made with
+    sums of up to three, two, one and no lengths, and the shortest is taken, the one with the larger sums among equals: never
+    more sequences than best fit decreasing has alone.
+    """
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    shortest = 0
+    for most, rest in ((3, _fullest_fit), (3, _best_fit), (2, _best_fit), (1, _best_fit), (0, _best_fit)):
+        left = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            left[length] = n
+        found = _exact(left, capacity, most)
+        found += rest(left, capacity)
+        used = sum(times for _, times in found)
+        if best is None or used < shortest:
+            best, shortest = found, used
+        if shortest == least:
+            break
+    return best
+
+
+def _use(left: np.ndarray, pattern: tuple[int, ...]) -> tuple[tuple[int, ...], int]:
+    """The pattern as often as the counts allow, which are lowered."""
+    need = np.bincount(pattern, minlength=len(left))
+    at = np.flatnonzero(need)
+    times = int((left[at] // need[at]).min())
+    left[at] -= need[at] * times
+    return pattern, times
+
+
+def _exact(left: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Full sequences: pieces of the whole capacity, then each longest piece with up to `most` others that fill its gap exactly."""
+    out = [_use(left, (capacity,))] if left[capacity] else []
+    index = Index(left) if most else None
+    for size in range(1, most + 1):
         for longest in range(capacity - 1, 0, -1):
             while left[longest]:
                 found = index.find(capacity - longest, size, longest)
                 if found is None:
                     break
-                use(tuple(sorted((longest, *found), reverse=True)))
-    while left.any():  # best fit: the fullest sequence that the longest piece allows
+                out.append(_use(left, tuple(sorted((longest, *found), reverse=True))))
+    return out
+
+
+def _fullest_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit from the sequence's side: the fullest that the longest piece allows."""
+    out = []
+    while left.any():
         longest = int(np.flatnonzero(left)[-1])
         left[longest] -= 1
         fill = _fullest(left, capacity - longest)
         left[longest] += 1
-        use((longest, *fill))
+        out.append(_use(left, (longest, *fill)))
     return out
 
 
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit from the piece's side, longest first: the smallest gap that holds it. Sequences with equal gaps stay together,
+    so the work follows the number of lengths, not of pieces."""
+    gaps: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for length in map(int, np.flatnonzero(left)[::-1]):
+        n = int(left[length])
+        while n:
+            gap = min((g for g in gaps if g >= length), default=capacity)
+            each = gap // length
+            own = gaps.pop(gap, None) or [((), -(-n // each))]
+            while own and n:
+                pattern, times = own.pop()
+                full, short = min(times, n // each), n % each if n // each < times else 0
+                if full:
+                    gaps.setdefault(gap - each * length, []).append(((*pattern, *(length,) * each), full))
+                if short:
+                    gaps.setdefault(gap - short * length, []).append(((*pattern, *(length,) * short), 1))
+                n -= full * each + short
+                if times > full + (short > 0):
+                    own.append((pattern, times - full - (short > 0)))
+            if own:
+                gaps.setdefault(gap, []).extend(own)
+    left[:] = 0
+    return [each for own in gaps.values() for each in own]
+
+
 def _fullest(left: np.ndarray, gap: int) -> tuple[int, ...]:
     """Available lengths with the largest sum within the gap: a bounded subset sum over sets of reachable sums."""
     mask, reach = (1 << (gap + 1)) - 1, 1

@@ -284,3 +284,45 @@ def test_marks_of_articles_do_not_decide():
     plain = [p.replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div") for p in pages]
     same = [main_text(a) == main_text(b) for a, b in zip(pages, plain)]
     assert sum(same) >= 0.97 * len(pages) and not math.isnan(sum(same))
+
+
+def test_packing_is_never_worse_than_best_fit_decreasing():
+    """On 200 random tables, and with the pieces of the small tables."""
+    import bisect
+
+    import duckdb
+    import public_tokenizers as P
+
+    from marlstone.llm.packing import _best_fit, encoder, plan
+
+    def sequences(counts, capacity):
+        gaps = []
+        for length in sorted((length for length, n in counts.items() for _ in range(n)), reverse=True):
+            at = bisect.bisect_left(gaps, length)
+            bisect.insort(gaps, (gaps.pop(at) if at < len(gaps) else capacity) - length)
+        return len(gaps)
+
+    def held(counts, capacity):
+        found = plan(counts, capacity)
+        used = collections.Counter()
+        for pattern, n in found:
+            assert n > 0 and sum(pattern) <= capacity
+            for length in pattern:
+                used[length] += n
+        assert used == counts and sum(n for _, n in found) <= sequences(counts, capacity)
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        capacity = int(rng.integers(8, 300))
+        counts = collections.Counter(rng.integers(1, capacity + 1, int(rng.integers(0, 400))).tolist())
+        left = np.array([counts[i] for i in range(capacity + 1)], np.int64)
+        assert sum(n for _, n in _best_fit(left, capacity)) == sequences(counts, capacity) and not left.any()
+        held(counts, capacity)
+    encode = encoder(P.path("byte_bpe_50k.json"))
+    counts = collections.Counter()
+    for (text,) in duckdb.sql(f"SELECT text FROM '{os.path.dirname(SF)}/sf0.01/documents.parquet'").fetchall():
+        n = len(encode(text)) + 1 if text else 1
+        counts[(n - 1) % 1024 + 1] += 1
+        if n > 1024:
+            counts[1024] += (n - 1) // 1024
+    held(counts, 1024)
