@@ -1,13 +1,16 @@
 """Main text of web pages by tag-path ratios.
 
-Text is gathered into blocks, each with the tag path from the root to where it stands. Per path, the page's text length
-and punctuation are summed and set against the number of blocks; the two ratios are smoothed along the page, fused and
-held against a threshold. The blocks on the paths that pass, and the headings right before them, are the content nodes; where
-most of their text is in elements marked as the article, those outside are left out. Parts that are no prose by their element or naming (navigation, page headers and
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) never take part.
+Text is gathered into blocks, each with the tag path from the root to where it stands. Per path, the page's text length and
+punctuation are summed and set against the number of blocks; both ratios are smoothed along the page. A path's own ratios, the
+smoothed ones and the share of text that is not linked are fused, and paths whose fused ratio reaches a share of the best are
+strong; those mostly of links are menus. The strong blocks tell where the article is: the smallest element that holds them, widened to
+an enclosing <article>. What stands there stays, however short, but for menus and the headings that lead only to them; directly in the body, only what lies
+between strong blocks does. A heading right before stays, and so does all from the last <h1> on where no menu lies between. Where
+most strong text is in elements marked as the article, strong blocks outside count no more. Parts that are no prose by their
+element or naming (navigation, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) never take part.
 
 Defined results: null, empty and text-free pages give an empty text of 0 characters; each row stands on its own, so
-repeated rows repeat; broken markup (unclosed or stray tags, a cut-off page) is read as far as it goes; columns other
+repeated rows repeat; of a page of nothing but links only what is in marked elements stays; broken markup (unclosed or stray tags, a cut-off page) is read as far as it goes; columns other
 than page_id, url and html are never read.
 """
 
@@ -41,27 +44,34 @@ RAW = frozenset("script style noscript template iframe textarea title svg math".
 #: What ends an open element that needs no end tag of its own (fixed values).
 ENDS_P = BLOCK - {"br", "caption", "legend", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot"}
 ENDS_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("table",), "th": ("table",), "tr": ("table",), "option": ("select",)}
-#: Words in a class, id or role that mark a part as no prose (fixed values).
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alerts?|popup|"
-    r"modal|newsletter|subscribe|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side|widgets?|header|masthead|topbar|footer|contentinfo|"
-    r"complementary|comments?|disqus|replies|respond|discussion|related|recommended|recommendations|share|sharing|social|pagination|pager|toolbar|"
-    r"login|signup|search|form|dialog|hidden)(?:$|[\s_-])",
-    re.I,
+#: Words that mark a part as no prose (fixed values), when a whole name of a class, id or role is made of them and of BESIDE.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert alerts "
+    "popup modal newsletter subscribe menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget widgets header masthead topbar footer "
+    "contentinfo complementary comment comments disqus replies respond discussion related recommended recommendations share sharing social "
+    "pagination pager toolbar login signup search form dialog hidden".split()
+)
+#: Words that say where or how often such a part stands (fixed values).
+BESIDE = frozenset(
+    "site page main top bottom left right global primary secondary sticky user reader box bar area wrap wrapper container list item items section block "
+    "links buttons posts articles inner outer".split()
 )
 #: Elements marked as the article (fixed values).
 MARKED = frozenset(("article", "main"))
 #: Short by nature, so they stand with what they head.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 caption dt".split())
+#: Kept within the article even where they are wholly linked.
+LABELS = HEADINGS | {"figcaption"}
 KEPT_ROOTS = frozenset(("html", "body", "article", "main"))
-#: Share of the best fused ratio that a path needs.
-THRESHOLD = 0.12
+#: Share of the best fused ratio that a strong path needs, and share of linked text that makes a menu.
+THRESHOLD, MENU = 0.25, 0.5
 PUNCTUATION = ".,;:!?…。，、！？"
 
 _token = re.compile(
     r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z))|[!?/][^>]*(?:>|\Z))",
     re.S,
 )
+_segments = re.compile(r"[-_]+")
 _named_by = re.compile(r"\s(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _hidden = re.compile(r"\s(?:hidden(?=[\s=/>])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))", re.I)
 
@@ -69,17 +79,33 @@ _hidden = re.compile(r"\s(?:hidden(?=[\s=/>])|aria-hidden\s*=\s*[\"']?true|style
 class Block:
     """A run of text without a block boundary: where it stands and how much of it is linked."""
 
-    __slots__ = ("path", "parts", "linked", "marked")
+    __slots__ = ("path", "within", "parts", "linked", "marked")
+
+    def __init__(self, path: str, within: tuple[int, ...], marked: bool) -> None:
+        """within: the numbers of the elements on the path; marked: whether one of them is marked as the article."""
+        self.path, self.within, self.marked, self.parts, self.linked = path, within, marked, [], 0
+
+    @property
+    def last(self) -> str:
+        """The element that the text stands in."""
+        return self.path.rpartition("/")[2]
+
 
-    def __init__(self, path: str, marked: bool) -> None:
-        """marked: whether it is in an element that is marked as the article."""
-        self.path, self.marked, self.parts, self.linked = path, marked, [], 0
+def no_prose(value: str) -> bool:
+    """Whether one of the names in a class, id or role is made of the words that mark a part as no prose."""
+    for name in value.lower().split():
+        words = _segments.split(name.strip("-_"))
+        if not NAMES.isdisjoint(words) and all(w in NAMES or w in BESIDE or w.isdigit() for w in words):
+            return True
+    return False
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks of visible text outside skipped parts, in page order."""
     out: list[Block] = []
     names: list[str] = []
+    numbers: list[int] = []
+    opened = 0
     skipping: list[bool] = []
     at, links = 0, 0
     current: Block | None = None
@@ -89,7 +115,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal links
         for name in names[to:]:
             links -= name == "a"
-        del names[to:], skipping[to:]
+        del names[to:], numbers[to:], skipping[to:]
 
     def close(names_: tuple[str, ...] | str, barriers: tuple[str, ...] = ()) -> None:
         for i in range(len(names) - 1, -1, -1):
@@ -107,7 +133,7 @@ def blocks(html: str) -> list[Block]:
             if not piece.strip():
                 return
             path = "/".join(n for n in names if n in BLOCK)
-            current = Block(path, not MARKED.isdisjoint(names))
+            current = Block(path, tuple(i for i, n in zip(numbers, names, strict=True) if n in BLOCK), not MARKED.isdisjoint(names))
             out.append(current)
         current.parts.append(piece)
         if links:
@@ -145,8 +171,9 @@ def blocks(html: str) -> list[Block]:
             continue
         skip = bool(skipping and skipping[-1]) or tag in SKIPPED
         if not skip and len(rest) > 2 and tag not in KEPT_ROOTS:
-            skip = bool(_hidden.search(" " + rest)) or any(NAMED.search(" ".join(m).strip()) for m in _named_by.findall(" " + rest))
-        names.append(tag), skipping.append(skip)
+            skip = bool(_hidden.search(" " + rest)) or any(no_prose(" ".join(m)) for m in _named_by.findall(" " + rest))
+        opened += 1
+        names.append(tag), numbers.append(opened), skipping.append(skip)
         links += tag == "a"
     return out
 
@@ -161,36 +188,68 @@ def main_text(html: str) -> str:
             found.append((block, squeezed))
     if not found:
         return ""
-    sums: dict[str, list[float]] = {}
+    strong, menus = ratios(found)
+    own = [block for block, _ in found]
+    size = [0, 0]
+    for block, body in found:
+        if block.path in strong:
+            size[block.marked] += len(body)
+    inside = size[1] > size[0]
+    at = [i for i, block in enumerate(own) if block.path in strong and (block.marked or not inside)]
+    stay = _article(own, at, menus)
+    return "\n".join(body for (_, body), ok in zip(found, stay, strict=True) if ok)
+
+
+def ratios(found: list[tuple[Block, str]]) -> tuple[set[str], set[str]]:
+    """The strong paths of a page and those that are mostly links, from its blocks and their texts."""
+    sums: dict[str, list[int]] = {}
     for block, body in found:
         own = sums.setdefault(block.path, [0, 0, 0, 0])
         own[0] += len(body)
         own[1] += sum(map(body.count, PUNCTUATION))
         own[2] += 1
         own[3] += min(block.linked, len(body))
-    # the ratios of each block's path, smoothed over its neighbours, so that a short part stands with its paragraphs; a path has the mean of its blocks
-    length = _smooth([sums[b.path][0] / sums[b.path][2] * (1 - sums[b.path][3] / max(1, sums[b.path][0])) for b, _ in found])
-    points = _smooth([(sums[b.path][1] + 1) / (sums[b.path][2] + 1) for b, _ in found])
-    fused: dict[str, float] = {}
-    for (block, _), x, y in zip(found, length, points, strict=True):
-        size, _, n, linked = sums[block.path]  # neighbours lend links nothing
-        fused[block.path] = fused.get(block.path, 0.0) + (1 - linked / max(1, size)) * sqrt(x * y) / n
+    length = {path: size / n for path, (size, _, n, _) in sums.items()}
+    points = {path: (marks + 1) / (n + 1) for path, (_, marks, n, _) in sums.items()}
+    free = {path: 1 - linked / size for path, (size, _, _, linked) in sums.items()}
+    # smoothed over the neighbours of each block; a path has the mean of its blocks, beside its own ratio, so neighbours alone make none strong
+    near: dict[str, float] = {}
+    for (block, _), x, y in zip(found, _smooth([length[b.path] for b, _ in found]), _smooth([points[b.path] for b, _ in found]), strict=True):
+        near[block.path] = near.get(block.path, 0.0) + sqrt(x * y) / sums[block.path][2]
+    fused = {path: free[path] * sqrt(sqrt(length[path] * points[path]) * near[path]) for path in sums}
     best = max(fused.values())
-    passed = {path for path, ratio in fused.items() if ratio >= THRESHOLD * best}
-    chosen = [(b, body) for b, body in found if b.path in passed]
-    total = sum(len(body) for _, body in chosen)
-    marked = sum(len(body) for block, body in chosen if block.marked)
-    inside = marked > total / 2
-    return "\n".join(body for (block, body), ok in zip(found, _content(found, passed), strict=True) if ok and (block.marked or not inside))
-
-
-def _content(found: list[tuple[Block, str]], passed: set[str]) -> list[bool]:
-    """Which blocks are content: those on the paths that passed, and the headings right before them."""
-    out, follows = [], False
-    for block, _ in reversed(found):
-        follows = block.path in passed or follows and block.path.rpartition("/")[2] in HEADINGS
-        out.append(follows)
-    return out[::-1]
+    return {path for path, ratio in fused.items() if ratio >= THRESHOLD * best and free[path] > MENU}, {path for path in sums if free[path] <= MENU}
+
+
+def _article(own: list[Block], at: list[int], menus: set[str]) -> list[bool]:
+    """Which blocks are the article's, from the places `at` of strong ones and the paths of menus."""
+    stay = [False] * len(own)
+    if not at:  # nothing but links: only what is marked
+        return [b.marked for b in own]
+    low, high = min(own[i].within[:-1] for i in at), max(own[i].within[:-1] for i in at)
+    shared = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    tags = own[at[0]].path.split("/")[:shared] if shared else []
+    if "article" in tags:
+        shared = len(tags) - tags[::-1].index("article")
+    home, whole = low[:shared], not {"html", "body"}.issuperset(tags)
+    first, last = at[0], at[-1]
+    menu = [b.path in menus and b.last not in LABELS for b in own]
+    if whole:  # the blocks of one element follow each other
+        while first and own[first - 1].within[:shared] == home:
+            first -= 1
+        while last + 1 < len(own) and own[last + 1].within[:shared] == home:
+            last += 1
+    stay[first : last + 1] = [not m for m in menu[first : last + 1]]
+    for i in range(last - 1, first - 1, -1):  # a heading that only leads to a menu goes with it
+        stay[i] = stay[i] and (own[i].last not in HEADINGS or stay[i + 1])
+    top = next((i for i in range(first - 1, -1, -1) if menu[i] or own[i].last == "h1"), None)
+    if top is not None and not menu[top]:
+        stay[top:first] = [True] * (first - top)
+    for i in range(first - 1, -1, -1):
+        if own[i].last not in HEADINGS:
+            break
+        stay[i] = True
+    return stay
 
 
 def _smooth(values: list[float]) -> list[float]:

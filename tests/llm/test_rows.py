@@ -1,6 +1,7 @@
 """Defined results of odd input for all ten operators: empty tables, columns of clashing names, repeated rows, long texts."""
 
 import base64
+import collections
 import itertools
 import math
 import os
@@ -326,3 +327,102 @@ def test_packing_is_never_worse_than_best_fit_decreasing():
         if n > 1024:
             counts[1024] += (n - 1) // 1024
     held(counts, 1024)
+
+
+def test_short_parts_stay_and_unnamed_menus_go():
+    from marlstone.llm.html_text import main_text, no_prose
+
+    body = " ".join(["A sentence of the article, with some words; and more of them."] * 12)
+    assert main_text(f'<article><div class="article-header"><h1>The Title</h1></div><p>{body}</p></article>') == f"The Title\n{body}"
+    assert main_text(f'<article><p>{body}</p><p class="west-side story">West.</p></article>') == f"{body}\nWest."
+    parts = "<blockquote>Quote</blockquote><dl><dt>Term<dd>Def</dl><figure><figcaption><a href=c>A cat</a></figcaption></figure>"
+    assert main_text(f"<article><p>{body}</p>{parts}<p>End.</article>") == f"{body}\nQuote\nTerm\nDef\nA cat\nEnd."
+    menu, end = "<div><a>Home</a> <a>About</a></div>", "<div>Copyright 2020</div>"
+    assert main_text(f"<body>{menu}<h1>T</h1><p>{body}</p><p>{body}</p>{end}</body>") == f"T\n{body}\n{body}"
+    assert main_text(f"<body><div>{menu}<div><h1>T</h1><p>{body}</p><p>Short.</p></div>{end}</div></body>") == f"T\n{body}\nShort."
+    related = "<h2>See also</h2><ul><li><a>One thing</a></li><li><a>Another</a></li></ul>"
+    assert main_text(f"<article><h2><a>Part</a></h2><p>{body}</p>{related}<p>Last.</p></article>") == f"Part\n{body}\nLast."
+    assert main_text("<p><a>Just a link</a></p>") == "" and main_text("<article><p><a>Just a link</a></p></article>") == "Just a link"
+    assert all(map(no_prose, ["x sidebar", "site-header", "cookie-banner", "comment_12", "Reader-Comments", "ad"]))
+    assert not any(map(no_prose, ["article-header", "west-side story", "research-form", "shared", "post-header", "", "--", "12", "main list"]))
+
+
+def test_extraction_matches_a_plain_version():
+    """Random trees, rendered; the plain version knows the tree and reads the definitions word by word."""
+    from marlstone.llm.html_text import HEADINGS, LABELS, MENU, PUNCTUATION, THRESHOLD, main_text
+
+    rng = random.Random(3)
+    numbers = itertools.count()
+
+    def grow(depth, above):
+        """Markup, and the texts in it: elements above as (number, tag), text, linked."""
+        tag = rng.choice(["div", "section", "article", "ul", "div"] if depth else ["body"])
+        own = (*above, (next(numbers), tag))
+        html, texts = [], []
+        for _ in range(rng.randint(1, 6)):
+            if tag != "ul" and depth < 4 and rng.random() < 0.35:
+                inner, found = grow(depth + 1, own)
+                html.append(inner), texts.extend(found)
+                continue
+            leaf = "li" if tag == "ul" else rng.choice(["p", "p", "p", "h1", "h2", "blockquote", "figcaption"])
+            text = " ".join("".join(rng.choices("abcdef.,", k=rng.randint(1, 7))) for _ in range(rng.choice([1, 3, 10, 60])))
+            linked = rng.random() < (0.6 if tag == "ul" else 0.1)
+            html.append(f"<{leaf}>" + (f"<a href=x>{text}</a>" if linked else text) + f"</{leaf}>")
+            texts.append(((*own, (next(numbers), leaf)), text, linked))
+        return f"<{tag}>" + "".join(html) + f"</{tag}>", texts
+
+    def plain(texts):
+        paths = ["/".join(tag for _, tag in chain) for chain, _, _ in texts]
+        own = {p: [(t, linked) for q, (_, t, linked) in zip(paths, texts, strict=True) if p == q] for p in paths}
+        length = {p: sum(len(t) for t, _ in v) / len(v) for p, v in own.items()}
+        points = {p: (sum(c in PUNCTUATION for t, _ in v for c in t) + 1) / (len(v) + 1) for p, v in own.items()}
+        free = {p: sum(len(t) for t, linked in v if not linked) / sum(len(t) for t, _ in v) for p, v in own.items()}
+
+        def smooth(of, i):
+            return (of[paths[max(0, i - 1)]] + 2 * of[paths[i]] + of[paths[min(len(paths) - 1, i + 1)]]) / 4
+
+        near = {p: np.mean([math.sqrt(smooth(length, i) * smooth(points, i)) for i, q in enumerate(paths) if p == q]) for p in own}
+        fused = {p: free[p] * math.sqrt(math.sqrt(length[p] * points[p]) * near[p]) for p in own}
+        strong = [fused[p] >= THRESHOLD * max(fused.values()) and free[p] > MENU for p in paths]
+        marked = [any(tag in ("article", "main") for _, tag in chain) for chain, _, _ in texts]
+        sizes = [sum(len(t) for (_, t, _), s, m in zip(texts, strong, marked, strict=True) if s and m is side) for side in (True, False)]
+        strong = [s and (m or sizes[0] <= sizes[1]) for s, m in zip(strong, marked, strict=True)]
+        if not any(strong):
+            return [t for (_, t, _), m in zip(texts, marked, strict=True) if m]
+        holders = [set(chain[:-1]) for (chain, _, _), s in zip(texts, strong, strict=True) if s]
+        chain = [e for e in texts[strong.index(True)][0] if all(e in h for h in holders)]
+        while any(tag == "article" for _, tag in chain) and chain[-1][1] != "article":
+            chain.pop()
+        places = [i for i, s in enumerate(strong) if s]
+        held = [i for i, (above, _, _) in enumerate(texts) if chain[-1] in above] if chain[-1][1] != "body" else range(places[0], places[-1] + 1)
+        last = [above[-1][1] for above, _, _ in texts]
+        menu = [free[p] <= MENU and tag not in LABELS for p, tag in zip(paths, last, strict=True)]
+        stay = set()
+        for i in held:
+            after = next((j for j in range(i, len(texts)) if last[j] not in HEADINGS or j == max(held)), i)
+            if not menu[i] and not (last[i] in HEADINGS and menu[after]):
+                stay.add(i)
+        before = range(min(held))
+        tops = [i for i in before if last[i] == "h1" and not any(menu[i : min(held)])]
+        stay.update(i for i in before if tops and i >= tops[-1])
+        stay.update(i for i in before if all(last[j] in HEADINGS for j in range(i, min(held))))
+        return [texts[i][1] for i in sorted(stay)]
+
+    for _ in range(1500):
+        html, texts = grow(0, ())
+        assert main_text(html) == "\n".join(plain(texts)), html
+
+
+def test_ratios_decide_without_names():
+    """Pages of the tables with every name made plain: the menus go, and of the article nothing is lost."""
+    import duckdb
+
+    from marlstone.llm.html_text import main_text
+
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{os.path.dirname(SF)}/sf0.01/pages.parquet'").fetchall()]
+    for page in pages:
+        bare = page.replace(' class="ad"', "")
+        for name in ("nav", "footer", "article"):
+            bare = bare.replace(f"<{name}", "<div").replace(f"</{name}", "</div")
+        got, whole = main_text(bare), main_text(page)
+        assert whole in got and got.count("\n") <= whole.count("\n") + 2  # six links are gone; a notice and a footer in sentences may stay
