@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.store import stored
-from marlstone.operators import boosting, glm
+from marlstone.operators import boosting, glm, spline_net
 
 
 def robust_scale(df: DataFrame, columns: list[str], fit_on: Column | None = None, by: list[str] | None = None) -> DataFrame:
@@ -54,13 +54,14 @@ def _forest(trees: int = 500, depth: int = 10, leaf: int = 5, seed: int = 42):
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
 
 
-#: Optional back ends of the reference without a counterpart here (sequence and spline networks) are the additive spline below.
+#: The additive spline is a logistic model; networks of splines are trained by steps of their own.
 REGISTRY = {
     "ar_logistic": Spec("ar_logistic", _logistic, columns=lambda names: [n for n in names if "lag" in n]),
     "logistic": Spec("logistic", _logistic, grid=({"c": 0.1}, {"c": 1.0}, {"c": 1.0, "l1": 1.0})),
     "random_forest": Spec("random_forest", _forest, grid=({"depth": 5}, {"depth": 10})),
     "boosted": Spec("boosted", boosting.Boost, grid=({"depth": 2}, {"depth": 3})),
     "spline": Spec("spline", _logistic, defaults={"c": 0.5}),
+    "spline_network": Spec("spline_network", spline_net.Net, grid=({"hidden": 3}, {"hidden": 5})),
 }
 
 

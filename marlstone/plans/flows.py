@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.store import stored
-from marlstone.operators import boosting, cv, evaluate, features, glm, kernels, labeling, models
+from marlstone.operators import boosting, cv, evaluate, features, glm, kernels, labeling, models, spline_net
 from marlstone.sources import bars as source
 
 
@@ -80,9 +80,9 @@ def folds(aligned: DataFrame, found: DataFrame, columns: list[str], fit_share: f
 
 def run(spark: SparkSession, ready: DataFrame, columns: list[str], name: str = "logistic", seeds: int = 1, selected: DataFrame | None = None, threads: int = 8, **params) -> DataFrame:
     """Calibrated test predictions (model, split_id, seed, group_id, ts, y_true, p_up, ret) of one model over all splits of
-    folds(). Logistic kinds and boosting fit all splits together; forests, fitted by MLlib, several splits at a time. `selected` (split_id,
-    selected) says which columns each split's model gets; logistic kinds see zeros for the others. Boosting stops by the events
-    of `stop`; other models train on them too."""
+    folds(). Logistic kinds, boosting and spline networks fit all splits together; forests, fitted by MLlib, several splits at a time. `selected` (split_id,
+    selected) says which columns each split's model gets; logistic kinds and networks see zeros for the others. Boosting and networks
+    stop by the events of `stop`; other models train on them too."""
     names = models.REGISTRY[name].columns(columns)
     if name == "spline":
         ready, names = models.splines(ready, columns)
@@ -102,6 +102,12 @@ def run(spark: SparkSession, ready: DataFrame, columns: list[str], name: str = "
         rows = boosting.binned(rows, names, boosting.quantiles(rows, names, p.bins), seeds)
         allowed = {r.split_id: [names.index(x) for x in r.selected if x in names] for r in selected.collect()} if selected is not None else None  # a row a split
         scored = [boosting.predict(rows, boosting.fit(rows, seeds, p, allowed), p.depth)]
+    elif name == "spline_network":
+        p = spline_net.Net(**models.REGISTRY[name].defaults | params)
+        if selected is not None:
+            ready = ready.join(F.broadcast(selected), "split_id").withColumns({n: F.when(F.array_contains("selected", n), F.col(n)).otherwise(0.0) for n in names})  # a row a split
+        rows = spline_net.ready(ready, names)
+        scored = [spline_net.predict(rows, spline_net.fit(rows, seeds, p), p.order)]
     else:
         rows = stored(ready)
         own = {r.split_id: r.selected for r in selected.collect()} if selected is not None else {}  # a row a split

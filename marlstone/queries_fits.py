@@ -42,6 +42,12 @@ def model_spline(spark, d):
     return _run(spark, d, "spline")
 
 
+@query()
+def model_spline_network(spark, d):
+    """Networks of 28 splits and five seeds, trained together, a job an epoch, until their losses rise."""
+    return _run(spark, d, "spline_network", seeds=SEEDS)
+
+
 #: Trees of the registered queries: MLlib grows a forest in a job a level for each of 28 splits; boosted trees of all splits and
 #: SEEDS seeds take a job a level together.
 FOREST_TREES, BOOSTED_TREES, SEEDS = 100, 50, 5
@@ -86,11 +92,13 @@ def cpcv_selected(spark, d):
 
 @query()
 def cpcv_summary(spark, d):
-    """The ranking of the three logistic kinds over all splits and paths."""
+    """The ranking of the three logistic kinds and of spline networks over all splits and paths."""
     df, found = _roles(spark, d)
     ready = stored(flows.folds(df, found, COLUMNS))
-    preds = [flows.run(spark, ready, COLUMNS, n) for n in ("logistic", "ar_logistic", "spline")]
-    all_ = stored(preds[0].unionByName(preds[1]).unionByName(preds[2]))
+    first, *others = (flows.run(spark, ready, COLUMNS, n) for n in ("logistic", "ar_logistic", "spline", "spline_network"))
+    for more in others:
+        first = first.unionByName(more)
+    all_ = stored(first)
     return flows.analyse(all_, cv.path_map(spark))["summary"]
 
 
