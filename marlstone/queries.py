@@ -379,9 +379,11 @@ def group_bounds(spark, d):
     return cv.grouped(cv.events(_daily_bins(spark, d))).select("event_pos", "t0", "group_id")
 
 
-@query(f"WITH {SPLITS}, {PATHS} SELECT path_id, group_id, split_id FROM pm")
+@query(f"{DAILY_LABELS}, {SPLITS}, {PATHS} SELECT path_id, group_id, split_id, count(*) AS n_events, min(t0) AS first_t0, max(t0) AS last_t0 FROM pm JOIN ge USING (group_id) GROUP BY ALL")
 def path_map(spark, d):
-    return cv.path_map(spark).select(F.col("path_id").cast("int").alias("path_id"), "group_id", "split_id")
+    """The split that tests each group on each path, with the group's events."""
+    groups = cv.grouped(cv.events(_daily_bins(spark, d))).groupBy("group_id").agg(F.count("*").alias("n_events"), F.min("t0").alias("first_t0"), F.max("t0").alias("last_t0"))
+    return groups.join(cv.path_map(spark), "group_id").select(F.col("path_id").cast("int").alias("path_id"), "group_id", "split_id", "n_events", "first_t0", "last_t0")
 
 
 @query(f"{DAILY_LABELS}, {SPLITS}, {ROLES} SELECT split_id, event_pos, group_id, t0, t1, role FROM roles")

@@ -102,14 +102,18 @@ def cpcv_summary(spark, d):
     return flows.analyse(all_, cv.path_map(spark))["summary"]
 
 
-@query()
-def ffd_by_split(spark, d):
-    """The order of differencing of each split's train events."""
+def _orders(spark, d):
     df, found = _roles(spark, d)
     own = df.join(found.where("role = 'train'").select("split_id", "event_pos"), "event_pos").select(F.col("split_id").cast("string").alias("symbol"), "ts", F.col("atr").alias("x"))
     return kernels.optimal_d(own.where("x IS NOT NULL")).select(F.col("symbol").cast("int").alias("split_id"), "d")
 
 
+@query()
+def ffd_by_split(spark, d):
+    """The order of differencing of each split's train events."""
+    return _orders(spark, d)
+
+
 def _calibrated(spark, d, method):
     df = stored(_preds(spark, d)).withColumn("raw", F.log(F.col("p_up") / (1 - F.col("p_up")))).withColumnRenamed("y_true", "y")
     df = df.withColumn("key", F.concat_ws("/", "model", "split_id"))
@@ -173,35 +177,26 @@ def symbolic_accuracy(spark, d):
     return df.groupBy("part").agg(F.count("*").alias("n"), F.avg(((F.expr(expression) > 0) == (F.col("y") > 0)).cast("double")).alias("accuracy"))
 
 
-# What follows from selections: features are dealt to splits by arithmetic.
-SELECTED = "fs AS (SELECT i, f FROM (SELECT unnest(range(25)) AS i, unnest([" + ", ".join(f"'{x}'" for x in features.TA) + "]) AS f)), sl AS (SELECT s::INTEGER AS split_id, f AS feature FROM fs, range(28) a(s) WHERE (i * 7 + s * 3) % 10 < i % 9)"
-
+def _selected(spark, d):
+    """What each split selects, by the fitted importance."""
+    return stored(models.chosen_features(stored(models.importance(_inner(spark, d), COLUMNS))))
 
-def _selected(spark):
-    names = F.array(*map(F.lit, features.TA))
-    rows = spark.range(28).select(F.col("id").cast("int").alias("split_id"), F.posexplode(names).alias("i", "feature"))
-    return rows.where((F.col("i") * 7 + F.col("split_id") * 3) % 10 < F.col("i") % 9).groupBy("split_id").agg(F.array_sort(F.collect_list("feature")).alias("selected"))
 
-
-@query(f"WITH {SELECTED}, n AS (SELECT count(DISTINCT split_id) AS t FROM sl) SELECT feature, count(*) AS n, round(count(*) / t::DOUBLE, 6) AS frequency, count(*) / t::DOUBLE > 0.8 AS stable FROM sl, n GROUP BY feature, t")
+@query()
 def feature_stability(spark, d):
-    return evaluate.feature_stability(_selected(spark))
+    return evaluate.feature_stability(_selected(spark, d))
 
 
-@query(
-    f"""WITH {SELECTED}, n AS (SELECT count(DISTINCT split_id) AS t FROM sl), st AS (SELECT feature, count(*) AS n, count(*) / t::DOUBLE AS frequency FROM sl, n GROUP BY feature, t),
-    al AS (SELECT f AS feature, 'technical' AS category FROM fs UNION ALL SELECT * FROM (VALUES ('hurst', 'mathematical'), ('log_returns_lag3', 'lag'), ('vix', 'external')))
-    SELECT feature, category, coalesce(n, 0) AS n, round(coalesce(frequency, 0.0), 6) AS frequency, CASE WHEN frequency > 0.8 THEN 'stable' WHEN frequency > 0.5 THEN 'moderate' WHEN n > 0 THEN 'low' ELSE 'never' END AS tier FROM al LEFT JOIN st USING (feature)"""
-)
+@query()
 def stability_table(spark, d):
-    names = spark.createDataFrame([(x,) for x in (*features.TA, "hurst", "log_returns_lag3", "vix")], "feature string")
-    return diagnose.stability_table(evaluate.feature_stability(_selected(spark)).drop("stable"), names)
+    names = spark.createDataFrame([(x,) for x in COLUMNS], "feature string")  # the names of all inputs, selected or never
+    return diagnose.stability_table(evaluate.feature_stability(_selected(spark, d)).drop("stable"), names)
 
 
-@query("WITH dd AS (SELECT s, ((s * 7) % 5) * 0.05::DOUBLE AS d FROM range(28) a(s)) SELECT 'atr' AS feature, round(avg(d), 6) AS mean_d, round(stddev_pop(d), 6) AS std_d, round(min(d), 6) AS min_d, round(max(d), 6) AS max_d, stddev_pop(d) > 0.1 AS unstable FROM dd")
+@query()
 def ffd_stability(spark, d):
-    found = spark.range(28).select(F.col("id").cast("int").alias("split_id"), F.create_map(F.lit("atr"), (F.col("id") * 7 % 5) * 0.05).alias("ffd"))
-    return evaluate.ffd_stability(found)
+    """Spread over the splits of the orders that ffd_by_split finds."""
+    return evaluate.ffd_stability(_orders(spark, d).select("split_id", F.create_map(F.lit("atr"), "d").alias("ffd")))
 
 
 SPLIT_F1 = """sf AS (SELECT split_id, avg(f1) AS f1 FROM (SELECT model, split_id, (coalesce(2 * a / nullif(2 * a + b + c, 0), 0) + coalesce(2 * d / nullif(2 * d + b + c, 0), 0)) / 2 AS f1 FROM (SELECT model, split_id,
@@ -213,10 +208,8 @@ def extraction_split(spark, d):
     return models.extraction_split(evaluate.split_metrics(_preds(spark, d)))
 
 
-@query(
-    f"""{PREDS.replace("WITH RECURSIVE", f"WITH RECURSIVE {SELECTED},")}, {SPLIT_F1}, ch AS (SELECT split_id FROM sf ORDER BY round(f1, 12) DESC, split_id LIMIT 1), ns AS (SELECT count(DISTINCT split_id) AS t FROM sl),
-    fq AS (SELECT feature, count(*) / t::DOUBLE AS frequency FROM sl, ns GROUP BY feature, t) SELECT feature, round(frequency, 6) AS frequency FROM sl JOIN ch USING (split_id) JOIN fq USING (feature) ORDER BY frequency DESC, feature LIMIT 5"""
-)
+@query()
 def extraction_features(spark, d):
+    """The five features of the chosen split that most splits select, by the fitted importance."""
     split = models.extraction_split(evaluate.split_metrics(_preds(spark, d)))
-    return models.extraction_features(_selected(spark), split, 5)
+    return models.extraction_features(_selected(spark, d), split, 5)

@@ -8,7 +8,7 @@ from marlstone.functions import ts
 from marlstone.functions.store import folder
 from marlstone.operators import cv, diagnose, features, kernels, labeling, models
 from marlstone.plans import flows
-from marlstone.queries import DAILY, EVENTS, EXT, FEATS_SQL, LABELS, MULTI, ORACLES, SPLITS, TA_DIGITS, W, _bins, _feats, _phi, _vols, query
+from marlstone.queries import DAILY, DAILY_LABELS, EVENTS, EXT, FEATS_SQL, LABELS, MULTI, ORACLES, ROLES, SPLITS, TA_DIGITS, W, _bins, _daily_bins, _feats, _phi, _vols, query
 from marlstone.sources import bars as source
 from marlstone.streaming import cusum as streams
 
@@ -166,9 +166,13 @@ def barrier_examples(spark, d):
     return diagnose.barrier_examples(_bins(spark, d), _vols(spark, d))
 
 
-@query(f"WITH {SPLITS} SELECT 'early' AS kind, split_id FROM sp WHERE a = 0 AND b = 1 UNION ALL SELECT 'gap', min(split_id) FROM sp WHERE b - a > 1 UNION ALL SELECT 'tail', split_id FROM sp WHERE a = 6 AND b = 7")
+@query(
+    f"""{DAILY_LABELS}, {SPLITS}, {ROLES}, de AS (SELECT 'early' AS kind, split_id FROM sp WHERE a = 0 AND b = 1 UNION ALL SELECT 'gap', min(split_id) FROM sp WHERE b - a > 1 UNION ALL SELECT 'tail', split_id FROM sp WHERE a = 6 AND b = 7)
+    SELECT kind, split_id, """ + ", ".join(f"count(*) FILTER (role = '{r}') AS n_{r}" for r in ("train", "test", "purged", "embargoed")) + " FROM de JOIN roles USING (split_id) GROUP BY 1, 2"
+)
 def demo_splits(spark, d):
-    return cv.demo_splits(spark)
+    """The three splits that are shown, with the roles of the events in them."""
+    return cv.demo_splits(spark).join(cv.split_info(cv.roles(cv.events(_daily_bins(spark, d)))), "split_id")
 
 
 @query(

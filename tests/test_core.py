@@ -11,7 +11,7 @@ from marlstone.operators import cv, evaluate, features, labeling
 from marlstone.sources import bars as source
 from pyspark.sql import functions as F
 
-CHEAP = ["lost_closes", "merged_sources", "coerced_and_late", "filled_back", "all_days", "cached_matrix", "external_missing", "rescaled_yield", "demo_splits", "instrument_names", "sequences", "stream_bars", "feature_stability", "stability_table", "black_scholes", "leak_audit", "purged_folds", "bars_daily", "gap_runs", "gap_fill", "ohlcv_audit", "returns", "volatility", "oscillators", "volumes", "exponential_averages", "math_features", "asof_backward", "daily_vol", "cusum_events", "triple_barrier", "concurrency", "path_map", "robust_scale"]
+CHEAP = ["lost_closes", "merged_sources", "coerced_and_late", "filled_back", "all_days", "cached_matrix", "external_missing", "rescaled_yield", "demo_splits", "instrument_names", "sequences", "stream_bars", "black_scholes", "leak_audit", "purged_folds", "bars_daily", "gap_runs", "gap_fill", "ohlcv_audit", "returns", "volatility", "oscillators", "volumes", "exponential_averages", "math_features", "asof_backward", "daily_vol", "cusum_events", "triple_barrier", "concurrency", "path_map", "robust_scale"]
 
 
 def day(n):
@@ -161,3 +161,28 @@ def test_path_metrics_of_odd_paths(spark):
     filled = {r.path_id: r for r in evaluate.empty_performance(evaluate.performance(curve), wanted).collect()}
     assert filled[3] == first or filled[3].sharpe == first.sharpe
     assert filled[9].sharpe == 0 and filled[9].n_trades == 0 and filled[9].profit_factor is None
+
+
+def test_stability_of_selections_and_orders(spark):
+    """Features dealt to 28 splits by arithmetic, counted by plain Python."""
+    import collections
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from marlstone.operators import diagnose, evaluate, features, models
+
+    dealt = {s: sorted(f for i, f in enumerate(features.TA) if (i * 7 + s * 3) % 10 < i % 9) for s in range(28)}
+    selected = spark.createDataFrame(list(dealt.items()), "split_id int, selected array<string>")
+    n = collections.Counter(f for own in dealt.values() for f in own)
+    got = evaluate.feature_stability(selected)
+    assert {r.feature: (r.n, round(r.frequency, 9), r.stable) for r in got.collect()} == {f: (k, round(k / 28, 9), k / 28 > 0.8) for f, k in n.items()}
+    names = spark.createDataFrame([(x,) for x in (*features.TA, "hurst", "log_returns_lag3")], "feature string")
+    table = {r.feature: (r.n, r.tier) for r in diagnose.stability_table(got.drop("stable"), names).collect()}
+    assert table == {f: (n[f], "stable" if n[f] > 22.4 else "moderate" if n[f] > 14 else "low" if n[f] else "never") for f in (*features.TA, "hurst", "log_returns_lag3")}
+    own = models.extraction_features(selected, spark.createDataFrame([(3,)], "split_id int"), 5).collect()
+    assert [r.feature for r in own] == sorted(dealt[3], key=lambda f: (-n[f], f))[:5]
+    orders = {s: (s * 7 % 5) * 0.05 for s in range(28)}
+    found = spark.createDataFrame(list(orders.items()), "split_id int, d double").select("split_id", F.create_map(F.lit("atr"), "d").alias("ffd"))
+    r = evaluate.ffd_stability(found).first()
+    assert (r.feature, round(r.mean_d, 9), round(r.std_d, 9), r.min_d, r.max_d, r.unstable) == ("atr", round(statistics.mean(orders.values()), 9), round(statistics.pstdev(orders.values()), 9), 0.0, max(orders.values()), False)
