@@ -129,3 +129,12 @@ def test_pricing_errors_of_exact_marks(spark):
     got = kernels.pricing_errors(marks, spots, "2025-06-01", floor=0.0).first()
     assert got.n == 3 and got.mean_yz < 1e-9 and got.median_yz < 1e-9 and got.mean_rv > 1 and got.gain == got.median_rv - got.median_yz
     assert kernels.pricing_errors(marks, spots, "2025-06-01", floor=1e9).count() == 0
+
+
+def test_normal_distribution_runs_in_batches(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i / 16,) for i in range(-160, 161)] + [(None,)], "x double").select("x", evaluate.phi(F.col("x")).alias("p"))
+    assert "lambda" not in rows._jdf.queryExecution().analyzed().toString()  # no interpreted loop a row
+    *got, none = rows.collect()
+    assert none.p is None and all(abs(r.p - math.erfc(-r.x / math.sqrt(2)) / 2) < 1e-15 for r in got)
