@@ -142,7 +142,7 @@ def volatility_comparison(features: DataFrame) -> DataFrame:
 def options_of(instruments: DataFrame) -> DataFrame:
     """(name, asset, expiry, strike, call): the parts of instrument names such as BTC-27JUN25-60000-C; malformed names are left out."""
     p = F.split("name", "-")
-    df = instruments.where(F.size(p) == 4).select("*", p[0].alias("asset"), F.expr("try_to_timestamp(initcap(split(name, '-')[1]), 'dMMMyy')").cast("date").alias("expiry"), F.expr("try_cast(split(name, '-')[2] AS double)").alias("strike"), p[3].alias("_side"))
+    df = instruments.where(F.size(p) == 4).select("*", F.get(p, 0).alias("asset"), F.expr("try_to_timestamp(initcap(get(split(name, '-'), 1)), 'dMMMyy')").cast("date").alias("expiry"), F.expr("try_cast(get(split(name, '-'), 2) AS double)").alias("strike"), F.get(p, 3).alias("_side"))  # filters may change places
     return df.where("expiry IS NOT NULL AND strike IS NOT NULL AND _side IN ('C', 'P')").withColumn("call", F.col("_side") == "C").drop("_side")
 
 

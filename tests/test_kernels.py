@@ -138,3 +138,14 @@ def test_normal_distribution_runs_in_batches(spark):
     assert "lambda" not in rows._jdf.queryExecution().analyzed().toString()  # no interpreted loop a row
     *got, none = rows.collect()
     assert none.p is None and all(abs(r.p - math.erfc(-r.x / math.sqrt(2)) / 2) < 1e-15 for r in got)
+
+
+def test_malformed_names_are_left_out_in_any_order_of_filters(spark):
+    from marlstone.operators import diagnose
+
+    names = spark.createDataFrame([("BTC",), ("BTC-bad-1",), ("BTC-27JUN25-60000-C",), (None,)], "name string")
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    try:
+        assert [(r.strike, r.call) for r in diagnose.options_of(names).where("call").collect()] == [(60000.0, True)]
+    finally:
+        spark.conf.unset("spark.sql.codegen.wholeStage")
