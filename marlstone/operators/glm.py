@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 PARTS = "g string, n long, sums array<double>"
 
 
-def fit(rows: DataFrame, group: str, x: str, y: str, weight: str | None = None, c: float | None = 1.0, steps: int = 30, tolerance: float = 1e-8) -> dict[str, np.ndarray]:
+def fit(rows: DataFrame, group: str, x: str, y: str, weight: str | None = None, c: float | Callable[[str], float] | None = 1.0, steps: int = 30, tolerance: float = 1e-8) -> dict[str, np.ndarray]:
     """The coefficients of each group, the intercept last: of C times the weighted log loss and half the squared norm of the
-    coefficients (c = None: no penalty). A group of one class has only an intercept, of its class.
+    coefficients (c = None: no penalty; a function gives each group its own). A group of one class has only an intercept, of its class.
 
     `rows` should be stored, as each step reads it. Tasks add up their rows by group; what reaches the driver is a row a group.
     """
@@ -60,7 +60,8 @@ def fit(rows: DataFrame, group: str, x: str, y: str, weight: str | None = None,
                 done.add(r.g)
                 continue
             now = beta.setdefault(r.g, np.append(np.zeros(k - 1), 0.0))
-            penalty = np.append(np.full(k - 1, 1 / c if c else 1e-10), 0.0)
+            own_c = c(r.g) if callable(c) else c
+            penalty = np.append(np.full(k - 1, 1 / own_c if own_c else 1e-10), 0.0)
             value = loss + 0.5 * float(penalty @ now**2)
             if r.g in last and value > last[r.g][0] + 1e-9 * abs(last[r.g][0]):
                 beta[r.g] = (now + last[r.g][1]) / 2  # half the step
@@ -70,7 +71,7 @@ def fit(rows: DataFrame, group: str, x: str, y: str, weight: str | None = None,
             beta[r.g] = now - move
             if np.abs(move).max() < tolerance:
                 done.add(r.g)
-        if len(done) == len(found):
+        if all(r.g in done for r in found):  # `found` lacks the groups that were done before
             break
     return beta
 

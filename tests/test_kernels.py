@@ -149,3 +149,38 @@ def test_malformed_names_are_left_out_in_any_order_of_filters(spark):
         assert [(r.strike, r.call) for r in diagnose.options_of(names).where("call").collect()] == [(60000.0, True)]
     finally:
         spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
+def test_groups_have_own_penalties_and_all_are_fitted_to_the_end(spark):
+    """A group that is done early, here one of a single class, does not end the others."""
+    from marlstone.operators import glm
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 2))
+    y = (x @ [3.0, -2.0] + rng.normal(size=150) > 0.5).astype(int)
+    rows = [(g, xi.tolist(), int(yi), 1.0) for g in ("a/0", "a/1") for xi, yi in zip(x, y)] + [(g, [0.0, 0.0], 1, 1.0) for g in ("one/0", "one/1")]
+    grid = (0.05, 20.0)
+    beta = glm.fit(spark.createDataFrame(rows, "g string, x array<double>, y int, w double"), "g", "x", "y", "w", lambda g: grid[int(g[-1])])
+    design = np.column_stack([x, np.ones(150)])
+    for i, c in enumerate(grid):
+        b = beta[f"a/{i}"]
+        slope = design.T @ (1 / (1 + np.exp(-design @ b)) - y) + np.append(b[:2] / c, 0)
+        assert np.abs(slope).max() < 1e-6
+    alone = glm.fit(spark.createDataFrame([r for r in rows if r[0] in ("a/1", "one/1")], "g string, x array<double>, y int, w double"), "g", "x", "y", "w", grid[1])
+    assert np.abs(alone["a/1"] - beta["a/1"]).max() < 1e-7
+
+
+def test_penalties_are_searched_in_one_fit(spark, monkeypatch):
+    from marlstone.operators import glm
+    from marlstone.plans import flows
+
+    rng = np.random.default_rng(7)
+    rows = [(s, f, "validate" if i % 3 == f else "train", i, float(v), int(v + rng.normal() > 0), 1.0) for s in range(2) for f in range(3) for i, v in enumerate(rng.normal(size=60))]
+    df = spark.createDataFrame(rows, "split_id int, fold int, role string, event_pos int, v double, y int, w double")
+    calls, own = [], glm.fit
+    monkeypatch.setattr(glm, "fit", lambda *a: calls.append(a) or own(*a))
+    got = flows.tuned(df, ["v"], (0.01, 1.0)).collect()
+    assert len(calls) == 1 and sorted((r.split_id, r.c) for r in got) == [(s, c) for s in range(2) for c in (0.01, 1.0)]
+    for c in (0.01, 1.0):
+        alone = {r.split_id: r for r in flows.tuned(df, ["v"], (c,)).collect()}
+        assert all(abs(r.log_loss - alone[r.split_id].log_loss) < 1e-9 and r.accuracy == alone[r.split_id].accuracy for r in got if r.c == c)
