@@ -163,6 +163,24 @@ def test_path_metrics_of_odd_paths(spark):
     assert filled[9].sharpe == 0 and filled[9].n_trades == 0 and filled[9].profit_factor is None
 
 
+def test_time_under_water_below_a_negative_peak(spark):
+    """Events below the highest value so far count, whatever its sign, in the code and in the SQL: runs counted by hand."""
+    nets = {
+        0: [-1.5, 0.5, 0.2, -0.9, -0.5],  # -0.5, -0.75, -0.9, -0.09, -0.045: two below -0.5
+        1: [-0.1, 0.05, -0.2],  # 0.9, 0.945, 0.756: the start of 1 is no peak
+        2: [0.1, 0.1],
+        3: [0.1, -2.0, 0.5, -3.0],  # 1.1, -1.1, -1.65, 3.3
+    }
+    rows = [("m", p, day(i), net) for p, own in nets.items() for i, net in enumerate(own)]
+    curve = evaluate.equity(spark.createDataFrame(rows, "model string, path_id int, ts date, net double"))
+    expected = [(0, 2), (1, 1), (2, 0), (3, 2)]
+    assert sorted((r.path_id, r.time_under_water) for r in evaluate.under_water(curve).collect()) == expected
+    con = oracle.connection(SF)
+    con.register("cu", curve.toPandas())
+    steps = queries.ORACLES["time_under_water"].partition(", uk AS ")[2]
+    assert sorted(r[1:] for r in con.sql(f"WITH uk AS {steps}").fetchall()) == expected
+
+
 def test_stability_of_selections_and_orders(spark):
     """Features dealt to 28 splits by arithmetic, counted by plain Python."""
     import collections
