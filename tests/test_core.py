@@ -181,6 +181,26 @@ def test_time_under_water_below_a_negative_peak(spark):
     assert sorted(r[1:] for r in con.sql(f"WITH uk AS {steps}").fetchall()) == expected
 
 
+def test_drawdown_from_the_first_below_zero_and_from_nothing(spark):
+    """The peak is the highest equity itself, in the code and in the SQL; a path that loses all at once ends no other's row."""
+    nets = {
+        0: [-0.2, 0.5, -0.5],  # 0.8, 1.2, 0.6
+        1: [-0.2, -0.5, 0.25],  # 0.8, 0.4, 0.5: never at the start of 1
+        2: [-1.5, 0.5, -0.5],  # -0.5, -0.75, -0.375
+        3: [-1.0, 0.5, 0.5],  # 0, 0, 0
+        4: [0.5, -1.0, 0.5],  # 1.5, 0, 0
+    }
+    expected = {0: [0, 0, -0.5], 1: [0, -0.5, -0.375], 2: [0, 0.5, 0], 3: [None] * 3, 4: [0, -1, -1]}
+    table = spark.createDataFrame([("m", p, day(i), net) for p, own in nets.items() for i, net in enumerate(own)], "model string, path_id int, ts date, net double")
+    got = {(r.path_id, r.ts): r.drawdown for r in evaluate.equity(table).collect()}
+    assert {p: [got[p, day(i)] for i in range(3)] for p in nets} == {p: pytest.approx(x, abs=1e-12) if p != 3 else x for p, x in expected.items()}
+    con = oracle.connection(SF)
+    con.register("nt", table.toPandas())
+    steps = "eq AS " + queries.ORACLES["drawdown"].partition(", eq AS ")[2]
+    sql = {r[:2]: oracle.value(r[2]) for r in con.sql(f"WITH {steps}").project("path_id, CAST(ts AS DATE), drawdown").fetchall()}
+    assert {p: [sql[p, day(i)] for i in range(3)] for p in nets} == {p: pytest.approx(x, abs=1e-6) if p != 3 else x for p, x in expected.items()}
+
+
 def test_stability_of_selections_and_orders(spark):
     """Features dealt to 28 splits by arithmetic, counted by plain Python."""
     import collections
